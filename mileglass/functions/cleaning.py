@@ -1,14 +1,10 @@
-"""Lossy, counted clean-up of JSON values as Column expressions.
+"""Column expressions for the lossy clean-up of JSON values.
 
-Values are VARIANT columns.  Every cleaner gives a struct of the cleaned value
-and its ``repairs``, an array of (action, n), so the counts always come from
-the same evaluation as the result.  A payload is one row and stays one row:
-arrays are handled by higher-order functions, with no shuffle and no Python.
+JSON values are VARIANT columns.  Texts are measured in code points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -24,8 +20,8 @@ NODE_FIELDS = ("id", "label", "type", "description", "properties")
 EDGE_FIELDS = ("source", "target", "label", "weight", "properties")
 ELLIPSIS = "…"
 
-_GAPS = r"(?U)[\x00-\x1f\x7f\s]+"
-_VISIBLE = r"(?U)\S"
+VISIBLE = r"(?U)\S"
+GAPS = r"(?U)[\x00-\x1f\x7f\s]+"
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -48,28 +44,24 @@ class GraphLimits:
     weight: float
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
+def as_number(condition: Column) -> Column:
+    """1 if true, 0 if false or NULL."""
+    return F.coalesce(condition.cast("int"), F.lit(0))
 
 
-def noted(*actions: tuple[str, Column]) -> Column:
-    """Repairs whose condition is true, or whose number is positive."""
-    entries = []
-    for action, count in actions:
-        n = count.cast("bigint")
-        entries.append(F.when(n > 0, F.struct(F.lit(action).alias("action"), n.alias("n"))))
-    return F.array_compact(F.array(*entries))
-
-
-def joined(*repairs: Column) -> Column:
-    """All repairs in one array; a NULL array counts as none."""
-    return F.flatten(F.array_compact(F.array(*repairs)))
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def text_of(value: Column) -> Column:
     """The string held by a variant; NULL for any other kind of value."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+
+
+def member(value: Column, name: str) -> Column:
+    """A field of an object variant.  NULL if it is missing; a JSON null stays
+    a variant, so presence is ``isNotNull``."""
+    return F.try_variant_get(value, f"$.{name}", "variant")
 
 
 def fields_of(value: Column) -> Column:
@@ -82,14 +74,6 @@ def items_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def field(fields: Column, name: str | Column) -> Column:
-    return F.try_element_at(fields, F.lit(name) if isinstance(name, str) else name)
-
-
-def has_field(fields: Column, name: str) -> Column:
-    return F.map_contains_key(fields, name)
-
-
 def unknown_fields(fields: Column, known: tuple[str, ...]) -> Column:
     """How many keys an object has beyond the known ones."""
     return F.size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, known))))
@@ -97,233 +81,60 @@ def unknown_fields(fields: Column, known: tuple[str, ...]) -> Column:
 
 def is_identifier(text: Column, longest: int) -> Column:
     """Visible text within the limit and free of control characters."""
-    return F.coalesce(text.rlike(_VISIBLE) & (F.length(text) <= longest) & ~text.rlike(CONTROL),
+    return F.coalesce((F.length(text) <= longest) & text.rlike(VISIBLE) & ~text.rlike(CONTROL),
                       F.lit(False))
 
 
+def is_property_key(key: Column, longest: int) -> Column:
+    return is_identifier(key, longest) & ~key.isin(*FORBIDDEN_KEYS)
+
+
 def squeezed(text: Column) -> Column:
     """Control characters and whitespace runs become one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(text, _GAPS, " "))
+    return F.trim(F.regexp_replace(text, GAPS, " "))
 
 
 def shortened(text: Column, longest: int) -> Column:
     return F.concat(F.rtrim(F.substring(text, 1, longest - 1)), F.lit(ELLIPSIS))
 
 
-def clean_text(value: Column, longest: int) -> Column:
-    """struct(value string, repairs).  NULL if not text or blank."""
-    def on_text(text):
-        def on_squeezed(s):
-            long, blank = F.length(s) > longest, s == ""
-            kept = F.when(s.isNull(), text).when(blank, None).when(long, shortened(s, longest)).otherwise(s)
-            return F.struct(kept.alias("value"), noted(
-                ("dropped_non_text", text.isNull()), ("dropped_blank_text", blank),
-                ("normalized_text", ~blank & (s != text)), ("truncated_text", ~blank & long),
-            ).alias("repairs"))
-        return let(F.when(~is_identifier(text, longest), squeezed(text)), on_squeezed)
-    return let(text_of(value), on_text)
-
+def is_finite(value: Column, kind: Column | None = None) -> Column:
+    """A number (not a boolean) that is not infinite.
 
-def is_finite(value: Column) -> Column:
-    """A number (not a boolean) that is not infinite."""
-    number = F.try_variant_get(value, "$", "double")
-    numeric = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.coalesce(numeric & (F.abs(number) < F.lit(float("inf"))), F.lit(False))
-
-
-def clean_scalar(value: Column, longest: int) -> Column:
-    """struct(value variant, kept, repairs).  Blank strings are kept."""
-    def on_text(text):
-        clean = (F.length(text) <= longest) & ~text.rlike(CONTROL)
-
-        def on_squeezed(s):
-            long = F.length(s) > longest
-            new = F.when(s.isNull(), value).otherwise(
-                F.when(long, shortened(s, longest)).otherwise(s).cast(T.VariantType()))
-            simple = F.schema_of_variant(value).isin("VOID", "BOOLEAN")
-            return F.struct(
-                new.alias("value"),
-                F.coalesce(text.isNotNull() | simple | is_finite(value), F.lit(False)).alias("kept"),
-                noted(("normalized_text", s.isNotNull()), ("truncated_text", long)).alias("repairs"))
-        return let(F.when(~clean, squeezed(text)), on_squeezed)
-    return let(text_of(value), on_text)
-
-
-def clean_property_value(value: Column, limits: GraphLimits) -> Column:
-    """struct(value variant, kept, repairs) of a scalar or an array of scalars."""
-    most = limits.property_array_items
-
-    def scalar(v):
-        return clean_scalar(v, limits.property_string_chars)
-
-    def on_items(items):
-        def on_clean(clean):
-            return F.struct(
-                F.transform(F.filter(clean, lambda c: c["kept"]), lambda c: c["value"])
-                .cast(T.VariantType()).alias("value"),
-                F.lit(True).alias("kept"),
-                joined(F.flatten(clean["repairs"]), noted(
-                    ("dropped_excess_property_item", F.size(items) - most),
-                    ("dropped_invalid_property_item", F.size(F.filter(clean, lambda c: ~c["kept"]))),
-                )).alias("repairs"))
-        return F.when(items.isNull(), scalar(value)).otherwise(
-            let(F.transform(F.slice(items, 1, most), scalar), on_clean))
-    return let(items_of(value), on_items)
-
-
-def clean_properties(value: Column, most: int, limits: GraphLimits, source_json: Column,
-                     default_action: str = "dropped_invalid_properties") -> Column:
-    """struct(value map<string,variant>, repairs); the value is NULL if not an object.
-
-    The cap counts kept entries in input order.  A variant sorts its keys, so
-    an object above the cap takes its key order from ``source_json``, the
-    text it was parsed from; smaller ones never read it.
+    Only floats can be infinite, so other numbers are not converted.
     """
-    def entry(fields):
-        def on_key(key):
-            usable = (is_identifier(key, limits.property_key_chars) & ~key.isin(*FORBIDDEN_KEYS))
-
-            def on_value(clean):
-                kept = F.coalesce(clean["kept"], F.lit(False))
-                return F.struct(key.alias("key"), clean["value"].alias("value"), kept.alias("kept"),
-                                joined(clean["repairs"], noted(("dropped_invalid_property", ~kept))).alias("repairs"))
-            return let(F.when(usable, clean_property_value(field(fields, key), limits)), on_value)
-        return on_key
-
-    def on_fields(fields):
-        keys = F.when(F.size(fields) > most, F.json_object_keys(source_json)).otherwise(F.map_keys(fields))
-
-        def on_entries(entries):
-            places = F.array_compact(F.transform(entries, lambda e, i: F.when(e["kept"], i + 1)))
-            full = F.lit(0) if most == 0 else F.try_element_at(places, F.lit(most))
-
-            def on_read(read):
-                seen = F.slice(entries, F.lit(1), read)
-                kept = F.transform(F.filter(seen, lambda e: e["kept"]),
-                                   lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-                return F.struct(
-                    F.map_from_entries(kept).alias("value"),
-                    joined(F.flatten(seen["repairs"]),
-                           noted(("dropped_excess_property", F.size(entries) - read))).alias("repairs"))
-            return let(F.coalesce(full, F.size(entries)), on_read)
-
-        invalid = F.struct(F.lit(None).cast("map<string,variant>").alias("value"),
-                           noted((default_action, F.lit(True))).alias("repairs"))
-        return F.when(fields.isNull(), invalid).otherwise(
-            let(F.transform(keys, entry(fields)), on_entries))
-    return let(fields_of(value), on_fields)
-
-
-def clean_node(node: Column, limits: GraphLimits, properties_json: Column) -> Column:
-    """struct(kept, id, label, type, description, properties, repairs) of a node."""
-    def optional(fields, kept, name, cleaner):
-        return F.when(kept & has_field(fields, name), cleaner(field(fields, name)))
-
-    def on_fields(fields):
-        node_id = text_of(field(fields, "id"))
-
-        def on_head(head):
-            kept = head["label"]["value"].isNotNull()
-            rest = F.struct(
-                optional(fields, kept, "type", lambda v: clean_text(v, limits.type_chars)).alias("type"),
-                optional(fields, kept, "description",
-                         lambda v: clean_text(v, limits.description_chars)).alias("description"),
-                optional(fields, kept, "properties", lambda v: clean_properties(
-                    v, limits.node_properties, limits, properties_json)).alias("properties"))
-            return let(rest, lambda r: F.struct(
-                kept.alias("kept"), head["id"].alias("id"), head["label"]["value"].alias("label"),
-                r["type"]["value"].alias("type"), r["description"]["value"].alias("description"),
-                r["properties"]["value"].alias("properties"),
-                joined(noted(("dropped_unknown_field", unknown_fields(fields, NODE_FIELDS)),
-                             ("dropped_invalid_node", ~kept)),
-                       head["label"]["repairs"], r["type"]["repairs"], r["description"]["repairs"],
-                       r["properties"]["repairs"]).alias("repairs")))
-        valid = is_identifier(node_id, limits.id_chars)
-        return let(F.struct(F.when(valid, node_id).alias("id"),
-                            F.when(valid, clean_text(field(fields, "label"), limits.label_chars)).alias("label")),
-                   on_head)
-    return let(fields_of(node), on_fields)
-
-
-def edge_ends(edge: Column, limits: GraphLimits) -> Column:
-    """struct(fields, source, target); the ends are NULL unless both are valid."""
-    def on_fields(fields):
-        source, target = text_of(field(fields, "source")), text_of(field(fields, "target"))
-        valid = is_identifier(source, limits.id_chars) & is_identifier(target, limits.id_chars)
-        return F.struct(fields.alias("fields"), F.when(valid, source).alias("source"),
-                        F.when(valid, target).alias("target"))
-    return let(fields_of(edge), on_fields)
-
-
-def clean_edges(edges: Column, node_ids: Column, limits: GraphLimits,
-                properties_json: Callable[[Column], Column]) -> Column:
-    """Array of struct(kept, stage, source, target, label, weight, properties, repairs).
-
-    ``stage`` is the test an edge stopped at: invalid, dangling, duplicate, or
-    kept.  Ends are tested against the set of unknown ends, which is found by
-    hashing and is mostly empty; positions are searched only in payloads that
-    hold a duplicate.
-    """
-    def linked(parts):
-        def on_unknown(unknown):
-            def with_label(e):
-                valid = e["source"].isNotNull()
-                known = valid & ~F.array_contains(unknown, e["source"]) & ~F.array_contains(unknown, e["target"])
-                label = F.when(known & has_field(e["fields"], "label"),
-                               clean_text(field(e["fields"], "label"), limits.label_chars))
-                return let(label, lambda lb: F.struct(
-                    e["fields"].alias("fields"), e["source"].alias("source"), e["target"].alias("target"),
-                    F.when(~valid, "invalid").when(~known, "dangling").otherwise("known").alias("stage"),
-                    lb.alias("label"),
-                    # No control character can occur in any part, so the key is unambiguous.
-                    F.when(known, F.concat_ws("\u0001", e["source"], e["target"],
-                                              F.coalesce(lb["value"], F.lit("")))).alias("mark")))
-            return F.transform(parts, with_label)
-        ends = F.array_compact(F.concat(parts["source"], parts["target"]))
-        return let(F.array_except(ends, node_ids), on_unknown)
-
-    def finished(candidates):
-        marks = F.array_compact(candidates["mark"])
-
-        def on_repeats(repeats):
-            def finish(e, i):
-                first = ~repeats | (F.array_position(candidates["mark"], e["mark"]) == i + 1)
-                kept = F.coalesce((e["stage"] == "known") & first, F.lit(False))
-                stage = F.when(kept, "kept").when(e["stage"] == "known", "duplicate").otherwise(e["stage"])
-                weighted = kept & has_field(e["fields"], "weight")
-                weight = F.when(weighted, usable_weight(field(e["fields"], "weight"), limits))
-                props = F.when(kept & has_field(e["fields"], "properties"), clean_properties(
-                    field(e["fields"], "properties"), limits.edge_properties, limits, properties_json(i)))
-                return let(F.struct(stage.alias("stage"), weight.alias("weight"), props.alias("properties")),
-                           lambda r: F.struct(
-                    (r["stage"] == "kept").alias("kept"), r["stage"].alias("stage"),
-                    e["source"].alias("source"), e["target"].alias("target"),
-                    e["label"]["value"].alias("label"), r["weight"].alias("weight"),
-                    r["properties"]["value"].alias("properties"),
-                    joined(noted(
-                        ("dropped_unknown_field", unknown_fields(e["fields"], EDGE_FIELDS)),
-                        ("dropped_invalid_edge", r["stage"] == "invalid"),
-                        ("dropped_dangling_edge", r["stage"] == "dangling"),
-                        ("dropped_duplicate_edge", r["stage"] == "duplicate"),
-                        ("dropped_invalid_weight", weighted & r["weight"].isNull())),
-                        e["label"]["repairs"], r["properties"]["repairs"]).alias("repairs")))
-            return F.transform(candidates, finish)
-        return let(F.size(F.array_distinct(marks)) < F.size(marks), on_repeats)
-
-    return let(F.transform(edges, lambda e: edge_ends(e, limits)),
-               lambda parts: let(linked(parts), finished))
-
-
-def usable_weight(value: Column, limits: GraphLimits) -> Column:
+    kind = F.schema_of_variant(value) if kind is None else kind
+    number = F.try_variant_get(value, "$", "double")
+    return F.coalesce(
+        F.when((kind == "BIGINT") | kind.startswith("DECIMAL"), True)
+        .when(kind.isin("DOUBLE", "FLOAT"), F.abs(number) < F.lit(float("inf")))
+        .otherwise(False), F.lit(False))
+
+
+def usable_weight(value: Column, largest: float) -> Column:
     """The number itself if it is finite and from zero to the limit, else NULL."""
     number = F.try_variant_get(value, "$", "double")
-    return F.when(is_finite(value) & number.between(0, limits.weight), value)
+    return F.when(is_finite(value) & number.between(0, largest), value)
 
 
-def summed(repairs: Column) -> Column:
-    """Repairs added up per action, sorted by action."""
-    def total(action):
-        n = F.aggregate(F.filter(repairs, lambda r: r["action"] == action), F.lit(0).cast("bigint"),
-                        lambda acc, r: acc + r["n"])
-        return F.struct(action.alias("action"), n.alias("n"))
-    return F.transform(F.array_sort(F.array_distinct(repairs["action"])), total)
+def clean_scalar(value: Column, kind: Column, longest: int, text: Column | None = None) -> Column:
+    """struct(value variant, kept, normalized, truncated) of a scalar.
+
+    ``kind`` is its type name and ``text`` its string, if known.  A string is
+    kept even if blank; nested and non-finite values are not.
+    """
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")) if text is None else text
+    plain = squeezed(text)
+    long = F.length(plain) > longest
+
+    def result(new, kept, normalized, truncated):
+        return F.struct(new.alias("value"), kept.alias("kept"), normalized.alias("normalized"),
+                        truncated.alias("truncated"))
+
+    fixed = F.when(long, shortened(plain, longest)).otherwise(plain).cast(T.VariantType())
+    zero, one, yes = F.lit(0), F.lit(1), F.lit(True)
+    return (F.when(kind == "STRING",
+                   F.when((F.length(text) <= longest) & ~text.rlike(CONTROL), result(value, yes, zero, zero))
+                   .otherwise(result(fixed, yes, one, long.cast("int"))))
+            .when(kind.isin("VOID", "BOOLEAN"), result(value, yes, zero, zero))
+            .otherwise(result(value, is_finite(value, kind), zero, zero)))

@@ -1,9 +1,12 @@
 """Repair of tables of JSON node/edge graphs, one payload per row.
 
-Input columns: payload_id, source_agent_id, anchor_message_id, run_id,
-payload_json.  A payload is repaired only if it fits the byte limit, so the
-work per row is bounded, and rows are independent: the whole job is one scan
-without a shuffle, whatever the distribution of agents or payloads.
+Input columns: payload_id (unique), source_agent_id, anchor_message_id,
+run_id, payload_json.
+
+The job hashes the raw payloads by ``payload_id`` once.  Payloads are then
+exploded to element rows, cleaned by generated code, and grouped again by the
+same key, which needs no second shuffle.  A payload above the byte limit is
+never exploded, so the rows of one key are bounded by that limit.
 """
 
 from __future__ import annotations
@@ -12,22 +15,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mileglass.functions import cleaning as X
-from mileglass.functions.cleaning import GraphLimits
+from mileglass.functions.cleaning import GraphLimits, as_number
 
 KEYS = ("payload_id", "source_agent_id", "anchor_message_id", "run_id")
 
+# The names of all repair actions, in order.
+ACTIONS = (
+    "defaulted_edges", "defaulted_metadata", "defaulted_nodes", "dropped_blank_text",
+    "dropped_dangling_edge", "dropped_duplicate_edge", "dropped_excess_edge", "dropped_excess_node",
+    "dropped_excess_property", "dropped_excess_property_item", "dropped_invalid_edge",
+    "dropped_invalid_node", "dropped_invalid_properties", "dropped_invalid_property",
+    "dropped_invalid_property_item", "dropped_invalid_weight", "dropped_non_text",
+    "dropped_unknown_field", "normalized_text", "truncated_text",
+)
+TEXT_COUNTS = ("non_text", "blank", "normalized", "truncated")
+PROPERTY_COUNTS = ("bad_properties", "excess", "bad", "excess_item", "bad_item", "prop_normalized", "prop_truncated")
+
+# A number that may grow when rewritten or overflow to infinity has an
+# exponent or hundreds of digits.
+_UNUSUAL_NUMBER = r"[0-9][eE]|[0-9]{300}"
 
-def _non_finite(text: Column, compact: Column) -> Column:
-    """True if a number with a fraction or exponent overflows to infinity.
 
-    Numbers are looked for outside string literals, and only in payloads
-    whose compact form shows an infinity at all.
+# ----------------------------------------------------------------- admission
+def _overflows(text: Column) -> Column:
+    """True if a number with a fraction or exponent is beyond a double.
+
+    Looks outside string literals only.
     """
     bare = F.regexp_replace(text, r'"(\\.|[^"\\])*"', '""')
-    numbers = F.regexp_extract_all(bare, F.lit(r"(-?\d+(?:\.\d+)?[eE]?[+-]?\d*)"), F.lit(1))
-    overflow = F.exists(numbers, lambda n: n.rlike("[.eE]") & (
-        F.abs(n.try_cast("double")) == F.lit(float("inf"))))
-    return F.when(compact.contains('Infinity"'), overflow).otherwise(F.lit(False))
+    numbers = F.regexp_extract_all(bare, F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    return F.exists(numbers, lambda n: n.rlike("[.eE]") & (F.abs(n.try_cast("double")) == F.lit(float("inf"))))
 
 
 def with_budget(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
@@ -35,14 +52,17 @@ def with_budget(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
 
     ``reason`` is NULL for payloads that may be repaired.
     """
-    parsed = payloads.withColumn("graph", F.try_parse_json("payload_json"))
-    compact = F.to_json("graph")
-    reason = (F.when(F.col("payload_json").isNull() | F.is_variant_null("graph"), "absent")
+    text = F.col("payload_json")
+    # The compact form is never longer than the text unless a number is
+    # written out, so most payloads need no second serialization.
+    usual = (F.octet_length(text) <= limits.payload_bytes) & ~text.rlike(_UNUSUAL_NUMBER)
+    unfit = F.when(~usual, F.when(F.octet_length(F.to_json("graph")) > limits.payload_bytes, "over_budget")
+                   .when(text.rlike(_UNUSUAL_NUMBER) & _overflows(text), "non_finite"))
+    reason = (F.when(text.isNull(), "absent")
               .when(F.col("graph").isNull(), "not_json")
-              .when(F.octet_length(compact) > limits.payload_bytes, "over_budget")
-              .when(_non_finite(F.col("payload_json"), compact), "non_finite")
-              .when(X.fields_of(F.col("graph")).isNull(), "not_object"))
-    return parsed.withColumn("reason", reason)
+              .when(F.is_variant_null("graph"), "absent")
+              .otherwise(F.coalesce(unfit, F.when(~F.schema_of_variant("graph").startswith("OBJECT"), "not_object"))))
+    return payloads.withColumn("graph", F.try_parse_json(text)).withColumn("reason", reason)
 
 
 def within_budget(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
@@ -51,19 +71,8 @@ def within_budget(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     return checked.filter(F.col("reason").isNull() | (F.col("reason") == "not_object"))
 
 
-def _nodes(graph: Column) -> Column:
-    return X.items_of(X.field(X.fields_of(graph), "nodes"))
-
-
-def _edges(graph: Column) -> Column:
-    return X.items_of(X.field(X.fields_of(graph), "edges"))
-
-
-def explode_elements(payloads: DataFrame, limits: GraphLimits, kind: str) -> DataFrame:
-    """One row per raw element of ``nodes`` or ``edges``: payload_id, pos, element."""
-    items = _nodes(F.col("graph")) if kind == "nodes" else _edges(F.col("graph"))
-    return (within_budget(payloads, limits)
-            .select("payload_id", F.posexplode(items).alias("pos", "element")))
+def _list(name: str) -> Column:
+    return F.try_variant_get("graph", f"$.{name}", "array<variant>")
 
 
 def element_counts(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
@@ -71,85 +80,342 @@ def element_counts(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
 
     A missing or non-list element list counts as defaulted and empty.
     """
-    objects = with_budget(payloads, limits).filter(F.col("reason").isNull())
-
-    def row(kind, items, cap):
+    def row(kind, cap):
+        items = F.col(f"_{kind}")
         n = F.when(items.isNull(), 0).otherwise(F.size(items))
         return F.struct(F.lit(kind).alias("kind"), items.isNull().alias("defaulted"),
                         F.least(n, F.lit(cap)).alias("kept"),
                         F.greatest(n - cap, F.lit(0)).alias("excess"))
-    graph = F.col("graph")
-    return objects.select("payload_id", F.inline(F.array(
-        row("edges", _edges(graph), limits.edges), row("nodes", _nodes(graph), limits.nodes))))
-
-
-def _repaired(graph: Column, text: Column, limits: GraphLimits) -> Column:
-    """struct(nodes, edges, metadata, repairs) of one object payload."""
-    def source(path):
-        return F.call_function("get_json_object", text, path)
-
-    def on_fields(fields):
-        raw_nodes = X.items_of(X.field(fields, "nodes"))
-        raw_edges = X.items_of(X.field(fields, "edges"))
-
-        def on_lists(raw):
-            capped_nodes = F.coalesce(F.slice(raw["nodes"], 1, limits.nodes), F.array().cast("array<variant>"))
-            capped_edges = F.coalesce(F.slice(raw["edges"], 1, limits.edges), F.array().cast("array<variant>"))
-            nodes = F.transform(capped_nodes, lambda n, i: X.clean_node(
-                n, limits, source(F.format_string("$.nodes[%d].properties", i))))
-
-            def on_nodes(clean):
-                ids = F.transform(F.filter(clean, lambda n: n["kept"]), lambda n: n["id"])
-                edges = X.clean_edges(capped_edges, ids, limits,
-                                      lambda i: source(F.format_string("$.edges[%d].properties", i)))
-                metadata = X.clean_properties(X.field(fields, "metadata"), limits.metadata_properties,
-                                              limits, source(F.lit("$.metadata")), "defaulted_metadata")
-                return X.let(F.struct(edges.alias("edges"), metadata.alias("metadata")), lambda r: F.struct(
-                    clean.alias("nodes"), r["edges"].alias("edges"),
-                    F.coalesce(r["metadata"]["value"],
-                               F.create_map().cast("map<string,variant>")).alias("metadata"),
-                    X.joined(
-                        X.noted(("dropped_unknown_field", X.unknown_fields(fields, X.GRAPH_FIELDS)),
-                                ("defaulted_nodes", raw["nodes"].isNull()),
-                                ("dropped_excess_node", F.size(raw["nodes"]) - limits.nodes),
-                                ("defaulted_edges", raw["edges"].isNull()),
-                                ("dropped_excess_edge", F.size(raw["edges"]) - limits.edges)),
-                        F.flatten(clean["repairs"]), F.flatten(r["edges"]["repairs"]),
-                        r["metadata"]["repairs"]).alias("repairs")))
-            return X.let(nodes, on_nodes)
-        return X.let(F.struct(raw_nodes.alias("nodes"), raw_edges.alias("edges")), on_lists)
-    return X.let(X.fields_of(graph), on_fields)
-
-
-def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    objects = with_budget(payloads, limits).filter(F.col("reason").isNull())
+    return (objects.select("payload_id", _list("nodes").alias("_nodes"), _list("edges").alias("_edges"))
+            .select("payload_id", F.inline(F.array(row("edges", limits.edges), row("nodes", limits.nodes)))))
+
+
+def explode_elements(payloads: DataFrame, kind: str, limits: GraphLimits) -> DataFrame:
+    """One row per raw element of ``nodes`` or ``edges``: payload_id, pos, element."""
+    return (with_budget(payloads, limits).filter(F.col("reason").isNull())
+            .select("payload_id", F.posexplode(_list(kind)).alias("pos", "element")))
+
+
+# ------------------------------------------------------------------- texts
+def clean_text(df: DataFrame, name: str, value: str, longest: int, applies: Column | None = None,
+               is_variant: bool = True) -> DataFrame:
+    """Add the cleaned text ``name`` and its four counts ``name_<count>``.
+
+    Text is unchanged if it is visible, within the limit and free of control
+    characters.  Otherwise gaps are squeezed, blank text becomes NULL and long
+    text is cut to the limit with an ellipsis.  Rows outside ``applies`` get
+    NULL and zeros.
+    """
+    applies = F.lit(True) if applies is None else applies
+    raw, short = F.col("_text"), F.col("_squeezed")
+    blank, long = short == "", F.length(short) > longest
+    return (df
+            .withColumn("_text", F.when(applies, X.text_of(F.col(value)) if is_variant else F.col(value)))
+            .withColumn("_squeezed", F.when(raw.isNotNull() & ~X.is_identifier(raw, longest), X.squeezed(raw)))
+            .withColumns({
+                name: F.when(short.isNull(), raw).when(blank, None)
+                       .when(long, X.shortened(short, longest)).otherwise(short),
+                f"{name}_non_text": as_number(applies & raw.isNull()),
+                f"{name}_blank": as_number(blank),
+                f"{name}_normalized": as_number(~blank & (short != raw)),
+                f"{name}_truncated": as_number(~blank & long)})
+            .drop("_text", "_squeezed"))
+
+
+# -------------------------------------------------------------- properties
+def clean_properties(df: DataFrame, value: str, cap: Column, source_json: Column, limits: GraphLimits,
+                     applies: Column) -> DataFrame:
+    """Add ``properties`` (map) and the counts of PROPERTY_COUNTS.
+
+    The cap counts kept entries in input order.  A variant sorts its keys, so
+    an object above the cap takes its key order from ``source_json``, the text
+    it was parsed from; smaller objects never read it.
+    """
+    fields = F.col("_fields")
+    entries, seen = F.col("_entries"), F.col("_seen")
+    most, longest = limits.property_array_items, limits.property_string_chars
+
+    # Each step is one pass over the entries, so that later steps read values
+    # instead of repeating expressions.
+    def pair(key):
+        return F.struct(key.alias("key"), F.try_element_at(fields, key).alias("value"))
+
+    def typed(e):
+        usable = X.is_property_key(e["key"], limits.property_key_chars)
+        return F.struct(e["key"].alias("key"), e["value"].alias("value"),
+                        F.when(usable, F.schema_of_variant(e["value"])).alias("kind"))
+
+    def opened(e):
+        return F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), e["kind"].alias("kind"),
+            F.when(e["kind"] == "STRING", F.try_variant_get(e["value"], "$", "string")).alias("text"),
+            F.when(e["kind"].startswith("ARRAY"), X.items_of(e["value"])).alias("items"))
+
+    def cleaned(e):
+        items, text = e["items"], e["text"]
+        listed = F.when(items.isNotNull(), F.transform(
+            F.slice(items, 1, most), lambda v: X.clean_scalar(v, F.schema_of_variant(v), longest)))
+        plain = F.when(items.isNull() & e["kind"].isNotNull(), X.clean_scalar(e["value"], e["kind"], longest, text))
+        return F.struct(e["key"].alias("key"), plain.alias("one"), listed.alias("many"),
+                        F.when(items.isNotNull(), F.greatest(F.size(items) - most, F.lit(0)))
+                        .otherwise(0).alias("excess_item"))
+
+    def folded(e):
+        one, many = e["one"], e["many"]
+
+        def added(field):
+            return (F.when(one.isNotNull(), one[field])
+                    .when(many.isNotNull(), F.aggregate(many[field], F.lit(0), lambda acc, n: acc + n)).otherwise(0))
+        return F.struct(
+            e["key"].alias("key"),
+            F.when(one.isNotNull(), one["value"]).when(many.isNotNull(), F.transform(
+                F.filter(many, lambda m: m["kept"]), lambda m: m["value"]).cast("variant")).alias("value"),
+            F.when(one.isNotNull(), one["kept"]).otherwise(many.isNotNull()).alias("kept"),
+            added("normalized").alias("prop_normalized"), added("truncated").alias("prop_truncated"),
+            e["excess_item"].alias("excess_item"),
+            F.when(many.isNotNull(), F.size(F.filter(many, lambda m: ~m["kept"]))).otherwise(0).alias("bad_item"))
+
+    def total(field):
+        return F.coalesce(F.aggregate(seen[field], F.lit(0), lambda acc, n: acc + n), F.lit(0))
+
+    above = F.size(fields) > cap
+    places = F.array_compact(F.transform(entries, lambda e, i: F.when(e["kept"], i + 1)))
+    read = F.when(cap == 0, 0).otherwise(F.coalesce(F.try_element_at(places, cap), F.size(entries)))
+    return (df
+            .withColumn("_fields", F.when(applies, X.fields_of(F.col(value))))
+            .withColumn("_keys", F.when(above, F.json_object_keys(source_json)).otherwise(F.map_keys(fields)))
+            .withColumn("_entries", F.transform("_keys", pair))
+            .withColumn("_entries", F.transform("_entries", typed))
+            .withColumn("_entries", F.transform("_entries", opened))
+            .withColumn("_entries", F.transform("_entries", cleaned))
+            .withColumn("_entries", F.transform("_entries", folded))
+            .withColumn("_seen", F.when(above, F.slice(entries, F.lit(1), read)).otherwise(entries))
+            .withColumns({
+                "properties": F.map_from_entries(F.transform(
+                    F.filter(seen, lambda e: e["kept"]),
+                    lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))),
+                "bad_properties": as_number(applies & F.col(value).isNotNull() & fields.isNull()),
+                "excess": F.coalesce(F.size(entries) - F.size(seen), F.lit(0)),
+                "bad": F.coalesce(F.size(F.filter(seen, lambda e: ~e["kept"])), F.lit(0)),
+                **{c: total(c) for c in ("excess_item", "bad_item", "prop_normalized", "prop_truncated")}})
+            .drop("_fields", "_keys", "_entries", "_seen"))
+
+
+# ------------------------------------------------------------------ elements
+def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    """One cleaned row per node, edge and metadata object looked at.
+
+    Payloads that are not repaired keep one row without an element.  Nothing
+    is known here about other elements: edges still have to be linked.
+    """
+    nodes, edges = F.col("_nodes"), F.col("_edges")
+    empty = F.array().cast("array<variant>")
+    kept_nodes = F.coalesce(F.slice(nodes, 1, limits.nodes), empty)
+    kept_edges = F.coalesce(F.slice(edges, 1, limits.edges), empty)
+    least_cap = min(limits.node_properties, limits.edge_properties, limits.metadata_properties)
+    graph_fields = X.fields_of(F.col("graph"))
+    repairable = F.col("reason").isNull()
+    heads = (with_budget(payloads, limits)
+             .withColumns({"_nodes": F.when(repairable, _list("nodes")), "_edges": F.when(repairable, _list("edges")),
+                           "_metadata": F.when(repairable, X.member(F.col("graph"), "metadata"))})
+             .withColumns({
+                 "defaulted_nodes": as_number(repairable & nodes.isNull()),
+                 "defaulted_edges": as_number(repairable & edges.isNull()),
+                 "excess_node": F.coalesce(F.greatest(F.size(nodes) - limits.nodes, F.lit(0)), F.lit(0)),
+                 "excess_edge": F.coalesce(F.greatest(F.size(edges) - limits.edges, F.lit(0)), F.lit(0)),
+                 "unknown_top": F.when(repairable, X.unknown_fields(graph_fields, X.GRAPH_FIELDS)).otherwise(0),
+                 "_n": F.size(kept_nodes), "_e": F.size(kept_edges),
+                 "_elements": F.when(repairable, F.concat(kept_nodes, kept_edges, F.array("_metadata")))}))
+    # The text travels with the elements only where the cap may cut an object,
+    # as the key order then has to be read from it.
+    large = F.exists("_elements", lambda e: F.greatest(
+        F.size(F.try_variant_get(e, "$.properties", "map<string,variant>")),
+        F.size(X.fields_of(e))) > least_cap)
+    rows = heads.withColumn("_source", F.when(large, F.col("payload_json"))).select(
+        *KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
+        "_n", "_e", "_source", F.posexplode_outer("_elements").alias("_i", "element"))
+
+    i, n, e = F.col("_i"), F.col("_n"), F.col("_e")
+    el = F.col("element")
+    kind = F.when(i < n, "node").when(i < n + e, "edge").when(i.isNotNull(), "metadata")
+    is_node, is_edge, is_meta = F.col("kind") == "node", F.col("kind") == "edge", F.col("kind") == "metadata"
+
+    def ident(name):
+        text = X.text_of(X.member(el, name))
+        return F.when(X.is_identifier(text, limits.id_chars), text)
+
+    fields = F.col("_fields")
+    df = (rows
+          .withColumns({"kind": kind, "pos": F.when(i < n, i).when(i < n + e, i - n).otherwise(0)})
+          .withColumns({"_fields": F.when(~is_meta, X.fields_of(el)),
+                        "id": F.when(is_node, ident("id")),
+                        "source": F.when(is_edge, ident("source")),
+                        "target": F.when(is_edge, ident("target")),
+                        "_label": F.when(~is_meta, X.member(el, "label")),
+                        "_type": F.when(is_node, X.member(el, "type")),
+                        "_description": F.when(is_node, X.member(el, "description")),
+                        "_weight": F.when(is_edge, X.member(el, "weight")),
+                        "_properties": F.when(is_meta, el).otherwise(X.member(el, "properties"))})
+          .withColumn("valid", F.when(is_node, F.col("id").isNotNull())
+                      .when(is_edge, F.col("source").isNotNull() & F.col("target").isNotNull())
+                      .otherwise(is_meta))
+          .withColumn("unknown", F.when(fields.isNotNull(), F.when(is_node, X.unknown_fields(fields, X.NODE_FIELDS))
+                                        .otherwise(X.unknown_fields(fields, X.EDGE_FIELDS))).otherwise(0)))
+    # A node needs a label; an edge label is optional.
+    df = clean_text(df, "label", "_label", limits.label_chars,
+                    F.col("valid") & (is_node | (is_edge & F.col("_label").isNotNull())))
+    df = df.withColumn("valid", F.col("valid") & (~is_node | F.col("label").isNotNull()))
+    for name, longest in (("type", limits.type_chars), ("description", limits.description_chars)):
+        df = clean_text(df, name, f"_{name}", longest, F.col("valid") & is_node & F.col(f"_{name}").isNotNull())
+    cap = (F.when(is_node, limits.node_properties).when(is_edge, limits.edge_properties)
+           .otherwise(limits.metadata_properties))
+    path = (F.when(is_meta, "$.metadata").when(is_node, F.format_string("$.nodes[%d].properties", "pos"))
+            .otherwise(F.format_string("$.edges[%d].properties", "pos")))
+    df = clean_properties(df, "_properties", cap, F.call_function("get_json_object", F.col("_source"), path),
+                          limits, F.coalesce(F.col("valid"), F.lit(False)))
+    df = df.withColumns({
+        # Missing metadata is defaulted as well, other missing properties are fine.
+        "bad_properties": F.when(is_meta, as_number(F.col("properties").isNull())).otherwise(F.col("bad_properties")),
+        "weight": F.when(is_edge, X.usable_weight(F.col("_weight"), limits.weight)),
+        "bad_weight": as_number(is_edge & F.col("_weight").isNotNull()
+                                & X.usable_weight(F.col("_weight"), limits.weight).isNull())})
+    return df.drop("element", "_fields", "_label", "_type", "_description", "_weight", "_properties",
+                   "_i", "_n", "_e", "_source")
+
+
+# -------------------------------------------------------------------- repair
+def repair_graphs(payloads: DataFrame, limits: GraphLimits, co_located: bool = False) -> DataFrame:
     """All payloads with ``status``, ``reason``, ``nodes``, ``edges``,
-    ``metadata`` and ``repairs``.
+    ``metadata`` and one ``n_<action>`` column per repair action.
 
-    status: accepted, skipped (no node left), quarantined, or absent.  The
-    array columns hold every element that was looked at, with a ``kept`` flag.
-    The repair sits in a generator, so several uses below do not repeat it.
+    status: accepted, skipped (no node left), quarantined, or absent.
+    ``edges`` holds every edge looked at with the test it stopped at; nodes
+    holds kept nodes.  Set ``co_located`` if the input is bucketed by
+    payload_id already.
     """
-    checked = with_budget(payloads, limits)
-    fixed = F.when(F.col("reason").isNull(), _repaired(F.col("graph"), F.col("payload_json"), limits))
-    out = checked.select(*KEYS, "reason", F.explode(F.array(fixed)).alias("fixed"))
-    has_node = F.exists("fixed.nodes", lambda n: n["kept"])
-    status = (F.when(F.col("reason") == "absent", "absent")
-              .when(F.col("reason").isNotNull(), "quarantined")
+    if not co_located:
+        # A fixed number: the work is parsing, so partitions that are small
+        # in bytes should not be merged.
+        n = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        payloads = payloads.repartition(n, "payload_id")
+    return _link(_grouped(clean_elements(payloads, limits)))
+
+
+def _grouped(elements: DataFrame) -> DataFrame:
+    is_node, is_edge, is_meta = (F.col("kind") == k for k in ("node", "edge", "metadata"))
+
+    def over(condition, column):
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    def texts(count):
+        return sum((over(is_node, f"{t}_{count}") for t in ("type", "description")), over(is_node, f"label_{count}"))
+
+    no_edge = ~is_edge
+    node = F.struct("pos", "id", "label", "type", "description", "properties")
+    edge = F.struct("pos", "valid", "source", "target", "label", "weight", "properties", "bad_weight",
+                    *(f"label_{c}" for c in TEXT_COUNTS), *PROPERTY_COUNTS)
+    heads = ("defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top")
+    return elements.groupBy(*KEYS, "reason", *heads).agg(
+        F.collect_list(F.when(is_node & F.col("valid"), node)).alias("nodes"),
+        F.collect_list(F.when(is_edge, edge)).alias("edges"),
+        F.any_value(F.when(is_meta, F.col("properties")), True).alias("metadata"),
+        F.sum("unknown").alias("unknown"),
+        F.count_if(is_node & ~F.col("valid")).alias("invalid_node"),
+        over(is_node, "bad_properties").alias("bad_properties"),
+        over(is_meta, "bad_properties").alias("defaulted_metadata"),
+        *(over(no_edge, c).alias(c) for c in PROPERTY_COUNTS[1:]),
+        *(texts(c).alias(c) for c in TEXT_COUNTS))
+
+
+def _link(grouped: DataFrame) -> DataFrame:
+    """Test edges against the nodes of their payload and against each other."""
+    def in_order(name):
+        return F.array_sort(name, lambda a, b: a["pos"] - b["pos"])
+
+    edges, unknown, marks = F.col("edges"), F.col("_unknown"), F.col("_marks")
+    ends = F.array_compact(F.concat(F.col("edges.source"), F.col("edges.target")))
+
+    def mark(e):
+        known = (e["valid"] & ~F.array_contains(unknown, e["source"]) & ~F.array_contains(unknown, e["target"]))
+        # No control character can occur in any part, so the key is unambiguous.
+        return F.when(known, F.concat_ws("\u0001", e["source"], e["target"], F.coalesce(e["label"], F.lit(""))))
+
+    def stage(e, i):
+        m = F.get(marks, i)
+        first = ~F.col("_repeats") | (F.array_position(marks, m) == i + 1)
+        return (F.when(~F.coalesce(e["valid"], F.lit(False)), "invalid").when(m.isNull(), "dangling")
+                .when(first, "kept").otherwise("duplicate"))
+
+    def staged(e, i):
+        s = F.get(F.col("_stages"), i)
+        return F.struct(s.alias("stage"), *(e[c].alias(c) for c in (
+            "pos", "source", "target", "label", "properties", "bad_weight",
+            *(f"label_{c}" for c in TEXT_COUNTS), *PROPERTY_COUNTS)),
+            F.when(s == "kept", e["weight"]).alias("weight"))
+
+    def of(condition, field):
+        return F.aggregate(F.filter(edges, condition), F.lit(0), lambda acc, e: acc + e[field])
+
+    def stopped(name):
+        return F.size(F.filter("_stages", lambda s: s == name))
+
+    def known(e):
+        return e["stage"].isin("kept", "duplicate")
+
+    def kept(e):
+        return e["stage"] == "kept"
+
+    linked = (grouped
+              .withColumns({"nodes": in_order("nodes"), "edges": in_order("edges")})
+              .withColumn("_unknown", F.array_except(ends, F.col("nodes.id")))
+              .withColumn("_marks", F.transform("edges", mark))
+              .withColumn("_repeats", F.size(F.array_distinct(F.array_compact(marks))) < F.size(F.array_compact(marks)))
+              .withColumn("_stages", F.transform("edges", stage))
+              .withColumn("edges", F.transform("edges", staged)))
+    text = {c: F.col(c) + of(known, f"label_{c}") for c in TEXT_COUNTS}
+    prop = {c: F.col(c) + of(kept, c) for c in PROPERTY_COUNTS}
+    numbers = {
+        "defaulted_edges": F.col("defaulted_edges"), "defaulted_metadata": F.col("defaulted_metadata"),
+        "defaulted_nodes": F.col("defaulted_nodes"), "dropped_blank_text": text["blank"],
+        "dropped_dangling_edge": stopped("dangling"), "dropped_duplicate_edge": stopped("duplicate"),
+        "dropped_excess_edge": F.col("excess_edge"), "dropped_excess_node": F.col("excess_node"),
+        "dropped_excess_property": prop["excess"], "dropped_excess_property_item": prop["excess_item"],
+        "dropped_invalid_edge": stopped("invalid"), "dropped_invalid_node": F.col("invalid_node"),
+        "dropped_invalid_properties": prop["bad_properties"], "dropped_invalid_property": prop["bad"],
+        "dropped_invalid_property_item": prop["bad_item"], "dropped_invalid_weight": of(kept, "bad_weight"),
+        "dropped_non_text": text["non_text"], "dropped_unknown_field": F.col("unknown") + F.col("unknown_top"),
+        "normalized_text": text["normalized"] + prop["prop_normalized"],
+        "truncated_text": text["truncated"] + prop["prop_truncated"],
+    }
+    has_node = F.size("nodes") > 0
+    status = (F.when(F.col("reason") == "absent", "absent").when(F.col("reason").isNotNull(), "quarantined")
               .when(has_node, "accepted").otherwise("skipped"))
-    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~has_node, "no_nodes")
-    return out.select(*KEYS, status.alias("status"), reason.alias("reason"), "fixed.nodes", "fixed.edges",
-                      "fixed.metadata", X.summed(F.col("fixed.repairs")).alias("repairs"))
+    return linked.select(
+        *KEYS, status.alias("status"),
+        F.coalesce("reason", F.when(~has_node, "no_nodes")).alias("reason"), "nodes", "edges",
+        F.coalesce("metadata", F.create_map().cast("map<string,variant>")).alias("metadata"),
+        *(numbers[a].cast("bigint").alias(f"n_{a}") for a in ACTIONS))
 
 
+# ------------------------------------------------------------------- results
+# Rows are taken out with the outer form of explode and filtered afterwards.
+# The inner form would infer a filter on the array, which the optimizer pushes
+# down through the repair and so evaluates the repair twice.
 def kept_nodes(repaired: DataFrame) -> DataFrame:
-    return (repaired.select("payload_id", F.posexplode("nodes").alias("pos", "n")).filter("n.kept")
-            .select("payload_id", "pos", "n.id", "n.label", "n.type", "n.description", "n.properties"))
+    return repaired.select("payload_id", F.explode_outer("nodes").alias("n")).filter("n IS NOT NULL").select(
+        "payload_id", *(f"n.{c}" for c in ("pos", "id", "label", "type", "description", "properties")))
+
+
+def node_properties(repaired: DataFrame) -> DataFrame:
+    return (kept_nodes(repaired).select("payload_id", "pos", F.explode_outer("properties").alias("key", "value"))
+            .filter(F.col("key").isNotNull()))
 
 
 def staged_edges(repaired: DataFrame) -> DataFrame:
     """Every edge looked at, with the test it stopped at."""
-    return (repaired.select("payload_id", F.posexplode("edges").alias("pos", "e"))
-            .select("payload_id", "pos", "e.stage", "e.source", "e.target", "e.label", "e.weight", "e.properties"))
+    return repaired.select("payload_id", F.explode_outer("edges").alias("e")).filter("e IS NOT NULL").select(
+        "payload_id", *(f"e.{c}" for c in ("pos", "stage", "source", "target", "label", "weight", "properties")))
 
 
 def linked_edges(repaired: DataFrame) -> DataFrame:
@@ -162,23 +428,21 @@ def kept_edges(repaired: DataFrame) -> DataFrame:
     return staged_edges(repaired).filter(F.col("stage") == "kept")
 
 
-def node_properties(repaired: DataFrame) -> DataFrame:
-    return kept_nodes(repaired).select("payload_id", "pos", F.explode("properties").alias("key", "value"))
-
-
 def repair_counts(repaired: DataFrame) -> DataFrame:
-    """One row per payload and action."""
-    return repaired.select("payload_id", F.inline("repairs"))
+    """One row per payload and action that occurred."""
+    rows = F.array(*(F.struct(F.lit(a).alias("action"), F.col(f"n_{a}").alias("n")) for a in ACTIONS))
+    return repaired.select("payload_id", F.inline(rows)).filter("n > 0")
 
 
 def repair_totals(repaired: DataFrame) -> DataFrame:
     """Repairs per agent and action over the whole table."""
-    return (repaired.select("source_agent_id", F.inline("repairs"))
-            .groupBy("source_agent_id", "action").agg(F.sum("n").alias("n")))
+    sums = repaired.groupBy("source_agent_id").agg(*(F.sum(f"n_{a}").alias(f"n_{a}") for a in ACTIONS))
+    return repair_counts(sums.withColumnRenamed("source_agent_id", "payload_id")).withColumnRenamed(
+        "payload_id", "source_agent_id")
 
 
 def unknown_field_counts(repaired: DataFrame) -> DataFrame:
-    return repair_counts(repaired).filter(F.col("action") == "dropped_unknown_field").select("payload_id", "n")
+    return repaired.select("payload_id", F.col("n_dropped_unknown_field").alias("n")).filter("n > 0")
 
 
 def quarantine(repaired: DataFrame) -> DataFrame:
@@ -189,16 +453,16 @@ def artifacts(repaired: DataFrame, schema_version: int, title_chars: int = 160,
               id_chars: int = 256) -> DataFrame:
     """JSON envelopes of accepted payloads; optional fields only if usable."""
     def usable(text, longest):
-        return F.when(text.rlike(r"(?U)\S") & (F.length(text) <= longest), text)
+        return F.when(text.rlike(X.VISIBLE) & (F.length(text) <= longest), text)
 
-    def element(*names):
+    def element(names):
         return lambda e: F.struct(*(e[n].alias(n) for n in names))
 
     graph = F.struct(
-        F.transform(F.filter("nodes", lambda n: n["kept"]), element(*X.NODE_FIELDS)).alias("nodes"),
-        F.transform(F.filter("edges", lambda e: e["kept"]), element(*X.EDGE_FIELDS)).alias("edges"),
+        F.transform("nodes", element(X.NODE_FIELDS)).alias("nodes"),
+        F.transform(F.filter("edges", lambda e: e["stage"] == "kept"), element(X.EDGE_FIELDS)).alias("edges"),
         F.col("metadata"))
-    title = X.text_of(X.field(F.col("metadata"), "title"))
+    title = X.text_of(F.try_element_at("metadata", F.lit("title")))
     envelope = F.struct(
         F.lit(schema_version).alias("schemaVersion"), F.col("payload_id").alias("artifactId"),
         F.col("source_agent_id").alias("sourceAgentId"), graph.alias("graph"),

@@ -61,9 +61,19 @@ def staff_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table of few files before work that is heavy per row.
+
+    A table with at least one file per core is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def order_payloads(spark: SparkSession, sf_dir: str, spread_rows: bool = True) -> DataFrame:
     """One graph payload per order, with defects by key rule."""
-    return payloads_from_orders(driver_table(spark, sf_dir, "orders"))
+    orders = driver_table(spark, sf_dir, "orders")
+    return payloads_from_orders(spread(orders) if spread_rows else orders)
 
 
 def payloads_from_orders(orders: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def payloads_from_orders(orders: DataFrame) -> DataFrame:
                       F.col("o_orderstatus"), F.lit('"}'))
     extra_edges = (F.when(m == 15, F.concat(F.lit(","), edge))
                    .when(m == 16, F.concat(F.lit(',{"source":"o'), okey, F.lit('","target":"gone"},"edge"')))
-                   .when(m == 12, F.concat(F.lit(","), second, F.lit(","), second))
+                   .when(m == 12, F.concat(F.lit(","), second, F.lit(","), second, F.lit(","), second))
                    .otherwise(F.lit("")))
     metadata = F.when(m == 17, F.lit("[]")).otherwise(
         F.concat(F.lit('{"title":"order '), okey, F.lit('"}')))
