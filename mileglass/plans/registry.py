@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from mileglass.plans import graph_queries, stream_queries, trip_queries
+from mileglass.plans import graph_queries, profile_queries, stream_queries, trip_queries
 from mileglass.session import use_utc
 
-_MODULES = (trip_queries, stream_queries, graph_queries)
+_MODULES = (trip_queries, stream_queries, graph_queries, profile_queries)
 
 
 def _in_utc(query: Callable) -> Callable:
