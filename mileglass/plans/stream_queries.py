@@ -10,7 +10,7 @@ from mileglass.operators import layers as L
 from mileglass.operators.expectations import batch_trip_rules, guard_stream
 from mileglass.operators.stamps import cast_schema, stamp_landing
 from mileglass.plans.trip_queries import (BATCH_RULES_SQL, GOLD_AVERAGES, GOLD_SELECT, SILVER_CTE,
-                                          TRIPS_CTE, rounded)
+                                          TABLE_RULES, TRIPS_CTE, rounded)
 from mileglass.session import run_dir
 from mileglass.sources.adapters import trips, trips_from_events
 from mileglass.sources.batches import Layer, write_layer
@@ -44,12 +44,12 @@ def _twice(spark, sf_dir):
 
 
 def _to_silver(spark, sf_dir):
-    layers = TripLayers(spark, run_dir(spark, "stream"))
+    layers = TripLayers(spark, run_dir(spark, "stream"), TABLE_RULES)
     return layers.run_to_silver(trip_stream(spark, sf_dir)).select(*SILVER_COLS.split(", "))
 
 
 def _gold(spark, sf_dir):
-    layers = TripLayers(spark, run_dir(spark, "stream"))
+    layers = TripLayers(spark, run_dir(spark, "stream"), TABLE_RULES)
     return rounded(layers.run_all(trip_stream(spark, sf_dir)), *GOLD_AVERAGES)
 
 
@@ -98,10 +98,13 @@ QUERIES = {
 _CLOSED = """date_trunc('hour', tpep_pickup_datetime) + INTERVAL 1 HOUR
     <= (SELECT max(tpep_pickup_datetime) FROM {table}) - INTERVAL 10 MINUTE"""
 
+# The streams also drop fares that are not above zero.
+_STREAM_SILVER = SILVER_CTE.replace("AND fare_amount < 1000", "AND fare_amount < 1000 AND fare_amount > 0")
+
 ORACLES = {
     "stream_files": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
-    "stream_landing_to_silver": f"WITH {SILVER_CTE} SELECT {SILVER_COLS} FROM silver",
-    "gold_stream": f"WITH {SILVER_CTE}" + GOLD_SELECT.format(where="WHERE " + _CLOSED.format(table="silver")),
+    "stream_landing_to_silver": f"WITH {_STREAM_SILVER} SELECT {SILVER_COLS} FROM silver",
+    "gold_stream": f"WITH {_STREAM_SILVER}" + GOLD_SELECT.format(where="WHERE " + _CLOSED.format(table="silver")),
     "late_drop": f"WITH {SILVER_CTE}" + GOLD_SELECT.format(
         where="WHERE tpep_pickup_datetime >= TIMESTAMP '2024-02-01' AND " + _CLOSED.format(table="silver")),
     "approx_distinct_stream": f"""WITH {TRIPS_CTE} SELECT date_trunc('hour', tpep_pickup_datetime) AS pickup_hour_window,
