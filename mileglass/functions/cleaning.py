@@ -21,6 +21,8 @@ EDGE_FIELDS = ("source", "target", "label", "weight", "properties")
 ELLIPSIS = "…"
 
 VISIBLE = r"(?U)\S"
+# Free of control characters and not blank, in one search.
+PLAIN = r"(?U)^[^\x00-\x1f\x7f]*?[^\s\x00-\x1f\x7f][^\x00-\x1f\x7f]*\z"
 GAPS = r"(?U)[\x00-\x1f\x7f\s]+"
 
 
@@ -58,10 +60,10 @@ def text_of(value: Column) -> Column:
     return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
 
 
-def member(value: Column, name: str) -> Column:
-    """A field of an object variant.  NULL if it is missing; a JSON null stays
-    a variant, so presence is ``isNotNull``."""
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def member(fields: Column, name: str) -> Column:
+    """A field of an object given as a map.  NULL if it is missing; a JSON
+    null stays a variant, so presence is ``isNotNull``."""
+    return F.try_element_at(fields, F.lit(name))
 
 
 def fields_of(value: Column) -> Column:
@@ -81,8 +83,7 @@ def unknown_fields(fields: Column, known: tuple[str, ...]) -> Column:
 
 def is_identifier(text: Column, longest: int) -> Column:
     """Visible text within the limit and free of control characters."""
-    return F.coalesce((F.length(text) <= longest) & text.rlike(VISIBLE) & ~text.rlike(CONTROL),
-                      F.lit(False))
+    return F.coalesce((F.length(text) <= longest) & text.rlike(PLAIN), F.lit(False))
 
 
 def is_property_key(key: Column, longest: int) -> Column:

@@ -184,7 +184,8 @@ def clean_properties(df: DataFrame, value: str, cap: Column, source_json: Column
     read = F.when(cap == 0, 0).otherwise(F.coalesce(F.try_element_at(places, cap), F.size(entries)))
     return (df
             .withColumn("_fields", F.when(applies, X.fields_of(F.col(value))))
-            .withColumn("_keys", F.when(above, F.json_object_keys(source_json)).otherwise(F.map_keys(fields)))
+            .withColumn("_keys", F.when(above, F.coalesce(F.json_object_keys(source_json), F.map_keys(fields)))
+                        .otherwise(F.map_keys(fields)))
             .withColumn("_entries", F.transform("_keys", pair))
             .withColumn("_entries", F.transform("_entries", typed))
             .withColumn("_entries", F.transform("_entries", opened))
@@ -213,12 +214,12 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     empty = F.array().cast("array<variant>")
     kept_nodes = F.coalesce(F.slice(nodes, 1, limits.nodes), empty)
     kept_edges = F.coalesce(F.slice(edges, 1, limits.edges), empty)
-    least_cap = min(limits.node_properties, limits.edge_properties, limits.metadata_properties)
+    least_cap = min(limits.node_properties, limits.edge_properties)
     graph_fields = X.fields_of(F.col("graph"))
     repairable = F.col("reason").isNull()
     heads = (with_budget(payloads, limits)
              .withColumns({"_nodes": F.when(repairable, _list("nodes")), "_edges": F.when(repairable, _list("edges")),
-                           "_metadata": F.when(repairable, X.member(F.col("graph"), "metadata"))})
+                           "_metadata": F.when(repairable, F.try_variant_get("graph", "$.metadata", "variant"))})
              .withColumns({
                  "defaulted_nodes": as_number(repairable & nodes.isNull()),
                  "defaulted_edges": as_number(repairable & edges.isNull()),
@@ -227,14 +228,22 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
                  "unknown_top": F.when(repairable, X.unknown_fields(graph_fields, X.GRAPH_FIELDS)).otherwise(0),
                  "_n": F.size(kept_nodes), "_e": F.size(kept_edges),
                  "_elements": F.when(repairable, F.concat(kept_nodes, kept_edges, F.array("_metadata")))}))
-    # The text travels with the elements only where the cap may cut an object,
-    # as the key order then has to be read from it.
-    large = F.exists("_elements", lambda e: F.greatest(
-        F.size(F.try_variant_get(e, "$.properties", "map<string,variant>")),
-        F.size(X.fields_of(e))) > least_cap)
-    rows = heads.withColumn("_source", F.when(large, F.col("payload_json"))).select(
-        *KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
-        "_n", "_e", "_source", F.posexplode_outer("_elements").alias("_i", "element"))
+    # The cap may cut only large objects.  Their key order is read from the
+    # text of their element, taken apart once per payload that holds one.
+    large = (F.size(X.fields_of(F.col("_metadata"))) > limits.metadata_properties) | F.exists(
+        F.concat(kept_nodes, kept_edges),
+        lambda e: F.size(F.try_variant_get(e, "$.properties", "map<string,variant>")) > least_cap)
+    texts = F.from_json("payload_json", "nodes array<string>, edges array<string>, metadata string")
+    no_text = F.array().cast("array<string>")
+    sources = F.concat(F.coalesce(F.slice(texts["nodes"], 1, limits.nodes), no_text),
+                       F.coalesce(F.slice(texts["edges"], 1, limits.edges), no_text), F.array(texts["metadata"]))
+    zipped = F.arrays_zip("_elements", "_sources")
+    rows = (heads
+            .withColumn("_sources", F.when(large, sources).otherwise(no_text))
+            .withColumn("_zipped", F.when(repairable, zipped))
+            .select(*KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
+                    "_n", "_e", F.posexplode_outer("_zipped").alias("_i", "_pair"))
+            .withColumns({"element": F.col("_pair")["_elements"], "_source": F.col("_pair")["_sources"]}).drop("_pair"))
 
     i, n, e = F.col("_i"), F.col("_n"), F.col("_e")
     el = F.col("element")
@@ -242,21 +251,21 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     is_node, is_edge, is_meta = F.col("kind") == "node", F.col("kind") == "edge", F.col("kind") == "metadata"
 
     def ident(name):
-        text = X.text_of(X.member(el, name))
+        text = X.text_of(X.member(fields, name))
         return F.when(X.is_identifier(text, limits.id_chars), text)
 
     fields = F.col("_fields")
     df = (rows
           .withColumns({"kind": kind, "pos": F.when(i < n, i).when(i < n + e, i - n).otherwise(0)})
-          .withColumns({"_fields": F.when(~is_meta, X.fields_of(el)),
-                        "id": F.when(is_node, ident("id")),
+          .withColumn("_fields", F.when(~is_meta, X.fields_of(el)))
+          .withColumns({"id": F.when(is_node, ident("id")),
                         "source": F.when(is_edge, ident("source")),
                         "target": F.when(is_edge, ident("target")),
-                        "_label": F.when(~is_meta, X.member(el, "label")),
-                        "_type": F.when(is_node, X.member(el, "type")),
-                        "_description": F.when(is_node, X.member(el, "description")),
-                        "_weight": F.when(is_edge, X.member(el, "weight")),
-                        "_properties": F.when(is_meta, el).otherwise(X.member(el, "properties"))})
+                        "_label": X.member(fields, "label"),
+                        "_type": F.when(is_node, X.member(fields, "type")),
+                        "_description": F.when(is_node, X.member(fields, "description")),
+                        "_weight": F.when(is_edge, X.member(fields, "weight")),
+                        "_properties": F.when(is_meta, el).otherwise(X.member(fields, "properties"))})
           .withColumn("valid", F.when(is_node, F.col("id").isNotNull())
                       .when(is_edge, F.col("source").isNotNull() & F.col("target").isNotNull())
                       .otherwise(is_meta))
@@ -270,10 +279,9 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
         df = clean_text(df, name, f"_{name}", longest, F.col("valid") & is_node & F.col(f"_{name}").isNotNull())
     cap = (F.when(is_node, limits.node_properties).when(is_edge, limits.edge_properties)
            .otherwise(limits.metadata_properties))
-    path = (F.when(is_meta, "$.metadata").when(is_node, F.format_string("$.nodes[%d].properties", "pos"))
-            .otherwise(F.format_string("$.edges[%d].properties", "pos")))
-    df = clean_properties(df, "_properties", cap, F.call_function("get_json_object", F.col("_source"), path),
-                          limits, F.coalesce(F.col("valid"), F.lit(False)))
+    source = F.when(is_meta, F.col("_source")).otherwise(
+        F.from_json("_source", "properties string")["properties"])
+    df = clean_properties(df, "_properties", cap, source, limits, F.coalesce(F.col("valid"), F.lit(False)))
     df = df.withColumns({
         # Missing metadata is defaulted as well, other missing properties are fine.
         "bad_properties": F.when(is_meta, as_number(F.col("properties").isNull())).otherwise(F.col("bad_properties")),

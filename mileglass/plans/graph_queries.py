@@ -40,7 +40,7 @@ def _explode(spark, sf_dir):
 
 def _identifiers(spark, sf_dir):
     raw = G.explode_elements(order_payloads(spark, sf_dir), "nodes", LIMITS)
-    text = X.text_of(X.member(F.col("element"), "id"))
+    text = X.text_of(F.try_variant_get("element", "$.id", "variant"))
     return raw.select("payload_id", "pos", X.is_identifier(text, LIMITS.id_chars).alias("valid"))
 
 
