@@ -105,7 +105,9 @@ def apply(df: DataFrame, rules: Sequence[Expectation],
     """Enforce a rule set on a batch table.
 
     Fail rules are checked now; the violation counts of the others reach
-    ``observation`` when the result is computed.
+    ``observation`` when the result is computed.  Do not fit MLlib models in a
+    session that has used an ``Observation``: its manager cannot be serialized
+    with them.
     """
     check(df, rules)
     softer = [r for r in rules if r.action != FAIL]

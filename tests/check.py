@@ -31,4 +31,4 @@ if __name__ == "__main__":
                 state = "rows only"
             print(f"{name:28s} {took:6.2f}s {len(got[1]):7d} {state[:600]}", flush=True)
         except Exception as e:
-            print(f"{name:28s} ERROR {type(e).__name__} {str(e)[:900]}", flush=True)
+            print(f"{name:28s} ERROR {type(e).__name__} {str(e)[:300]} ... {str(e)[-1500:]}", flush=True)

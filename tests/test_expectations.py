@@ -24,7 +24,8 @@ def test_fail_rules_raise(spark, good, bad):
 
 
 def test_drop_and_warn_rules(spark, good):
-    df = spark.createDataFrame([*good, trip(fare=1000.0), trip(zip1=0), trip(zip2=None)], TRIP)
+    # A session of its own, as the observation stays with it.
+    df = spark.newSession().createDataFrame([*good, trip(fare=1000.0), trip(zip1=0), trip(zip2=None)], TRIP)
     seen = Observation()
     kept = Q.apply(df, Q.STREAM_TRIP_RULES, seen)
     assert kept.count() == 5
