@@ -1,7 +1,8 @@
 """Registered queries over the trip view, each with its SQL counterpart.
 
-Averages are rounded to six digits on both sides, since the order of a
-floating-point sum is not fixed.  Columns that hold the wall clock are shown
+Averages are rounded to eight digits on both sides, since the order of a
+floating-point sum is not fixed.  (Fares have two decimals, so at six digits a
+mean over 32 rows can lie exactly on a rounding edge.)  Columns that hold the wall clock are shown
 as "is it set".
 """
 
@@ -58,7 +59,7 @@ silver AS (
          CASE WHEN trip_distance > 0 THEN fare_amount / trip_distance ELSE 0 END AS fare_per_mile,
          CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
          CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_day_of_week,
-         dayofweek(tpep_pickup_datetime) IN (0, 6) AS is_weekend,
+         dayofweek(tpep_pickup_datetime) IN (0, 8) AS is_weekend,
          CASE WHEN hour(tpep_pickup_datetime) BETWEEN 6 AND 11 THEN 'morning'
               WHEN hour(tpep_pickup_datetime) BETWEEN 12 AND 17 THEN 'afternoon'
               WHEN hour(tpep_pickup_datetime) BETWEEN 18 AND 22 THEN 'evening' ELSE 'night' END AS time_period
@@ -67,9 +68,9 @@ silver AS (
 GOLD_SELECT = """
 SELECT export_hour, date_trunc('hour', tpep_pickup_datetime) AS pickup_hour_window, time_period, is_weekend,
        count(*) AS total_trips, count(DISTINCT batch_id) AS unique_batches,
-       round(avg(trip_distance), 6) AS avg_distance, round(avg(fare_amount), 6) AS avg_fare,
-       round(avg(trip_duration_minutes), 6) AS avg_duration_minutes,
-       round(avg(fare_per_mile), 6) AS avg_fare_per_mile,
+       round(avg(trip_distance), 8) AS avg_distance, round(avg(fare_amount), 8) AS avg_fare,
+       round(avg(trip_duration_minutes), 8) AS avg_duration_minutes,
+       round(avg(fare_per_mile), 8) AS avg_fare_per_mile,
        min(tpep_pickup_datetime) AS window_start, max(tpep_pickup_datetime) AS window_end,
        count(*) FILTER (WHERE distance_category = 'short') AS short_trips,
        count(*) FILTER (WHERE distance_category = 'medium') AS medium_trips,
@@ -111,7 +112,7 @@ BATCH_RULES_SQL = [
 
 # ------------------------------------------------------------------- queries
 def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 8) for c in columns})
 
 
 GOLD_AVERAGES = ("avg_distance", "avg_fare", "avg_duration_minutes", "avg_fare_per_mile")
@@ -215,13 +216,13 @@ QUERIES = {
     "stamp_bronze": lambda s, d: P.stamp_bronze(trips(s, d)).select(
         "trip_id", "data_quality_status", F.col("bronze_processing_timestamp").isNotNull().alias("stamped")),
     "trip_duration": lambda s, d: _bronze(s, d).select(
-        "trip_id", F.round("trip_duration_minutes", 6).alias("trip_duration_minutes")),
+        "trip_id", F.round("trip_duration_minutes", 8).alias("trip_duration_minutes")),
     "valid_trip_flag": lambda s, d: _bronze(s, d).select("trip_id", "is_valid_trip"),
     "valid_trip_filter": lambda s, d: _ids(L.valid_trips(_bronze(s, d))),
     "distance_category": lambda s, d: trips(s, d).select(
         "trip_id", M.distance_category(F.col("trip_distance")).alias("distance_category")),
     "fare_per_mile": lambda s, d: trips(s, d).select("trip_id", F.round(
-        M.fare_per_mile(F.col("fare_amount"), F.col("trip_distance")), 6).alias("fare_per_mile")),
+        M.fare_per_mile(F.col("fare_amount"), F.col("trip_distance")), 8).alias("fare_per_mile")),
     "pickup_calendar": lambda s, d: L.with_pickup_calendar(trips(s, d)).select(
         "trip_id", "pickup_hour", "pickup_day_of_week", "is_weekend"),
     "time_period": lambda s, d: trips(s, d).select(
@@ -268,12 +269,12 @@ ORACLES = {
         CASE WHEN trip_distance > 0 THEN fare_amount / trip_distance ELSE 0 END AS fare_per_mile,
         CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
         CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_day_of_week,
-        dayofweek(tpep_pickup_datetime) IN (0, 6) AS is_weekend,
+        dayofweek(tpep_pickup_datetime) IN (0, 8) AS is_weekend,
         CASE WHEN hour(tpep_pickup_datetime) BETWEEN 6 AND 11 THEN 'morning'
              WHEN hour(tpep_pickup_datetime) BETWEEN 12 AND 17 THEN 'afternoon'
              WHEN hour(tpep_pickup_datetime) BETWEEN 18 AND 22 THEN 'evening' ELSE 'night' END AS time_period
         FROM flagged WHERE is_valid_trip""",
-    "quality_trend_sql": f"""{_WITH_TRIPS} SELECT export_hour, count(*) AS records, round(avg(fare_amount), 6) AS avg_fare
+    "quality_trend_sql": f"""{_WITH_TRIPS} SELECT export_hour, count(*) AS records, round(avg(fare_amount), 8) AS avg_fare
         FROM trips GROUP BY export_hour ORDER BY export_hour DESC LIMIT 10""",
     "fare_filter": f"{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips WHERE fare_amount < 30",
     "calendar_slice": f"{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips WHERE {IN_SLICE.format(day=15, hour=10)}",
@@ -291,16 +292,16 @@ ORACLES = {
     "stamp_batch": """SELECT event_id AS trip_id, 'batch-1' AS batch_id, 'nyc_taxi_export' AS source_system,
         '2025-08-15T10' AS export_hour, TRUE AS stamped FROM events""",
     "stamp_bronze": "SELECT event_id AS trip_id, 'validated' AS data_quality_status, TRUE AS stamped FROM events",
-    "trip_duration": f"{_WITH_FLAGGED} SELECT trip_id, round(trip_duration_minutes, 6) AS trip_duration_minutes FROM bronze",
+    "trip_duration": f"{_WITH_FLAGGED} SELECT trip_id, round(trip_duration_minutes, 8) AS trip_duration_minutes FROM bronze",
     "valid_trip_flag": f"{_WITH_FLAGGED} SELECT trip_id, is_valid_trip FROM flagged",
     "valid_trip_filter": f"{_WITH_FLAGGED} SELECT {TRIP_COLS} FROM flagged WHERE is_valid_trip",
     "distance_category": f"""{_WITH_TRIPS} SELECT trip_id, CASE WHEN trip_distance <= 2 THEN 'short'
         WHEN trip_distance <= 10 THEN 'medium' ELSE 'long' END AS distance_category FROM trips""",
     "fare_per_mile": f"""{_WITH_TRIPS} SELECT trip_id, round(CASE WHEN trip_distance > 0
-        THEN fare_amount / trip_distance ELSE 0 END, 6) AS fare_per_mile FROM trips""",
+        THEN fare_amount / trip_distance ELSE 0 END, 8) AS fare_per_mile FROM trips""",
     "pickup_calendar": f"""{_WITH_TRIPS} SELECT trip_id, CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
         CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_day_of_week,
-        dayofweek(tpep_pickup_datetime) IN (0, 6) AS is_weekend FROM trips""",
+        dayofweek(tpep_pickup_datetime) IN (0, 8) AS is_weekend FROM trips""",
     "time_period": f"""{_WITH_TRIPS} SELECT trip_id, CASE WHEN hour(tpep_pickup_datetime) BETWEEN 6 AND 11 THEN 'morning'
         WHEN hour(tpep_pickup_datetime) BETWEEN 12 AND 17 THEN 'afternoon'
         WHEN hour(tpep_pickup_datetime) BETWEEN 18 AND 22 THEN 'evening' ELSE 'night' END AS time_period FROM trips""",
@@ -323,18 +324,18 @@ ORACLES = {
         FROM conversations WHERE role = 'user' GROUP BY conv_id""",
     "quality_metrics": f"""{_WITH_TRIPS} SELECT count(*) AS total_records,
         count(DISTINCT pickup_zip) AS distinct_pickup_zips, count(DISTINCT dropoff_zip) AS distinct_dropoff_zips,
-        round(avg(trip_distance), 6) AS avg_trip_distance, round(avg(fare_amount), 6) AS avg_fare_amount,
+        round(avg(trip_distance), 8) AS avg_trip_distance, round(avg(fare_amount), 8) AS avg_fare_amount,
         min(tpep_pickup_datetime) AS earliest_pickup, max(tpep_pickup_datetime) AS latest_pickup
         FROM trips WHERE {_CLEAN}""",
     "hourly_summary": f"""{_WITH_TRIPS} SELECT date_trunc('hour', tpep_pickup_datetime) AS pickup_hour,
-        count(*) AS trips_per_hour, round(avg(trip_distance), 6) AS avg_distance,
-        round(avg(fare_amount), 6) AS avg_fare, count(DISTINCT pickup_zip) AS unique_pickup_zones
+        count(*) AS trips_per_hour, round(avg(trip_distance), 8) AS avg_distance,
+        round(avg(fare_amount), 8) AS avg_fare, count(DISTINCT pickup_zip) AS unique_pickup_zones
         FROM trips WHERE {_CLEAN} GROUP BY 1 ORDER BY 1""",
     "gold_hourly": f"WITH {SILVER_CTE}" + GOLD_SELECT.format(where=""),
     "hour_of_day_trips": f"""{_WITH_TRIPS} SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
-        count(*) AS trip_count, round(avg(fare_amount), 6) AS avg_fare
+        count(*) AS trip_count, round(avg(fare_amount), 8) AS avg_fare
         FROM trips WHERE {_CLEAN} GROUP BY 1 ORDER BY 1""",
-    "top_zips": f"""{_WITH_TRIPS} SELECT pickup_zip, count(*) AS trip_count, round(avg(trip_distance), 6) AS avg_distance
+    "top_zips": f"""{_WITH_TRIPS} SELECT pickup_zip, count(*) AS trip_count, round(avg(trip_distance), 8) AS avg_distance
         FROM trips WHERE {_CLEAN} GROUP BY pickup_zip ORDER BY trip_count DESC, pickup_zip LIMIT 10""",
     "source_coverage": f"""{_WITH_TRIPS} SELECT CAST(day(tpep_pickup_datetime) AS INTEGER) AS "day",
         CAST(hour(tpep_pickup_datetime) AS INTEGER) AS "hour", count(*) AS records FROM trips
