@@ -262,7 +262,7 @@ ORACLES = {
                trip_distance, fare_amount, pickup_zip, dropoff_zip, 'batch-1' AS batch_id,
                'nyc_taxi_export' AS source_system, '2025-08-15T10' AS export_hour,
                (SELECT count(*) FROM picked) AS written_rows FROM picked""",
-    "layer_sink": f"""WITH {BRONZE_CTE.replace('fare_amount < 1000', 'TRUE')} SELECT
+    "layer_sink": f"""WITH {BRONZE_CTE} SELECT
         tpep_pickup_datetime, tpep_dropoff_datetime, trip_distance, fare_amount, pickup_zip, dropoff_zip, trip_id,
         export_hour, batch_id, trip_duration_minutes, is_valid_trip,
         CASE WHEN trip_distance <= 2 THEN 'short' WHEN trip_distance <= 10 THEN 'medium' ELSE 'long' END AS distance_category,
