@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mileglass.llm import decontamination as D
 from mileglass.llm import quality as Q
+from mileglass.llm import simhash as S
 from mileglass.llm import url_filter as U
 from mileglass.llm.text import stored
 
@@ -16,6 +18,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words, items and the verdict of every document against the whole benchmark."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = D.scan_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    hits = F.col("contamination")
+    return scanned.select("doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"),
+                          F.size(hits["items"]).cast("long").alias("n_items"),
+                          F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"),
+                          D.contaminated().alias("contaminated"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = S.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, hard rules and the weakly supervised verdict for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +73,8 @@ GROUP BY p.page_id, p.host, p.path
 """
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filters": op9_url_filters,
 }
