@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mileglass.llm import bpe as B
 from mileglass.llm import decontamination as D
 from mileglass.llm import quality as Q
 from mileglass.llm import simhash as S
+from mileglass.llm import token_counts as T
 from mileglass.llm import url_filter as U
 from mileglass.llm.text import stored
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+TOKEN_LIMIT = 4096
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on the driver; operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +46,17 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, whether it passes the limit, and the longest prefix within it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = T.count_tokens(spark, F.col("text"), tokenizer_file("piece_bpe_32k.model"), TOKEN_LIMIT)
+    c = F.col("counted")
+    return docs.withColumn("counted", counted).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        c["n_tokens"].alias("n_tokens"), (c["n_tokens"] > TOKEN_LIMIT).alias("over_limit"),
+        c["budget_chars"].alias("budget_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, hard rules and the weakly supervised verdict for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +76,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "host", "path", "rule", "verdict"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    docs, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json")
+    encoded = docs.select("doc_id", B.encode(spark, F.col("text"), path).alias("ids"))
+    decoded = encoded.withColumn("decoded", B.decode(spark, F.col("ids"), path))
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP9_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -75,8 +106,10 @@ GROUP BY p.page_id, p.host, p.path
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filters": op9_url_filters,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
