@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mileglass.llm.text import free_name, lower_ascii, stored
+from mileglass.llm.text import free_name, lower_ascii, replace_spans, stored
 
 WINDOW = 13
 #: Words are runs of digits, letters a-z and everything beyond ASCII; the same on UTF-8 bytes and on characters.
@@ -181,11 +181,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", remove:
     bad = contaminated(into, percent)
     if remove == "documents":
         return scanned.filter(~bad).select(*docs.columns)
-    t, spans = F.col(text), F.col(into)["spans"]
-    n = F.size(spans)
-    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
-        t, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).cast("int") + 1,
-        (F.coalesce(F.get(spans, i)["start"], F.length(t).cast("long"))
-         - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))).cast("int")))
-    return (scanned.withColumn(text, F.when(bad, F.array_join(pieces, "")).otherwise(t))
-            .select(*docs.columns))
+    clean = replace_spans(F.col(text), F.col(into)["spans"], "")
+    return scanned.withColumn(text, F.when(bad, clean).otherwise(F.col(text))).select(*docs.columns)

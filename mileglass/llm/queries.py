@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mileglass.llm import bpe as B
+from mileglass.llm import chat as C
 from mileglass.llm import decontamination as D
 from mileglass.llm import quality as Q
+from mileglass.llm import secret_scan as X
 from mileglass.llm import simhash as S
 from mileglass.llm import token_counts as T
 from mileglass.llm import url_filter as U
@@ -46,6 +48,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations as training text."""
+    return C.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn) AS said FROM turns GROUP BY conv_id
+), prefixes AS (
+  SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n)) AS k FROM whole)
+), kept AS (
+  SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_logged
+  FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.said = w.said) GROUP BY said, n
+)
+SELECT k.conv_id, CAST(floor(t.turn / 256) AS BIGINT) AS part, k.n_turns, k.n_logged,
+       string_agg('<|im_start|>' || replace(coalesce(t.role, 'unknown'), '<|im_', '<| im_') || chr(10)
+                  || replace(coalesce(t.text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), ''
+                  ORDER BY t.turn) AS chat
+FROM kept k JOIN turns t USING (conv_id) GROUP BY ALL
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, whether it passes the limit, and the longest prefix within it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +83,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         c["budget_chars"].alias("budget_chars"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the fixed shapes, their digest, and all spans of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", X.scan_secrets(F.col("text")).alias("spans"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), count("named"),
+                        F.sha2(X.span_list(F.col("spans"), X.KINDS[:3]), 256).alias("base_sha256"),
+                        X.span_list(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, hard rules and the weakly supervised verdict for every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,12 +145,15 @@ GROUP BY p.page_id, p.host, p.path
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_token_counts": op5_token_counts,
+    "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
+    "op3_chat_formatting": OP3_SQL,
     "op9_url_filters": OP9_SQL,
 }

@@ -52,3 +52,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def replace_spans(text: Column, spans: Column, filler: str) -> Column:
+    """``text`` with each span (struct start, end in characters; sorted, apart from each other) replaced."""
+    n = F.size(spans)
+    ends = F.transform(F.sequence(F.lit(0), n), lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).cast("int"))
+    pieces = F.transform(ends, lambda end, i: F.substring(
+        text, end + 1, (F.coalesce(F.get(spans, i)["start"].cast("int"), F.length(text)) - end)))
+    return F.when(n > 0, F.array_join(pieces, filler)).otherwise(text)
