@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mileglass.llm import bpe as B
 from mileglass.llm import chat as C
+from mileglass.llm import context_tree as CT
 from mileglass.llm import decontamination as D
 from mileglass.llm import quality as Q
 from mileglass.llm import secret_scan as X
 from mileglass.llm import simhash as S
 from mileglass.llm import token_counts as T
+from mileglass.llm import unigrams as W
 from mileglass.llm import url_filter as U
 from mileglass.llm.text import stored
 
@@ -27,6 +29,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _fold(parts: int) -> Column:
+    """The fold of a document by its id; a NULL id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,6 +79,19 @@ FROM kept k JOIN turns t USING (conv_id) GROUP BY ALL
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of every document, learned from nine of ten folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = _fold(10) != 0
+    tree = CT.fit_context_tree(docs.filter(training).select("text"))
+    scored = W.unigram_scores(docs, training, keep={
+        "doc_id": F.col("doc_id"), "held_out": ~training,
+        "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
+        "score": CT.score_texts(F.col("text"), tree, spark)})
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         CT.bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, whether it passes the limit, and the longest prefix within it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,6 +166,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
