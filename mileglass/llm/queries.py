@@ -9,6 +9,7 @@ from mileglass.llm import bpe as B
 from mileglass.llm import chat as C
 from mileglass.llm import context_tree as CT
 from mileglass.llm import decontamination as D
+from mileglass.llm import language as L
 from mileglass.llm import quality as Q
 from mileglass.llm import secret_scan as X
 from mileglass.llm import simhash as S
@@ -128,6 +129,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "quality")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four of five folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _fold(5) == 0
+    model = L.fit_language_model(docs.filter(~held_out).select("text", "lang"))
+    found = docs.select("doc_id", held_out.alias("held_out"), L.identify(spark, F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, winning rule and verdict of every page."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -170,6 +180,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_bpe": op10_bpe,
 }
