@@ -1,12 +1,13 @@
 """Repair of tables of JSON node/edge graphs, one payload per row.
 
-Input columns: payload_id (unique), source_agent_id, anchor_message_id,
-run_id, payload_json.
-
-The job hashes the raw payloads by ``payload_id`` once.  Payloads are then
-exploded to element rows, cleaned by generated code, and grouped again by the
-same key, which needs no second shuffle.  A payload above the byte limit is
-never exploded, so the rows of one key are bounded by that limit.
+Input columns: payload_id, source_agent_id, anchor_message_id, run_id,
+payload_json.  Ids may be NULL or repeated: every row is a payload of its own.
+
+Raw payloads are never shuffled.  Each row gets a number, is exploded to
+element rows and cleaned by generated code within its task; the cleaned
+elements of a row are grouped in that task before one shuffle by row number.
+Row numbers are all different, so no payload id can be a hot key, and a
+payload above the byte limit is never exploded, so a group is bounded by it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from mileglass.functions import cleaning as X
 from mileglass.functions.cleaning import GraphLimits, as_number
 
 KEYS = ("payload_id", "source_agent_id", "anchor_message_id", "run_id")
+ROW = "_row"
 
 # The names of all repair actions, in order.
 ACTIONS = (
@@ -241,7 +243,7 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     rows = (heads
             .withColumn("_sources", F.when(large, sources).otherwise(no_text))
             .withColumn("_zipped", F.when(repairable, zipped))
-            .select(*KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
+            .select(ROW, *KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
                     "_n", "_e", F.posexplode_outer("_zipped").alias("_i", "_pair"))
             .withColumns({"element": F.col("_pair")["_elements"], "_source": F.col("_pair")["_sources"]}).drop("_pair"))
 
@@ -293,21 +295,36 @@ def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
 
 
 # -------------------------------------------------------------------- repair
-def repair_graphs(payloads: DataFrame, limits: GraphLimits, co_located: bool = False) -> DataFrame:
+def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     """All payloads with ``status``, ``reason``, ``nodes``, ``edges``,
     ``metadata`` and one ``n_<action>`` column per repair action.
 
     status: accepted, skipped (no node left), quarantined, or absent.
     ``edges`` holds every edge looked at with the test it stopped at; nodes
-    holds kept nodes.  Set ``co_located`` if the input is bucketed by
-    payload_id already.
+    holds kept nodes.
     """
-    if not co_located:
-        # A fixed number: the work is parsing, so partitions that are small
-        # in bytes should not be merged.
-        n = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        payloads = payloads.repartition(n, "payload_id")
-    return _link(_grouped(clean_elements(payloads, limits)))
+    numbered = payloads.withColumn(ROW, F.monotonically_increasing_id())
+    return _link(_grouped(clean_elements(numbered, limits)))
+
+
+def payload_status(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    """payload_id, source_agent_id, status and reason of each payload, as
+    ``repair_graphs`` gives them, without the repair: a payload is accepted if
+    some node within the cap has an id and a label, which its row alone tells.
+    """
+    def usable(node):
+        fields = X.fields_of(node)
+        label = X.text_of(X.member(fields, "label"))
+        return (X.is_identifier(X.text_of(X.member(fields, "id")), limits.id_chars)
+                & F.coalesce(X.squeezed(label) != "", F.lit(False)))
+
+    reason = F.col("reason")
+    has_node = F.coalesce(F.exists(F.slice(_list("nodes"), 1, limits.nodes), usable), F.lit(False))
+    return with_budget(payloads, limits).withColumn("_usable", F.when(reason.isNull(), has_node)).select(
+        "payload_id", "source_agent_id",
+        F.when(reason == "absent", "absent").when(reason.isNotNull(), "quarantined")
+        .when(F.col("_usable"), "accepted").otherwise("skipped").alias("status"),
+        F.coalesce(reason, F.when(~F.col("_usable"), "no_nodes")).alias("reason"))
 
 
 def _grouped(elements: DataFrame) -> DataFrame:
@@ -324,7 +341,7 @@ def _grouped(elements: DataFrame) -> DataFrame:
     edge = F.struct("pos", "valid", "source", "target", "label", "weight", "properties", "bad_weight",
                     *(f"label_{c}" for c in TEXT_COUNTS), *PROPERTY_COUNTS)
     heads = ("defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top")
-    return elements.groupBy(*KEYS, "reason", *heads).agg(
+    return elements.groupBy(ROW, *KEYS, "reason", *heads).agg(
         F.collect_list(F.when(is_node & F.col("valid"), node)).alias("nodes"),
         F.collect_list(F.when(is_edge, edge)).alias("edges"),
         F.any_value(F.when(is_meta, F.col("properties")), True).alias("metadata"),

@@ -44,13 +44,16 @@ def winsorize(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99)
 
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - median) / interquartile range; a range of zero counts as one."""
-    marks = pivot_quantiles(exact_quantiles(df, list(columns), [0.25, 0.5, 0.75]), [],
-                            {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+    quantiles = exact_quantiles(df, list(columns), [0.25, 0.5, 0.75])
+    # One row with all marks: three numbers for each column.
+    marks = quantiles.agg(*(F.max(F.when((F.col("column") == c) & (F.col("probability") == p), F.col("quantile")))
+                            .alias(f"{c} {p}") for c in columns for p in (0.25, 0.5, 0.75))).first()
 
     def scaled(c):
-        mine = marks.filter(F.col("column") == c)
-        width = mine.select((F.col("q75") - F.col("q25")).alias("w")).scalar()
-        return (F.col(c) - mine.select("q50").scalar()) / F.coalesce(F.nullif(width, F.lit(0.0)), F.lit(1.0))
+        low, middle, high = (marks[f"{c} {p}"] for p in (0.25, 0.5, 0.75))
+        if middle is None:
+            return F.lit(None).cast("double")
+        return (F.col(c) - F.lit(middle)) / F.lit((high - low) or 1.0)
     return df.withColumns({c: scaled(c) for c in columns})
 
 
@@ -58,16 +61,18 @@ def stratified_split(df: DataFrame, target: str, key: str, train: float = 0.8, s
     """Add ``is_train``: the same share of every target value, fixed by the key.
 
     A row is in training if the hash of its key is at most an exact quantile
-    of its stratum, so no stratum is sorted in one task.
+    of its stratum, so no stratum is sorted in one task.  Rows without a target
+    are a stratum of their own; rows without a key are not in training.
     """
     hashed = df.withColumn("_hash", md5_number(F.col(key), seed, 12))
     cuts = exact_quantiles(hashed, ["_hash"], [train], by=[target], discrete=True).select(
         target, F.col("quantile").alias("_cut"))
-    return attach(hashed, cuts, [target]).withColumn("is_train", F.col("_hash") <= F.col("_cut")).drop("_hash", "_cut")
+    return attach(hashed, cuts, [target]).withColumn(
+        "is_train", F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False))).drop("_hash", "_cut")
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """Add ``class_weight``: n / (classes * rows of the class)."""
+    """Add ``class_weight``: n / (classes * rows of the class); NULL is a class."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_rows"))
     whole = counts.agg((F.sum("_rows") / F.count(F.lit(1))).alias("v")).scalar()
     weights = counts.select(target, (whole / F.col("_rows")).alias("class_weight"))

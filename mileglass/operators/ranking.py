@@ -1,39 +1,31 @@
 """Exact quantiles and ranks without sorting a group in one task.
 
 Values are counted per distinct value first, so a value that fills a third of
-the table is one row.  Small intermediate results are handled as local tables
-after a check of their size; large ones are stored once and ranked bucket by
-bucket.
+the table is one row.  Counts are dealt out in ranges, stored once and ranked
+range by range; the plan is the same for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mileglass.session import run_dir
 
-SMALL_ROWS = 50_000
 
+def attach(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of a lookup; a NULL key meets a NULL key.
 
-def bounded_rows(df: DataFrame, most: int) -> list[Row] | None:
-    """All rows if there are at most ``most`` of them, else None."""
-    rows = df.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
-
-
-def attach(big: DataFrame, small: DataFrame, on: Sequence[str], most: int = SMALL_ROWS) -> DataFrame:
-    """Left join of a lookup.  It is broadcast if its row count proves small,
-    and joined by shuffle otherwise."""
-    rows = bounded_rows(small, most)
-    if rows is None:
-        return big.join(small, list(on), "left")
-    local = big.sparkSession.createDataFrame(rows, small.schema)
-    return big.join(F.broadcast(local), list(on), "left")
+    How to join is left to the optimizer, which knows the bytes of both sides when it runs.
+    """
+    keys = {c: f"_key_{c}" for c in on}
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return big.join(small.withColumnsRenamed(keys), match, "left").drop(*keys.values())
 
 
 def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -43,43 +35,31 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return df.select(*by, F.inline(pairs)).filter(F.col("value").isNotNull())
 
 
-def with_running_counts(counts: DataFrame, keys: Sequence[str], value: str = "value", n: str = "n",
-                        small: int = SMALL_ROWS) -> DataFrame:
+def with_running_counts(counts: DataFrame, keys: Sequence[str], value: str = "value", n: str = "n") -> DataFrame:
     """Add ``before``: the sum of ``n`` over smaller values of the same keys.
 
     ``counts`` holds one row per keys and value.  A NULL value sorts first.
+
+    The rows are dealt out by ranges of keys and value, so that each task holds a stretch of the order, whatever the
+    number of keys.  They are stored with their stretch; a sum per stretch tells what lies before it.
     """
     spark = counts.sparkSession
-    earlier = Window.orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, -1)
-
-    def sum_before(column, *partition):
-        return F.coalesce(F.sum(column).over(earlier.partitionBy(*partition)), F.lit(0))
-
-    rows = bounded_rows(counts, small)
-    if rows is not None:
-        local = spark.createDataFrame(rows, counts.schema)
-        return local.withColumn("before", sum_before(n, *keys))
-
-    # Stored once: the three steps below read it instead of the source.
     path = run_dir(spark, "counts")
-    counts.write.parquet(path)
-    stored = spark.read.schema(counts.schema).parquet(path)
-    buckets = max(8, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    grid = stored.groupBy(*keys).agg(F.percentile_approx(
-        value, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("_grid"))
-    placed = attach(stored, grid, keys).withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_grid", lambda g: g < F.col(value))), F.lit(0))).drop("_grid")
-    totals = placed.groupBy(*keys, "_bucket").agg(F.sum(n).alias("_total"))
-    order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    (counts.repartitionByRange(*keys, F.asc_nulls_first(value))
+     .withColumn("_stretch", F.spark_partition_id()).write.parquet(path))
+    stored = spark.read.schema(T.StructType([*counts.schema.fields, T.StructField("_stretch", T.IntegerType())])).parquet(path)
+    totals = stored.groupBy(*keys, "_stretch").agg(F.sum(n).alias("_total"))
+    order = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(order), F.lit(0))).drop("_total")
-    return (attach(placed, offsets, [*keys, "_bucket"])
-            .withColumn("before", F.col("_offset") + sum_before(n, *keys, "_bucket"))
-            .drop("_bucket", "_offset"))
+    within = (Window.partitionBy(*keys, "_stretch").orderBy(F.asc_nulls_first(value))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (attach(stored, offsets, [*keys, "_stretch"])
+            .withColumn("before", F.col("_offset") + F.coalesce(F.sum(n).over(within), F.lit(0)))
+            .drop("_stretch", "_offset"))
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-                    by: Sequence[str] = (), discrete: bool = False, accuracy: int = 10_000,
-                    small: int = SMALL_ROWS) -> DataFrame:
+                    by: Sequence[str] = (), discrete: bool = False, accuracy: int = 10_000) -> DataFrame:
     """Exact quantiles: (by..., column, probability, n, quantile).
 
     Two passes.  A sketch with a guaranteed rank error brackets each quantile;
@@ -112,7 +92,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     groups = [*keys, "size", "probability", "rank"]
     counts = rows.groupBy(*groups, F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    ranked = with_running_counts(counts, groups, small=small)
+    ranked = with_running_counts(counts, groups)
 
     def at(rank):
         inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
@@ -130,39 +110,46 @@ def pivot_quantiles(quantiles: DataFrame, by: Sequence[str], names: dict[float,
         F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for p, name in names.items()))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str], small: int = SMALL_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n, rank) per distinct value; ties share their mean rank."""
     counts = long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_running_counts(counts, ["column"], small=small)
+    ranked = with_running_counts(counts, ["column"])
     return ranked.select("column", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def spearman(df: DataFrame, x: str, y: str, small: int = SMALL_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns over the rows that have both.
 
-    Works on distinct pairs, joined to the ranks of their two values.
+    Works on distinct pairs with their counts, stored once.  The ranks of both columns come from sums over the pairs;
+    they are looked up by joins that the optimizer broadcasts or splits by size.
     """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranks = average_ranks(both, ["x", "y"], small)
-    pairs = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-
-    def of(column):
-        return ranks.filter(F.col("column") == column).select(
-            F.col("value").alias(column), F.col("rank").alias(f"r{column}"))
-    joined = pairs.join(of("x"), "x").join(of("y"), "y")
-    middle = F.lit(both.agg(((F.count(F.lit(1)) + 1) / 2).alias("m")).scalar())
-    w, a, b = F.col("w"), F.col("rx") - middle, F.col("ry") - middle
-    sums = joined.agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
-    return sums.select(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
-                       (F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("rho"))
-
-
-def area_under_curve(df: DataFrame, score: str, label: str, small: int = SMALL_ROWS) -> DataFrame:
+    path = run_dir(df.sparkSession, "pairs")
+    both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")).write.parquet(path)
+    pairs = df.sparkSession.read.schema("x double, y double, w bigint").parquet(path)
+
+    def ranks(column):
+        counts = pairs.groupBy(F.col(column).alias("value")).agg(F.sum("w").alias("n")).withColumn("column", F.lit(column))
+        ranked = with_running_counts(counts, ["column"])
+        return ranked.select(F.col("value").alias(column), "n", (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{column}"))
+
+    rank_x, rank_y = ranks("x"), ranks("y")
+    middle = (pairs.agg(F.sum("w")).first()[0] or 0) / 2 + 0.5
+    crossed = attach(attach(pairs, rank_x.drop("n"), ["x"]), rank_y.drop("n"), ["y"]).agg(
+        F.sum(F.col("w") * (F.col("rx") - middle) * (F.col("ry") - middle)).alias("ab"))
+    alone = [r.agg(F.sum(F.col("n") * (F.col(c) - middle) * (F.col(c) - middle)).alias(name))
+             for r, c, name in ((rank_x, "rx", "aa"), (rank_y, "ry", "bb"))]
+    a, b = (t.scalar() for t in alone)
+    return crossed.select(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
+                          (F.col("ab") / F.sqrt(a * b)).alias("rho"))
+
+
+def area_under_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Exact AUC from average ranks; labels are 0 and 1."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("ones"))
-    ranked = with_running_counts(counts.withColumn("column", F.lit(score)), ["column"], small=small)
+    ranked = with_running_counts(counts.withColumn("column", F.lit(score)), ["column"])
     rank = F.col("before") + (F.col("n") + 1) / 2
     p, n = F.sum("ones"), F.sum("n")
     area = (F.sum(F.col("ones") * rank) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mileglass.functions import cleaning as X
 from mileglass.functions.cleaning import GraphLimits
 from mileglass.operators import graphs as G
-from mileglass.sources.adapters import order_payloads, spread
+from mileglass.sources.adapters import order_payloads
 from mileglass.sources.tables import driver_table
 
 LIMITS = GraphLimits(
@@ -22,7 +22,7 @@ TEXT_LIMIT = 60
 
 
 def _repaired(spark, sf_dir):
-    return G.repair_graphs(order_payloads(spark, sf_dir, spread_rows=False), LIMITS)
+    return G.repair_graphs(order_payloads(spark, sf_dir), LIMITS)
 
 
 def _budget(spark, sf_dir):
@@ -46,7 +46,7 @@ def _identifiers(spark, sf_dir):
 
 def _clean_text(spark, sf_dir):
     talk = driver_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return G.clean_text(spread(talk), "clean", "text", TEXT_LIMIT, is_variant=False).drop("text", "clean_non_text")
+    return G.clean_text(talk, "clean", "text", TEXT_LIMIT, is_variant=False).drop("text", "clean_non_text")
 
 
 def _clean_scalar(spark, sf_dir):
@@ -116,7 +116,7 @@ QUERIES = {
     "graph_unknown_fields": lambda s, d: G.unknown_field_counts(_repaired(s, d)),
     "graph_repair_counts": lambda s, d: G.repair_counts(_repaired(s, d)),
     "graph_repair_totals": lambda s, d: G.repair_totals(_repaired(s, d)),
-    "graph_quarantine": lambda s, d: G.quarantine(_repaired(s, d)),
+    "graph_quarantine": lambda s, d: G.payload_status(order_payloads(s, d), LIMITS),
     "graph_artifacts": _artifacts,
 }
 

@@ -21,10 +21,10 @@ SILVER_COLS = ("trip_id, batch_id, export_hour, trip_duration_minutes, distance_
                "fare_per_mile, pickup_hour, pickup_day_of_week, is_weekend, time_period")
 
 
-def event_stream(spark, sf_dir):
+def event_stream(spark, sf_dir, max_files=S.MAX_FILES_PER_TRIGGER):
     """The event table as a file stream; the pattern also matches one file."""
     schema = driver_table(spark, sf_dir, "events").schema
-    return stream_files(spark, f"{sf_dir}/events.parque*", schema)
+    return stream_files(spark, f"{sf_dir}/events.parque*", schema, max_files)
 
 
 def trip_stream(spark, sf_dir):
@@ -54,7 +54,7 @@ def _gold(spark, sf_dir):
 
 
 def _approx_distinct(spark, sf_dir):
-    stream = trips_from_events(event_stream(spark, sf_dir)).withWatermark(S.PICKUP, S.WATERMARK)
+    stream = trips_from_events(event_stream(spark, sf_dir, None)).withWatermark(S.PICKUP, S.WATERMARK)
     counted = stream.groupBy(F.window(S.PICKUP, "1 hour").alias("w")).agg(
         F.approx_count_distinct("batch_id").alias("unique_batches"))
     layer = Layer("batches", run_dir(spark, "stream"), "gold")

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # options, so a cluster may override any of them.
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -30,8 +31,10 @@ def build_session(app: str = "mileglass", master: str | None = None, **conf: str
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Fix the session time zone: calendar fields are defined in UTC."""
+    """Fix what results depend on: calendar fields are in UTC, and of a key
+    repeated in a JSON object the last value counts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

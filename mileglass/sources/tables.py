@@ -32,13 +32,13 @@ def with_lineage(df: DataFrame) -> DataFrame:
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType,
-                 max_files: int = S.MAX_FILES_PER_TRIGGER) -> DataFrame:
+                 max_files: int | None = S.MAX_FILES_PER_TRIGGER) -> DataFrame:
     """Parquet files as a stream: existing files first, then new arrivals.
 
     ``path`` may be a folder (searched in depth, since a batch is itself a
-    folder of part files) or a glob pattern.
+    folder of part files) or a glob pattern.  ``max_files`` is for stateless
+    streams; give None where event time is aggregated, since a first trigger
+    with late times would make the files of later triggers late.
     """
-    return (spark.readStream.format("parquet").schema(schema)
-            .option("maxFilesPerTrigger", max_files)
-            .option("recursiveFileLookup", "true")
-            .load(path))
+    reader = spark.readStream.format("parquet").schema(schema).option("recursiveFileLookup", "true")
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).load(path)

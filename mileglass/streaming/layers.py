@@ -36,18 +36,25 @@ def run_layer(df: DataFrame, layer: Layer) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(layer.path)
 
 
-def read_layer_stream(spark: SparkSession, layer: Layer, schema: T.StructType,
-                      max_files: int = S.MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """A layer as the stream input of the next one."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(layer.path))
+def read_layer_stream(spark: SparkSession, layer: Layer, schema: T.StructType) -> DataFrame:
+    """A layer as the stream input of the next one.
+
+    All new files of the layer are one batch.  Were they cut into several, the first would move the watermark of an
+    event-time aggregation to its latest time, and rows of the others would be thrown away as late.
+    """
+    return spark.readStream.schema(schema).parquet(layer.path)
 
 
 class TripLayers:
     """Landing, bronze, silver and gold below one root folder.
 
     Each ``run_*`` method processes what is new since its last call, also
-    after a restart, and returns the stored layer.
+    after a restart, and returns the stored layer.  ``max_files`` limits the
+    files of one trigger at the landing source only, which has no state.
+
+    The file sinks keep a log of every file they wrote; set
+    ``spark.sql.streaming.fileSink.log.cleanupDelay`` and the ``retention``
+    option of the sink to the time a reader may need to catch up.
     """
 
     def __init__(self, spark: SparkSession, root: str,
@@ -68,16 +75,16 @@ class TripLayers:
         return run_layer(stream, self.landing)
 
     def run_bronze(self, schema: T.StructType) -> DataFrame:
-        typed = L.bronze(read_layer_stream(self.spark, self.landing, schema, self.max_files))
+        typed = L.bronze(read_layer_stream(self.spark, self.landing, schema))
         return run_layer(guard_stream(typed, self.rules, "bronze_rules"), self.bronze)
 
     def run_silver(self, schema: T.StructType) -> DataFrame:
         return run_layer(
-            L.silver(read_layer_stream(self.spark, self.bronze, schema, self.max_files)), self.silver)
+            L.silver(read_layer_stream(self.spark, self.bronze, schema)), self.silver)
 
     def run_gold(self, schema: T.StructType) -> DataFrame:
         return run_layer(
-            L.gold_hourly(read_layer_stream(self.spark, self.silver, schema, self.max_files)), self.gold)
+            L.gold_hourly(read_layer_stream(self.spark, self.silver, schema)), self.gold)
 
     def run_to_silver(self, stream: DataFrame) -> DataFrame:
         landed = self.run_landing(stream)

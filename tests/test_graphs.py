@@ -173,6 +173,31 @@ def test_one_shuffle(spark, repaired):
     df = spark.createDataFrame([("p", "a", "m", "r", "{}")], COLUMNS)
     plan = G.artifacts(G.repair_graphs(df, LIMITS), 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # Raw payloads stay where they were read: only grouped elements move.
+    assert "payload_json" not in plan[:plan.index("Exchange hashpartitioning")] and "_row" in plan
+
+
+def test_equal_and_missing_ids_stay_apart(spark):
+    graphs = [graph(), {"nodes": [{"id": "z", "label": "Z"}], "edges": [], "metadata": {"k": 1}}]
+    rows = [(i, "agent", "m1", "r", json.dumps(g)) for i in ("same", None) for g in graphs for _ in range(2)]
+    repaired = G.repair_graphs(spark.createDataFrame(rows, COLUMNS), LIMITS)
+    got = sorted((str(r.payload_id), len(r.nodes), len(r.metadata)) for r in repaired.collect())
+    assert got == sorted([(i, len(g["nodes"]), len(g["metadata"])) for i in ("same", "None") for g in graphs] * 2)
+
+
+def test_status_without_repair(spark, repaired):
+    rows = [(name, "agent", "m1", None, json.dumps(g)) for name, (g, _) in CASES.items()]
+    rows += [(name, "agent", "m1", None, text) for name, (text, _, _) in OUTCOMES.items()]
+    status = G.payload_status(spark.createDataFrame(rows, COLUMNS), LIMITS)
+    assert "Exchange" not in status._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, status.collect())) == sorted(map(str, G.quarantine(repaired).collect()))
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    text = '{"nodes":[{"id":"a","label":"A","label":"B","properties":{"p":1,"p":2}}],"edges":[],"metadata":{}}'
+    row = G.repair_graphs(spark.createDataFrame([("p", "a", "m", "r", text)], COLUMNS), LIMITS).first()
+    assert row.status == "accepted" and row.nodes[0].label == "B"
+    assert G.artifacts(G.repair_graphs(spark.createDataFrame([("p", "a", "m", "r", text)], COLUMNS), LIMITS), 1).first().artifact.count('"p":2') == 1
 
 
 def test_totals(repaired, counts):

@@ -1,4 +1,4 @@
-"""Ranks and quantiles against numpy, on skewed data and on both paths."""
+"""Ranks and quantiles against numpy, on skewed data."""
 
 import numpy as np
 import pandas as pd
@@ -25,21 +25,19 @@ def skewed(spark):
     return df, pdf
 
 
-@pytest.mark.parametrize("small", [K.SMALL_ROWS, 10])
 @pytest.mark.parametrize("accuracy", [10_000, 500])
-def test_quantiles(skewed, small, accuracy):
+def test_quantiles(skewed, accuracy):
     df, pdf = skewed
     got = {r.probability: r["quantile"] for r in
-           K.exact_quantiles(df, ["v"], PROBS, accuracy=accuracy, small=small).collect()}
+           K.exact_quantiles(df, ["v"], PROBS, accuracy=accuracy).collect()}
     want = np.quantile(pdf.v.dropna(), PROBS)
     assert np.allclose([got[p] for p in PROBS], want, rtol=1e-12)
 
 
-@pytest.mark.parametrize("small", [K.SMALL_ROWS, 10])
-def test_quantiles_by_group(skewed, small):
+def test_quantiles_by_group(skewed):
     df, pdf = skewed
     got = {(r.g, r.probability): r["quantile"] for r in
-           K.exact_quantiles(df, ["v"], [0.25, 0.5], by=["g"], accuracy=300, small=small).collect()}
+           K.exact_quantiles(df, ["v"], [0.25, 0.5], by=["g"], accuracy=300).collect()}
     want = pdf.groupby("g").v.quantile([0.25, 0.5])
     assert len(got) == 8
     for (g, p), v in want.items():
@@ -52,34 +50,50 @@ def test_discrete_quantile(spark):
     assert [r["quantile"] for r in got.collect()] == [1, 1, 2, 8, 10]
 
 
-@pytest.mark.parametrize("small", [K.SMALL_ROWS, 10])
-def test_average_ranks_and_spearman(skewed, small):
+def test_average_ranks_and_spearman(skewed):
     df, pdf = skewed
-    ranks = K.average_ranks(df, ["v"], small).toPandas()
+    ranks = K.average_ranks(df, ["v"]).toPandas()
     want = pdf.v.dropna().rank()
     merged = pd.DataFrame({"value": pdf.v.dropna(), "want": want}).drop_duplicates().merge(ranks, on="value")
     assert len(merged) == len(ranks) and (merged.want == merged["rank"]).all()
     both = pdf.dropna(subset=["v"])
     rho = np.corrcoef(both.v.rank(), both.w.rank())[0, 1]
-    assert K.spearman(df, "v", "w", small).first().rho == pytest.approx(rho, abs=1e-9)
+    assert K.spearman(df, "v", "w").first().rho == pytest.approx(rho, abs=1e-9)
 
 
-@pytest.mark.parametrize("small", [K.SMALL_ROWS, 10])
-def test_auc(skewed, small):
+def test_auc(skewed):
     df, pdf = skewed
     labelled = df.withColumn("y", (F.col("id") % 3 == 0).cast("int"))
     both = pdf.dropna(subset=["v"])
     y, r = (both.id % 3 == 0), both.v.rank()
     p, n = y.sum(), len(y)
     want = (r[y].sum() - p * (p + 1) / 2) / (p * (n - p))
-    assert K.area_under_curve(labelled, "v", "y", small).first().auc == pytest.approx(want, abs=1e-12)
+    assert K.area_under_curve(labelled, "v", "y").first().auc == pytest.approx(want, abs=1e-12)
 
 
-def test_lookup_join_beyond_the_limit(spark):
-    big = spark.range(100).select((F.col("id") % 10).alias("k"))
-    small = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for most in (100, 3):
-        assert K.attach(big, small, ["k"], most).agg(F.sum("v")).first()[0] == 900
+def test_lookup_meets_null_keys(spark):
+    big = spark.range(100).select(F.nullif(F.col("id") % 10, F.lit(3)).alias("k"))
+    small = spark.range(10).select(F.nullif(F.col("id"), F.lit(3)).alias("k"), (F.col("id") * 2).alias("v"))
+    got = K.attach(big, small, ["k"])
+    assert got.columns == ["k", "v"] and got.agg(F.sum("v")).first()[0] == 900
+
+
+def test_rows_without_a_target_are_a_stratum(spark):
+    df = spark.range(600).select("id", F.nullif(F.col("id") % 3, F.lit(0)).alias("y"))
+    split = P.stratified_split(df, "y", "id", 0.75)
+    assert split.filter("is_train").count() + split.filter("not is_train").count() == 600
+    assert {r.y: r.n for r in split.filter("is_train").groupBy("y").agg(F.count("*").alias("n")).collect()} == {
+        None: 150, 1: 150, 2: 150}
+    assert P.class_weights(df, "y").filter("class_weight is null or class_weight != 1").count() == 0
+    assert P.impute_group_median(df.withColumn("v", F.when(F.col("id") > 9, 4.0)), "v", "y").filter("v is null").count() == 0
+
+
+def test_ranges_do_not_change_the_sums(spark):
+    counts = spark.range(5000).select((F.col("id") % 3).alias("column"), F.nullif(F.col("id"), F.lit(7)).cast("double").alias("value"),
+                                      F.lit(2).cast("bigint").alias("n"))
+    got = K.with_running_counts(counts, ["column"])
+    assert got.count() == 5000 and got.filter("value is null and before = 0").count() == 1
+    assert got.groupBy("column").agg((F.max("before") / 2 + 1 - F.count("*")).alias("d")).filter("d != 0").count() == 0
 
 
 def test_group_medians_fill_only_their_group(spark):

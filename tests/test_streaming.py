@@ -44,6 +44,29 @@ def test_stream_equals_batch_on_closed_windows(spark, exported, tmp_path):
     assert expected.count() > gold.count() > 0.95 * expected.count()
 
 
+def test_many_files_in_mixed_order_lose_nothing(spark, exported, tmp_path):
+    """More files than a trigger takes, in no order of time, and one task for each file."""
+    mixed = exported.withColumn("part", F.pmod(F.xxhash64(S.PICKUP, "trip_distance"), F.lit(24))).cache()
+    for i in range(24):
+        mixed.filter(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{tmp_path}/many/b{i}.parquet")
+    exported.coalesce(1).write.parquet(f"{tmp_path}/one/b0.parquet")
+    found, before = {}, {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        for name in ("one", "many"):
+            layers = TripLayers(spark, str(tmp_path / f"out-{name}"))
+            gold = layers.run_all(layers.landing_stream(str(tmp_path / name)))
+            found[name] = (spark.read.parquet(layers.landing.path).count(), as_set(spark.read.parquet(layers.silver.path)),
+                           as_set(gold))
+        files = len(spark.read.parquet(f"{tmp_path}/out-many/silver").inputFiles())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert files > S.MAX_FILES_PER_TRIGGER
+    assert found["one"] == found["many"]
+
+
 def test_files_are_processed_once_across_restarts(spark, exported, tmp_path):
     stage(exported, tmp_path / "landing", 2)
     run = lambda: (lambda x: x.run_to_silver(x.landing_stream(str(tmp_path / "landing"))))(
