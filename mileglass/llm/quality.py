@@ -202,4 +202,7 @@ def score_quality(docs: DataFrame, text: str = "text", rules: list[Rule] | None
 def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, with their own columns."""
     scored = score_quality(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")))
-    return scored.filter("kept").select("doc.*")
+    # The row number keeps the filter above the measures: pushed below them, it would repeat their expressions
+    # inside each other, and a text would cost its square.
+    numbered = scored.select("doc", "kept", F.monotonically_increasing_id().alias("row"))
+    return numbered.filter(F.col("kept") & (F.col("row") >= 0)).select("doc.*")
