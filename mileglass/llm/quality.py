@@ -14,9 +14,10 @@ from mileglass.llm.text import BLANKS, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
+PLAIN_WORD = r"^[(\"'\u201c]?[\p{L}\p{M}'\u2019-]+[.,;:!?)\"'\u201d]?$"
 SENTENCE_ENDS = (".", "!", "?", ":", ";", "\"", "'", "\u201d", "\u3002")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_lines",
-            "n_ended_lines")
+            "n_ended_lines", "n_plain_words")
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,7 +25,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars (characters in words), n_symbols, n_lines (lines with a word), n_dup_lines (of them, equal
     to an earlier line), n_repeat_words (words in windows of three that occur twice or more), n_capital_lines (lines
-    without a small letter), n_ended_lines (lines that end a sentence).
+    without a small letter), n_ended_lines (lines that end a sentence), n_plain_words (words of letters, but for a
+    mark at either end).
 
     Every step stays within its row: no shuffle, and a long text costs n log n.
     """
@@ -62,7 +64,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("__lines", lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("long")
         .alias("n_capital_lines"),
         F.size(F.filter("__lines", lambda x: F.substring(F.rtrim(x), -1, 1).isin(*SENTENCE_ENDS))).cast("long")
-        .alias("n_ended_lines"))
+        .alias("n_ended_lines"),
+        F.size(F.filter("__words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain_words"))
     return (docs.withColumn("__words", words).withColumn("__lines", lines)
             .withColumn("__hashes", hashes).withColumn("__ordered", ordered)
             .withColumn("measures", counts).drop("__words", "__lines", "__hashes", "__ordered"))
@@ -88,7 +91,7 @@ def default_rules(m: str = "measures") -> list[Rule]:
 
     words, lines, capital = c("n_words"), c("n_lines"), c("n_capital_lines")
     symbols, repeats, dups = c("n_symbols"), c("n_repeat_words"), c("n_dup_lines")
-    chars, ended = c("word_chars"), c("n_ended_lines")
+    chars, ended, plain = c("word_chars"), c("n_ended_lines"), c("n_plain_words")
     return [
         Rule("length", words < 20, words >= 80),
         Rule("word_length", (chars < 2.5 * words) | (chars > 14 * words), (chars >= 3 * words) & (chars <= 10 * words)),
@@ -96,6 +99,7 @@ def default_rules(m: str = "measures") -> list[Rule]:
         Rule("repeats", 10 * repeats > 3 * words, (10 * repeats < words) & (words > 0)),
         Rule("lines", (10 * dups > 3 * lines) & (lines > 1), (dups == 0) & (lines > 3)),
         Rule("capitals", (2 * capital > lines) & (lines > 0), (10 * capital < lines)),
+        Rule("plain_words", 10 * plain < 7 * words, 10 * plain > 9 * words),
         Rule("sentences", (10 * ended < lines) & (lines > 0), 2 * ended >= lines),
     ]
 
