@@ -95,12 +95,10 @@ def _log_kt(n0: pa.Array, n1: pa.Array) -> pa.Array:
 
 
 def _levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """Gram tables of contexts of 0 to ``depth`` bytes; a shorter one sums the next longer one."""
-    out = [stored(grams, "context-grams")]
-    for d in range(depth - 1, -1, -1):
-        key = F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        out.append(stored(out[-1].groupBy(key.alias("gram")).agg(F.sum("c").alias("c")), "context-grams"))
-    return out[::-1]
+    """Gram tables of contexts of 0 to ``depth`` bytes; a shorter one sums the longest ones."""
+    longest = stored(grams, "context-grams")
+    return [longest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram"))
+            .agg(F.sum("c").alias("c")) for d in range(depth)] + [longest]
 
 
 def _least_count(levels: list[DataFrame], max_grams: int) -> int:
@@ -214,6 +212,7 @@ def fit_context_tree(texts: DataFrame, text: str = "text", depth: int = DEPTH,
 
     table = kept_grams.select("gram", logs(F.col("gram")).alias("log")).toArrow()
     order = np.argsort(table.column("gram").to_numpy())
+    shared.destroy()
     tree.grams, tree.logs = table.column("gram").to_numpy()[order], table.column("log").to_numpy()[order]
     return tree
 
