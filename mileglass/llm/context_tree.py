@@ -158,20 +158,37 @@ class ContextTree:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return at, known[at] == keys
 
-    def score(self, text: bytes) -> float:
-        """log10 of the probability of the whole text and its end."""
-        padded, total = _padded(text, self.depth), 0.0
-        for at in range(0, len(padded) - self.depth, _CHUNK):
-            grams = _grams(padded[at:at + _CHUNK + self.depth], self.depth)
-            if not len(self.grams):
-                total += float(self.mixed_logs(grams).sum())
-                continue
-            place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-            hit = self.grams[place] == grams
-            total += float(self.logs[place[hit]].sum(dtype=np.float64))
-            if not hit.all():
-                total += float(self.mixed_logs(grams[~hit]).sum())
-        return total
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each whole text and its end.
+
+        Texts are taken in blocks of bounded size, long ones in parts; a gram is looked up once a block.
+        """
+        totals, waiting, size = np.zeros(len(texts)), [], 0
+
+        def add():
+            unique, at = np.unique(np.concatenate([g for _, g in waiting]), return_inverse=True)
+            owners = np.repeat([i for i, _ in waiting], [len(g) for _, g in waiting])
+            totals[:] += np.bincount(owners, weights=self._logs(unique)[at], minlength=len(texts))
+
+        for i, text in enumerate(texts):
+            padded = _padded(text, self.depth)
+            for at in range(0, len(padded) - self.depth, _CHUNK):
+                waiting.append((i, _grams(padded[at:at + _CHUNK + self.depth], self.depth)))
+                size += len(waiting[-1][1])
+                if size >= _MERGE:
+                    add()
+                    waiting, size = [], 0
+        if waiting:
+            add()
+        return totals
+
+    def _logs(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return self.mixed_logs(grams)
+        place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        out, missing = self.logs[place].astype(np.float64), self.grams[place] != grams
+        out[missing] = self.mixed_logs(grams[missing])
+        return out
 
 
 def fit_context_tree(texts: DataFrame, text: str = "text", depth: int = DEPTH,
@@ -259,7 +276,7 @@ def score_texts(text: Column, tree: ContextTree, spark) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([shared.value.score(t.as_py() or b"") for t in texts], type=pa.float64())
+            yield pa.array(shared.value.score([t.as_py() or b"" for t in texts]))
 
     return score(text.cast("binary"))
 

@@ -85,7 +85,17 @@ def test_probabilities_of_all_bytes_sum_to_one(spark, texts):
 
 def test_no_training_texts(spark):
     tree = CT.fit_context_tree(spark.createDataFrame([], "text string"))
-    assert tree.score(b"ab") == pytest.approx(24 * log10(0.5))
+    assert tree.score([b"ab", b""]) == pytest.approx([24 * log10(0.5), 8 * log10(0.5)])
+    assert tree.score([]).tolist() == []
+
+
+def test_blocks_and_parts_change_no_score(spark, texts, monkeypatch):
+    tree = CT.fit_context_tree(spark.createDataFrame(texts[:20], "doc_id long, text string"), max_grams=2000)
+    given = [t.encode() for _, t in texts[:40]] + [b"", b"zq" * 500]
+    whole = tree.score(given)
+    monkeypatch.setattr(CT, "_CHUNK", 50)
+    monkeypatch.setattr(CT, "_MERGE", 120)
+    assert tree.score(given) == pytest.approx(whole, rel=1e-12)
 
 
 def test_log_kt():
