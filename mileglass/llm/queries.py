@@ -15,6 +15,7 @@ from mileglass.llm import secret_scan as X
 from mileglass.llm import simhash as S
 from mileglass.llm import token_counts as T
 from mileglass.llm import unigrams as W
+from mileglass.llm import whole_tree as WT
 from mileglass.llm import url_filter as U
 from mileglass.llm.text import stored
 
@@ -84,11 +85,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and context-tree scores of every document, learned from nine of ten folds."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     training = _fold(10) != 0
-    tree = CT.fit_context_tree(docs.filter(training).select("text"))
+    tree = WT.fit_whole_tree(docs, training)
     scored = W.unigram_scores(docs, training, keep={
         "doc_id": F.col("doc_id"), "held_out": ~training,
         "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-        "score": CT.score_texts(F.col("text"), tree, spark)})
+        "read": WT.read_texts(F.col("text"), tree, spark)})
+    scored = WT.with_score(scored, "read", tree)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                          CT.bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte"))
 
