@@ -9,6 +9,7 @@ from mileglass.llm import bpe as B
 from mileglass.llm import chat as C
 from mileglass.llm import context_tree as CT
 from mileglass.llm import decontamination as D
+from mileglass.llm import hard_negatives as H
 from mileglass.llm import language as L
 from mileglass.llm import quality as Q
 from mileglass.llm import secret_scan as X
@@ -156,6 +157,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return H.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id,
+         CAST(list_sum(list_transform(list_zip(a.q, r.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) <= 5
+"""
+
 OP9_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -185,9 +216,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_bpe": op10_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op3_chat_formatting": OP3_SQL,
     "op9_url_filters": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
