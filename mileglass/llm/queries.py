@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mileglass.llm import alignment as A
 from mileglass.llm import bpe as B
 from mileglass.llm import chat as C
 from mileglass.llm import context_tree as CT
@@ -157,6 +158,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of byte-level tokens and pieces on the same bytes of every document, and how common their links are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return A.link_tokens(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector against all vectors."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
@@ -216,6 +223,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_bpe": op10_bpe,
+    "op12_token_alignment": op12_token_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
