@@ -12,6 +12,7 @@ from mileglass.llm import context_tree as CT
 from mileglass.llm import decontamination as D
 from mileglass.llm import hard_negatives as H
 from mileglass.llm import language as L
+from mileglass.llm import personal_data as P
 from mileglass.llm import quality as Q
 from mileglass.llm import secret_scan as X
 from mileglass.llm import simhash as S
@@ -158,6 +159,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the fixed shapes, their digest, and all spans of every document, disclosing terms included."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = P.find_personal(docs, keep=["doc_id"])
+
+    def count(kind):
+        return F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, P.KINDS), F.sha2(P.span_list(F.col("personal"), P.KINDS[:4]), 256).alias("base_sha256"),
+                        P.span_list(F.col("personal")).alias("spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of byte-level tokens and pieces on the same bytes of every document, and how common their links are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -223,6 +236,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_bpe": op10_bpe,
+    "op11_personal_data": op11_personal_data,
     "op12_token_alignment": op12_token_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
