@@ -15,6 +15,7 @@ import json
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +31,11 @@ from mileglass.llm.text import stored
 #: A single blank between two characters that are not blank: neither tokenizer has a token across its left side.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of text that are counted together.
-BLOCK_BYTES = 4 << 20
-#: Words remembered by a Python worker, and the longest that is; the memory is cleared when it is full.
-CACHE_WORDS = 150_000
-CACHE_CHARS = 256
+BLOCK_BYTES = 8 << 20
+#: Characters of words that are encoded in one text, and that are aligned together.
+ENCODE_CHARS, BATCH_CHARS = 1 << 10, 1 << 18
+#: Links of a group from which its equal ids are counted instead of listed.
+LARGE_GROUP = 10_000
 #: Pairs whose counts are broadcast, the most frequent ones; the others are joined.
 BROADCAST_PAIRS = 150_000
 
@@ -57,20 +59,34 @@ def read_tokenizers(byte_level: str, pieces: str) -> Tokenizers:
         return Tokenizers(text, f.read())
 
 
-@dataclass(slots=True)
-class Word:
-    """A word's tokens on both sides and its groups as text; its linked id pairs with their number of links.
+@dataclass
+class Words:
+    """The alignment of some words: totals, groups as text, and the id pairs linked in each with their links.
 
-    A word that a tokenizer does not give back byte for byte has no tokens.
+    The pairs of word i are those from ``starts[i]`` to ``starts[i + 1]``; a pair may come more than once.
     """
 
-    groups: list[tuple[list[int], list[int]]]
-    n_a: int
-    n_b: int
-    n_links: int
-    text: str
-    pairs: list[int]
-    links: list[int]
+    sound: np.ndarray  # whether both tokenizers give the word back byte for byte; else it has no tokens
+    totals: dict[str, np.ndarray]
+    texts: list[str]
+    starts: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
+
+
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def _joined(parts: list[Words]) -> Words:
+    lengths = np.concatenate([np.diff(p.starts) for p in parts])
+    return Words(np.concatenate([p.sound for p in parts]), {c: np.concatenate([p.totals[c] for p in parts]) for c in _COUNTS},
+                 [t for p in parts for t in p.texts], np.append(0, np.cumsum(lengths)),
+                 np.concatenate([p.pairs for p in parts]), np.concatenate([p.links for p in parts]))
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] numbers), then the same for the others."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 class Aligner:
@@ -86,106 +102,155 @@ class Aligner:
         self.a.no_padding()
         self.a.no_truncation()
         letters = {c: b for b, c in enumerate(byte_letters())}
-        self.bytes_a = {i: bytes(map(letters.get, p)) if all(c in letters for c in p) else p.encode()
-                        for p, i in self.a.get_vocab(with_added_tokens=True).items()}
+        names_a = {i: p for p, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.bytes_a = [bytes(map(letters.get, p)) if all(c in letters for c in p) else p.encode()
+                        for p in (names_a.get(i, "") for i in range(max(names_a) + 1))]
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
         # Cutting before a blank is safe for pieces if none holds a blank after another character.
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for i, p in enumerate(names) if not self.b.is_control(i)):
+        names_b = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for i, p in enumerate(names_b) if not self.b.is_control(i)):
             raise ValueError("pieces must not hold a blank after another character")
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-        self.known: dict[str, Word | None] = {}
-
-    def words(self, texts: set[str]) -> dict[str, Word | None]:
-        """The alignment of each word; None if a tokenizer does not give its bytes back."""
-        out = {t: self.known[t] for t in texts if t in self.known}
-        new = sorted(texts - out.keys())
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
-            encoded = self.a.encode_batch([" " + t for t in some], add_special_tokens=False)
-            protos = self.b.encode(some, return_type="proto", num_threads=1)
-            for t, e, p in zip(some, encoded, protos):
-                found = out[t] = self._word(" " + t, e, p)
-                if len(t) <= CACHE_CHARS:
-                    if len(self.known) >= CACHE_WORDS:
-                        self.known.clear()
-                    self.known[t] = found
-        return out
-
-    def _word(self, text: str, encoded, proto) -> Word | None:
-        raw = text.encode("utf-8", "replace")
-        a, b = encoded.ids, [p.id for p in proto.pieces]
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
+        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names_b)]
+        self.sizes = [np.array([len(x) for x in names]) for names in (self.bytes_a, self.bytes_b)]
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.names = np.array([str(i) for i in range(most)], dtype=object)
+        self.digits = np.array([len(x) for x in self.names])
+
+    def words(self, words: list[str]) -> Words:
+        """Align each word by itself, encoding many side by side: no token reaches over a cut."""
+        parts, lengths = [], np.cumsum([len(w) + 1 for w in words] or [0])
+        at = 0
+        while at < len(words):
+            end = max(int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + BATCH_CHARS)), at + 1)
+            parts.append(self._batch(words[at:end]))
+            at = end
+        return _joined(parts or [_no_tokens(0)])
+
+    def _encoded(self, words: list[str]) -> tuple[str, list[int], list[int], list[int], list[int]]:
+        """The words with a blank before each, and ids and coarse ends of both sides, the first's in characters.
+
+        Both libraries are quickest on texts of about a thousand characters.  Words with a blank at either end, as a
+        text may begin or end, are encoded alone.
+        """
+        alone = [w[:1].isspace() or w[-1:].isspace() for w in words] + [True]
+        texts, ids_a, ends_a, ids_b, ends_b = [], [], [], [], []
+        at = chars = size = 0
+        for i, w in enumerate(words, 1):
+            size += len(w) + 1
+            if size < ENCODE_CHARS and not alone[i - 1] and not alone[i]:
+                continue
+            text = " " + " ".join(words[at:i])
+            first = self.a.encode(text, add_special_tokens=False)
+            ids_a += first.ids
+            ends_a += [chars + end for _, end in first.offsets]
+            done = ends_b[-1] if ends_b else 0  # the last end in bytes
+            for p in self.b.encode(text[1:], return_type="proto", num_threads=1).pieces:
+                ids_b.append(p.id)
+                ends_b.append(done + 1 + p.end)
+            texts.append(text)
+            at, size, chars = i, 0, chars + len(text)
+        return "".join(texts), ids_a, ends_a, ids_b, ends_b
+
+    def _batch(self, words: list[str]) -> Words:
+        text, ids_a, ends_a, ids_b, ends_b = self._encoded(words)
+        raw = text.encode()
+        if any(b"".join([names[i] for i in x]) != raw for names, x in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            if len(words) == 1:
+                return _no_tokens(1)
+            half = len(words) // 2
+            return _joined([self._batch(words[:half]), self._batch(words[half:])])
         # Coarse ends in bytes: the first library gives characters, the second bytes without the blank put in front.
-        ends_a, ends_b = [end for _, end in encoded.offsets], [p.end + 1 for p in proto.pieces]
+        ids = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+        ends = [np.array(ends_a, dtype=np.int64), np.array(ends_b, dtype=np.int64)]
+        lengths = np.array([len(w) + 1 for w in words])
         if len(raw) != len(text):
-            place = [0]
-            for c in text:
-                place.append(place[-1] + len(c.encode("utf-8", "replace")))
-            ends_a = [place[end] for end in ends_a]
-        return _linked(a, refined(ends_a, own_a), b, refined(ends_b, own_b))
+            place = np.append(0, np.cumsum(_byte_lengths(text)))
+            ends[0], lengths = place[ends[0]], np.diff(place[np.append(0, np.cumsum(lengths))])
+        return self._linked(ids, [refined(e, size[x]) for e, size, x in zip(ends, self.sizes, ids)], np.cumsum(lengths))
+
+    def _linked(self, ids: tuple[np.ndarray, np.ndarray], ends: list[np.ndarray], word_ends: np.ndarray) -> Words:
+        """Cut both sides where both have a token end."""
+        cuts = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(cuts, e) for e in ends]
+        n_a, n_b = (np.bincount(g, minlength=len(cuts)) for g in group)
+        word = np.searchsorted(word_ends, cuts)  # of a group
+        per_word = {"n_a": np.bincount(word, n_a, len(word_ends)), "n_b": np.bincount(word, n_b, len(word_ends)),
+                    "n_groups": np.bincount(word, minlength=len(word_ends)), "n_links": np.bincount(word, n_a * n_b, len(word_ends))}
+        # Each token of the first side with all of the second side in its group; large groups by distinct ids.
+        large = np.flatnonzero(n_a * n_b > LARGE_GROUP)
+        pick = ~np.isin(group[0], large)
+        of, own = group[0][pick], ids[0][pick]
+        start_b = np.cumsum(n_b) - n_b
+        at = _ranges(start_b[of], n_b[of])
+        pairs, links, in_word = np.repeat(own, n_b[of]) << 32 | ids[1][at], np.ones(len(at), dtype=np.int64), np.repeat(word[of], n_b[of])
+        for g in large:
+            (x, nx), (y, ny) = (np.unique(i[k == g], return_counts=True) for i, k in zip(ids, group))
+            pairs = np.append(pairs, (x[:, None] << 32 | y).ravel())
+            links = np.append(links, np.outer(nx, ny).ravel())
+            in_word = np.append(in_word, np.full(len(x) * len(y), word[g]))
+        if len(large):
+            order = np.argsort(in_word, kind="stable")
+            pairs, links, in_word = pairs[order], links[order], in_word[order]
+        return Words(np.ones(len(word_ends), dtype=bool), {c: n.astype(np.int64) for c, n in per_word.items()},
+                     self._texts(ids, group, word, len(word_ends)), np.searchsorted(in_word, np.arange(len(word_ends) + 1)), pairs, links)
+
+    def _texts(self, ids, group, word, n: int) -> list[str]:
+        """The groups of each word as text."""
+        all_ids, all_groups = np.concatenate(ids), np.concatenate(group)
+        side = np.repeat([0, 1], [len(x) for x in ids])
+        order = np.lexsort((side, all_groups))  # stable: tokens keep their order
+        all_ids, all_groups, side = all_ids[order], all_groups[order], side[order]
+        token_word = word[all_groups]
+        mark = np.full(len(all_ids), ",", dtype=object)
+        mark[:-1][side[:-1] != side[1:]] = "|"
+        mark[:-1][all_groups[:-1] != all_groups[1:]] = ";"
+        parts = np.empty(2 * len(all_ids), dtype=object)
+        parts[0::2], parts[1::2] = self.names[all_ids], mark
+        text, sizes = "".join(parts.tolist()), self.digits[all_ids] + 1
+        stops = np.cumsum(np.bincount(token_word, sizes, n).astype(np.int64))
+        return [text[a:b - 1] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
     def groups(self, text: str) -> list[tuple[list[int], list[int]]]:
         """The groups of a whole text; none if a tokenizer does not give the text back."""
-        parts = _CUT.split(text) if text else []
-        found = self.words(set(parts))
-        if any(found[p] is None for p in parts):
+        found = self.words(_CUT.split(text) if text else [])
+        if not found.sound.all():
             return []
-        return [g for p in parts for g in found[p].groups]
+        sides = [g.split("|") for t in found.texts for g in t.split(";")]
+        return [(list(map(int, a.split(","))), list(map(int, b.split(",")))) for a, b in sides]
 
 
-def refined(ends: list[int], pieces: list[bytes]) -> list[int]:
-    """Exact byte ends of tokens from coarse ends.
+def _no_tokens(n: int) -> Words:
+    none = np.zeros(0, dtype=np.int64)
+    return Words(np.zeros(n, dtype=bool), {c: np.zeros(n, dtype=np.int64) for c in _COUNTS}, [""] * n,
+                 np.zeros(n + 1, dtype=np.int64), none, none)
+
+
+def _byte_lengths(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
+def refined(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Exact byte ends of tokens from coarse ends and the sizes of the decoded tokens.
 
     A token alone at its coarse end ends there.  Tokens that share an end hold parts of one character (or bytes for
-    it, reported without a span): theirs are measured in decoded bytes.
+    it, reported without a span): theirs are measured in decoded bytes, from the last token that is alone.
     """
-    out, at, n = [], 0, len(ends)
-    for i, end in enumerate(ends):
-        alone = (i + 1 == n or ends[i + 1] > end) and end > (ends[i - 1] if i else 0)
-        at = end if alone else at + len(pieces[i])
-        out.append(at)
-    return out
-
-
-def _linked(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Word:
-    """Cut both sides where both have a token end."""
-    groups, i, j, from_a, from_b = [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        if ends_a[i] == ends_b[j]:
-            groups.append((a[from_a:i + 1], b[from_b:j + 1]))
-            i, j = i + 1, j + 1
-            from_a, from_b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    links: dict[int, int] = {}
-    for left, right in groups:
-        for x, nx in _counted(left):
-            for y, ny in _counted(right):
-                key = x << 32 | y
-                links[key] = links.get(key, 0) + nx * ny
-    text = ";".join(f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in groups)
-    return Word(groups, len(a), len(b), sum(links.values()), text, list(links), list(links.values()))
-
-
-def _counted(ids: list[int]):
-    if len(ids) == 1:
-        return ((ids[0], 1),)
-    counts: dict[int, int] = {}
-    for i in ids:
-        counts[i] = counts.get(i, 0) + 1
-    return counts.items()
+    alone = (ends > np.append(0, ends[:-1])) & (np.append(ends[1:], np.iinfo(np.int64).max) > ends)
+    if alone.all():
+        return ends
+    last = np.maximum.accumulate(np.where(alone, np.arange(len(ends)), -1))
+    measured = np.cumsum(sizes)
+    before = last >= 0
+    return np.where(before, ends[last], 0) + measured - np.where(before, measured[last], 0)
 
 
 _WORKERS: dict[bytes, Aligner] = {}
 
 
 def _aligner(files: Tokenizers) -> Aligner:
-    """The aligner of this Python worker, kept between tasks with the words it remembers."""
+    """The aligner of this Python worker, kept between tasks."""
     key = hashlib.sha256(files.byte_level.encode() + files.pieces).digest()
     if key not in _WORKERS:
         _WORKERS.clear()
@@ -224,47 +289,32 @@ class _Block:
         self.size += len(self.texts[-1])
 
     def row(self, number: int, aligner: Aligner) -> dict:
-        split = [_CUT.split(t) if t else [] for t in self.texts]
-        found = aligner.words(set().union(*split) if split else set())
-        names = list(found)
-        place = {w: i for i, w in enumerate(names)}
-        words = [found[w] for w in names]
-        sound = np.array([w is not None for w in words], dtype=bool)
-        numbers = {c: np.array([getattr(w, c) if w else 0 for w in words], dtype=np.int64) for c in ("n_a", "n_b", "n_links")}
-        numbers["n_groups"] = np.array([len(w.groups) if w else 0 for w in words], dtype=np.int64)
-        totals = {c: np.zeros(len(split), dtype=np.int64) for c in numbers}
-        digests, docs, used, times = [""] * len(split), [], [], []
-        for d, parts in enumerate(split):
-            seq = np.array([place[p] for p in parts], dtype=np.int64)
-            if not len(seq) or not sound[seq].all():
-                continue
-            for c in totals:
-                totals[c][d] = numbers[c][seq].sum()
-            digests[d] = hashlib.sha256(";".join([words[i].text for i in seq.tolist()]).encode()).hexdigest()
-            once, n = np.unique(seq, return_counts=True)
-            docs.append(np.full(len(once), d))
-            used.append(once)
-            times.append(n)
-        none = np.zeros(0, dtype=np.int64)
-        docs, used, times = (np.concatenate(x) if x else none for x in (docs, used, times))
+        place: defaultdict[str, int] = defaultdict()
+        place.default_factory = place.__len__
+        split = [np.array([place[p] for p in _CUT.split(t)] if t else [], dtype=np.int64) for t in self.texts]
+        words = aligner.words(list(place))
+        sound = np.array([bool(len(seq)) and bool(words.sound[seq].all()) for seq in split])
+        split = [seq if ok else seq[:0] for seq, ok in zip(split, sound)]
+        digests = [hashlib.sha256(";".join([words.texts[i] for i in seq.tolist()]).encode()).hexdigest() if len(seq) else "" for seq in split]
+        doc_of, seqs = np.repeat(np.arange(len(split)), [len(seq) for seq in split]), np.concatenate(split)
+        totals = {c: np.zeros(len(split), dtype=np.int64) for c in _COUNTS}
+        for c in _COUNTS:
+            np.add.at(totals[c], doc_of, words.totals[c][seqs])
+        held, times = np.unique(doc_of * max(len(place), 1) + seqs, return_counts=True)
+        docs, used = held // max(len(place), 1), held % max(len(place), 1)
         # From words to their id pairs; equal pairs of a document become one.
-        lengths = np.array([len(w.pairs) if w else 0 for w in words], dtype=np.int64)
-        keys, local = np.unique(np.array([p for w in words if w for p in w.pairs], dtype=np.int64), return_inverse=True)
-        weight = np.array([n for w in words if w for n in w.links], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        reps = lengths[used]
-        at = np.repeat(starts[used] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        cell, into = np.unique(np.repeat(docs, reps) * max(len(keys), 1) + local[at], return_inverse=True)
+        keys, local = np.unique(words.pairs, return_inverse=True)
+        lengths = np.diff(words.starts)[used]
+        at = _ranges(words.starts[used], lengths)
+        cell, into = np.unique(np.repeat(docs, lengths) * max(len(keys), 1) + local[at], return_inverse=True)
+        # Whole numbers: exact as doubles only below 2**53, so they are summed as integers.
         links = np.zeros(len(cell), dtype=np.int64)
-        np.add.at(links, into, weight[at] * np.repeat(times, reps))
+        np.add.at(links, into, words.links[at] * np.repeat(times, lengths))
         doc, pair = cell // max(len(keys), 1), cell % max(len(keys), 1)
         held = np.bincount(pair, minlength=len(keys))
         return {"block": number, "ids": self.ids, **{c: totals[c].tolist() for c in _COUNTS}, "groups_sha256": digests,
                 "pairs": keys[held > 0], "n_docs": held[held > 0],
-                "cells": _packed(doc, (np.cumsum(held > 0) - 1)[pair] if len(pair) else pair, links)}
-
-
-_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+                "cells": _packed(doc, (np.cumsum(held > 0) - 1)[pair], links)}
 
 
 def _packed(*columns: np.ndarray) -> bytes:

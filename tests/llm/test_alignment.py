@@ -81,7 +81,9 @@ def rows(df):
 
 @pytest.mark.parametrize("block_bytes, most", [(A.BLOCK_BYTES, A.BROADCAST_PAIRS), (500, 20), (1, 0)])
 def test_counts(spark, odd_texts, block_bytes, most, monkeypatch):
-    monkeypatch.setattr(A, "CACHE_WORDS", 10)
+    monkeypatch.setattr(A, "BATCH_CHARS", 40)
+    monkeypatch.setattr(A, "ENCODE_CHARS", 15)
+    monkeypatch.setattr(A, "LARGE_GROUP", 3)
     many = [t for t in odd_texts if len(t or "") < 6000] + ["the cat and the dog"] * 40 + ["the dog 😀 saw a cat", "naïve cafés"] * 3
     df = spark.createDataFrame([(None if i % 9 == 0 else i // 2, t, i) for i, t in enumerate(many)], "doc_id long, text string, pair int").repartition(3)
     out = A.link_tokens(df, *FILES, block_bytes=block_bytes, most=most)
