@@ -21,6 +21,9 @@ BLANK = "▁"  # stands for the blank in pieces
 CACHE_CHUNKS = 400_000
 CACHE_PAIRS = 1_000_000
 CACHE_CHARS = 256
+CACHE_STEPS = 1_000_000
+GROUP_TEXTS = 500
+_NUMBERS = 1 << 21  # more than there are pieces
 _NORMAL, _BYTE = 1, 6  # kinds of pieces in the model file
 
 
@@ -73,19 +76,13 @@ def merge(text: str, scores: dict[str, float]) -> list[str]:
 
 
 class PrefixCounter:
-    """Token counts of all prefixes of texts; one per task."""
+    """Token counts of all prefixes of texts; one per Python worker."""
 
     def __init__(self, model: PieceModel):
         self.scores, self.leading_blank = model.scores, model.leading_blank
         pieces = [p for p in model.scores if merge(p, model.scores) == [p]]  # others never come out
         self.names = dict(enumerate(pieces))
-        # Pieces by their characters from last to first; the number of a piece is under "".
-        self.endings: dict = {}
-        for number, p in enumerate(pieces):
-            node = self.endings
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = number
+        self._follow(pieces)
         self.inner = {a + b for p in pieces for a, b in zip(p, p[1:])}
         # Cutting between two characters is safe if no piece holds them side by side: before a run of blanks, and
         # around characters that are in no longer piece.
@@ -95,92 +92,146 @@ class PrefixCounter:
         own = f"[{re.escape(loners)}]|" if loners else ""
         not_own = re.escape(loners)
         self.chunks = re.compile(f"{own}{BLANK}*[^{BLANK}{not_own}]+|{BLANK}+")
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _agree(self, key: tuple[int, int]) -> bool:
+    def _follow(self, pieces: list[str]) -> None:
+        """An automaton over the pieces: each state knows the pieces that end there, the longest first."""
+        self.steps: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        depth = [0]
+        for number, p in enumerate(pieces):
+            at = 0
+            for c in p:
+                if c not in self.steps[at]:
+                    self.steps[at][c] = len(self.steps)
+                    self.steps.append({})
+                    self.ends.append(())
+                    depth.append(depth[at] + 1)
+                at = self.steps[at][c]
+            self.ends[at] = ((len(p), number),)
+        self.shorter = [0] * len(self.steps)  # the state of the longest proper ending
+        self.room = 0
+        for at in sorted(range(len(self.steps)), key=depth.__getitem__):
+            for c, below in self.steps[at].items():
+                self.shorter[below] = self._step(self.shorter[at], c) if at else 0
+                self.ends[below] += self.ends[self.shorter[below]]
+        self.room = CACHE_STEPS
+
+    def _step(self, at: int, c: str) -> int:
+        """The state after one more character; remembered while there is room."""
+        first = at
+        while (found := self.steps[at].get(c)) is None and at:
+            at = self.shorter[at]
+        found = found or 0
+        if self.room:
+            self.room -= 1
+            self.steps[first][c] = found
+        return found
+
+    def _agree(self, last: int, number: int) -> bool:
         """Whether two pieces are the encoding of their joined text; a character without a piece has number -1 - code."""
-        a, b = (self.names[k] if k >= 0 else chr(-1 - k) for k in key)
+        a, b = (self.names[k] if k >= 0 else chr(-1 - k) for k in (last, number))
         if len(self.agree) >= CACHE_PAIRS:
             self.agree.clear()
-        found = self.agree[key] = merge(a + b, self.scores) == [a, b]
+        found = self.agree[last * _NUMBERS + number] = merge(a + b, self.scores) == [a, b]
         return found
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Token counts of the prefixes of 1, 2, ... characters of a chunk."""
-        found = self.known.get(text)
-        if found is not None:
-            return found
-        if len(text) > 1 and not text[-1].isalnum() and text[-2:] not in self.inner:
-            # A word and the same word before a full stop share their work.
-            head = self.known.get(text[:-1]) or self._remember(text[:-1], self._prefixes_of(text[:-1]))
-            return self._remember(text, (*head, head[-1] + self._prefixes_of(text[-1])[0]))
-        return self._remember(text, self._prefixes_of(text))
-
-    def _remember(self, text: str, counts: tuple[int, ...]) -> tuple[int, ...]:
-        if len(text) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known.clear()
-            self.known[text] = counts
-        return counts
-
-    def _prefixes_of(self, text: str) -> tuple[int, ...]:
-        counts, last, agree = [0], [0], self.agree
-        for end in range(1, len(text) + 1):
-            node, start, found = self.endings, end, []
-            while start:
-                node = node.get(text[start - 1])
-                if node is None:
+    def chunk_counts(self, chunks: set[str]) -> dict[str, tuple[int, ...]]:
+        """Token counts of the prefixes of 1, 2, ... characters of each chunk.
+
+        New chunks are taken in order, so that each goes on from the prefix it shares with the one before.
+        """
+        known = self.known
+        out = {c: known[c] for c in chunks if c in known}
+        counts, last, states, before = [0], [0], [0], ""
+        for c in sorted(chunks - out.keys()):
+            same = 0
+            for x, y in zip(before, c):
+                if x != y:
                     break
-                start -= 1
-                number = node.get("")
-                if number is not None:
-                    found.append((start, number))
-            for start, number in reversed(found):
+                same += 1
+            del counts[same + 1:], last[same + 1:], states[same + 1:]
+            self._go_on(c, same, counts, last, states)
+            before = c
+            found = out[c] = tuple(counts[1:])
+            if len(c) <= CACHE_CHARS:
+                if len(known) >= CACHE_CHUNKS:
+                    known.clear()
+                known[c] = found
+        return out
+
+    def _go_on(self, text: str, done: int, counts: list[int], last: list[int], states: list[int]) -> None:
+        """Extend the table of ``text`` from its first ``done`` characters to all of them."""
+        agree, steps, ends, at = self.agree, self.steps, self.ends, states[-1]
+        for end in range(done + 1, len(text) + 1):
+            c = text[end - 1]
+            after = steps[at].get(c)
+            at = self._step(at, c) if after is None else after
+            states.append(at)
+            for length, number in ends[at]:
+                start = end - length
                 if start:
-                    key = (last[start], number)
-                    fits = agree.get(key)
-                    if not (self._agree(key) if fits is None else fits):
+                    fits = agree.get(last[start] * _NUMBERS + number)
+                    if not (self._agree(last[start], number) if fits is None else fits):
                         continue
                 counts.append(counts[start] + 1)
                 last.append(number)
                 break
             else:  # a character that no piece covers is spelled in bytes
-                counts.append(counts[end - 1] + len(text[end - 1].encode()))
-                last.append(-1 - ord(text[end - 1]))
-        return tuple(counts[1:])
+                counts.append(counts[end - 1] + len(c.encode()))
+                last.append(-1 - ord(c))
 
     def _chunks(self, text: str) -> list[str]:
         return self.chunks.findall((BLANK if self.leading_blank and text else "") + text.replace(" ", BLANK))
 
     def prefixes(self, text: str) -> np.ndarray:
         """Counts of the prefixes of 0, 1, ... characters of ``text``."""
-        counts = [0]
-        for c in self._chunks(text):
+        counts, chunks = [0], self._chunks(text)
+        found = self.chunk_counts(set(chunks))
+        for c in chunks:
             done = counts[-1]
-            counts += [done + n for n in self.chunk(c)]
+            counts += [done + n for n in found[c]]
         if self.leading_blank and text:
             del counts[1]  # that of the blank put in front
         return np.array(counts, dtype=np.int64)
 
-    def summary(self, text: str, budget: int) -> tuple[int, int]:
-        """Token count, and the number of characters of the longest prefix with at most ``budget`` tokens."""
-        chunks = self._chunks(text)
-        ends = np.cumsum([(self.known.get(c) or self.chunk(c))[-1] for c in chunks], dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
+    def summaries(self, texts: list[str], budget: int) -> list[tuple[int, int]]:
+        """Per text the token count, and the number of characters of the longest prefix with at most ``budget`` tokens."""
+        out = []
+        for at in range(0, len(texts), GROUP_TEXTS):
+            split = [self._chunks(t) for t in texts[at:at + GROUP_TEXTS]]
+            found = self.chunk_counts(set().union(*split))
+            totals = {c: n[-1] for c, n in found.items()}
+            out += [self._summary(t, chunks, found, totals, budget) for t, chunks in zip(texts[at:at + GROUP_TEXTS], split)]
+        return out
+
+    def _summary(self, text, chunks, found, totals, budget) -> tuple[int, int]:
+        total = sum([totals[c] for c in chunks])
         if total <= budget:
             return total, len(text)
         # No chunk after the first end above the budget has a shorter prefix; within a chunk counts go up and down.
+        ends = np.cumsum([totals[c] for c in chunks], dtype=np.int64)
         k = int(np.searchsorted(ends, budget, side="right"))
         done = int(ends[k - 1]) if k else 0
-        fits = [i for i, n in enumerate(self.chunk(chunks[k]), 1) if done + n <= budget]
+        fits = [i for i, n in enumerate(found[chunks[k]], 1) if done + n <= budget]
         chars = sum(map(len, chunks[:k])) + (fits[-1] if fits else 0)
         return total, max(chars - (1 if self.leading_blank else 0), 0)
 
 
+_WORKER: list[tuple[PieceModel, PrefixCounter]] = []
+
+
+def _counter(model: PieceModel) -> PrefixCounter:
+    """The counter of this Python worker, kept between tasks with what it remembers."""
+    if not _WORKER or _WORKER[0][0] != model:
+        _WORKER[:] = [(model, PrefixCounter(model))]
+    return _WORKER[0][1]
+
+
 def _with_counter(spark: SparkSession, path: str):
     shared = spark.sparkContext.broadcast(read_piece_model(path))
-    return lambda: PrefixCounter(shared.value)
+    return lambda: _counter(shared.value)
 
 
 def prefix_counts(spark: SparkSession, text: Column, path: str) -> Column:
@@ -224,7 +275,7 @@ def count_tokens(spark: SparkSession, text: Column, path: str, budget: int) -> C
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = counter()
         for texts in batches:
-            rows = [of.summary(t.as_py() or "", budget) for t in texts]
+            rows = of.summaries([t.as_py() or "" for t in texts], budget)
             yield pa.array([{"n_tokens": n, "budget_chars": c} for n, c in rows], type=kind)
 
     return counted(text)

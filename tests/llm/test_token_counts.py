@@ -23,20 +23,22 @@ def test_every_prefix(text, budget):
     counts = plain(text)
     assert COUNTER.prefixes(text).tolist() == counts
     longest = max(i for i, n in enumerate(counts) if n <= budget)
-    assert COUNTER.summary(text, budget) == (counts[-1], longest)
+    assert COUNTER.summaries([text], budget) == [(counts[-1], longest)]
 
 
 def test_long_runs():
     for text in ("§" * 3000, "a" + "§" * 3000, " " * 500 + "x", "!" * 2000, "日" * 1500, "ab" * 900):
-        assert COUNTER.summary(text, 10)[0] == len(LIBRARY.encode(text))
+        assert COUNTER.summaries([text], 10)[0][0] == len(LIBRARY.encode(text))
 
 
 def test_a_small_cache_changes_nothing(texts, monkeypatch):
     monkeypatch.setattr(T, "CACHE_CHUNKS", 50)
     monkeypatch.setattr(T, "CACHE_PAIRS", 50)
+    monkeypatch.setattr(T, "CACHE_STEPS", 50)
+    monkeypatch.setattr(T, "GROUP_TEXTS", 3)
     fresh = T.PrefixCounter(T.read_piece_model(PATH))
     for _, text in texts[:10]:
-        assert fresh.summary(text, 9)[0] == len(LIBRARY.encode(text))
+        assert fresh.summaries([text], 9)[0][0] == len(LIBRARY.encode(text))
 
 
 def test_columns(spark, odd_texts):
