@@ -17,9 +17,10 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Words kept per task with their ids, so a frequent word is merged once; the memory is cleared when it is full.
+#: Words kept per Python worker with their packed ids and pieces, so a frequent word is merged once.  The memory is
+#: cleared when it is full; with the longest word it bounds the bytes (about 60 MB).
 CACHE_WORDS = 200_000
-CACHE_CHARS = 256
+CACHE_CHARS = 64
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
 
 
 class Encoder:
-    """Encodes and decodes texts with one vocabulary; one per task."""
+    """Encodes and decodes texts with one vocabulary; one per Python worker."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
@@ -92,59 +93,80 @@ class Encoder:
         self.words = regex.compile(v.word_pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) or r"(?!)")
         self.pieces = {i: p for p, i in v.ids.items()} | {i: s for s, i in v.special.items()}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[bytes, str]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        """Special strings keep their own id; what lies between them is normalised, cut into words and merged."""
+    def _parts(self, text: str) -> list[tuple[bytes, str]]:
+        """Packed ids and joined pieces of each special string and word, in order.
+
+        Special strings keep their own id; what lies between them is normalised, cut into words and merged.
+        """
         out, at = [], 0
         if self.vocabulary.special:
             for m in self.special.finditer(text):
-                out += self._encode_plain(text[at:m.start()])
-                out.append(self.vocabulary.special[m.group()])
+                out += self._plain(text[at:m.start()])
+                out.append(self._packed([self.vocabulary.special[m.group()]]))
                 at = m.end()
-        return out + self._encode_plain(text[at:])
-
-    def _encode_plain(self, text: str) -> list[int]:
-        out, cache = [], self.cache
-        for word in self.words.findall(_normal(text)):
-            ids = cache.get(word)
-            if ids is None:
-                ids = self._encode_word(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[word] = ids
-            out += ids
-        return out
-
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+        return out + self._plain(text[at:])
+
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        cache, words = self.cache, self.words.findall(_normal(text))
+        for word in words:
+            if word not in cache and len(word) <= CACHE_CHARS:
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                cache[word] = self._word(word)
+        # A word may be too long to be kept, or gone since the memory was cleared.
+        return [cache.get(w) or self._word(w) for w in words]
+
+    def _word(self, word: str) -> tuple[bytes, str]:
         symbols = [self.letters[b] for b in word.encode()]
         symbols[-1] += self.vocabulary.word_end
-        return tuple(self.vocabulary.ids[s] for s in merge_word(symbols, self.vocabulary.ranks))
+        return self._packed([self.vocabulary.ids[s] for s in merge_word(symbols, self.vocabulary.ranks)])
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return np.array(ids, dtype="<u4").tobytes(), self.decode(ids)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_and_decode(text)[0], dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The pieces of the ids, joined by blanks as the tokenizer file names no decoder; unknown ids are left out."""
         pieces = self.pieces
         return " ".join(pieces[i] for i in ids if i in pieces)
 
+    def encode_and_decode(self, text: str) -> tuple[bytes, str]:
+        """Packed ids of a text, and what they decode to; the pieces of a word are joined once, with its ids."""
+        parts = self._parts(text)
+        return b"".join([ids for ids, _ in parts]), " ".join([pieces for _, pieces in parts])
+
 
 def _normal(text: str) -> str:
-    """Composed form, each run of blanks one blank, lower case letter by letter (no final sigma)."""
+    """Composed form, lower case letter by letter (no final sigma)."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
 
 
+_WORKER: list[tuple[Vocabulary, Encoder]] = []
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this Python worker, kept between tasks with the words it remembers."""
+    if not _WORKER or _WORKER[0][0] != vocabulary:
+        _WORKER[:] = [(vocabulary, Encoder(vocabulary))]
+    return _WORKER[0][1]
+
+
 def _with_encoder(spark: SparkSession, path: str) -> Callable[[], Encoder]:
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
-    return lambda: Encoder(shared.value)
+    return lambda: _encoder(shared.value)
 
 
 def encode(spark: SparkSession, text: Column, path: str) -> Column:
     """Token ids of the whole text as binary, each a little-endian unsigned 32-bit integer (see ``unpacked``).
 
     NULL and empty texts have no ids.  No special tokens are added, nothing is cut or padded.  A text is one row of
-    work and no rows meet, so hot sources and copies need no care; frequent words are merged once per task.
+    work and no rows meet, so hot sources and copies need no care; frequent words are merged once per worker.
     """
     encoder = _with_encoder(spark, path)
 
@@ -152,12 +174,25 @@ def encode(spark: SparkSession, text: Column, path: str) -> Column:
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = encoder()
         for texts in batches:
-            yield pa.array([np.array(of.encode(t.as_py() or ""), dtype="<u4").tobytes() for t in texts],
-                           type=pa.binary())
+            yield pa.array([of.encode_and_decode(t.as_py() or "")[0] for t in texts], type=pa.binary())
 
     return ids_of(text)
 
 
+def encode_and_decode(spark: SparkSession, text: Column, path: str) -> Column:
+    """struct(ids, decoded): what ``encode`` gives and what ``decode`` makes of it, by one Python worker."""
+    encoder = _with_encoder(spark, path)
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = encoder()
+        for texts in batches:
+            yield pa.array([dict(zip(("ids", "decoded"), of.encode_and_decode(t.as_py() or ""))) for t in texts], type=kind)
+
+    return both(text)
+
+
 def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """The decoded text of packed ids; NULL becomes the empty text."""
     encoder = _with_encoder(spark, path)

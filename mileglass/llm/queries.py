@@ -153,10 +153,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     docs, path = _table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json")
-    encoded = docs.select("doc_id", B.encode(spark, F.col("text"), path).alias("ids"))
-    decoded = encoded.withColumn("decoded", B.decode(spark, F.col("ids"), path))
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done, c = docs.select("doc_id", B.encode_and_decode(spark, F.col("text"), path).alias("bpe")), F.col("bpe")
+    return done.select("doc_id", (F.octet_length(c["ids"]) / 4).cast("long").alias("n_tokens"),
+                       F.sha2(c["ids"], 256).alias("ids_sha256"), F.sha2(c["decoded"], 256).alias("decoded_sha256"))
 
 
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,14 @@ def test_mixed_texts(text):
     assert ENCODER.encode(text) == library(text)[0]
 
 
+def test_a_small_memory_changes_nothing(texts, monkeypatch):
+    monkeypatch.setattr(B, "CACHE_WORDS", 5)
+    monkeypatch.setattr(B, "CACHE_CHARS", 6)
+    fresh = B.Encoder(B.read_vocabulary(PATH))
+    for _, text in texts[:30]:
+        assert fresh.encode(text) == library(text)[0]
+
+
 def test_plain_merging_agrees():
     ranks = {tuple(m): i for i, m in enumerate(json.load(open(PATH))["model"]["merges"][:3000])}
     for word in ("thethethe", "banana", "aaaaaaa", "intothethin", "x", ""):
@@ -52,8 +60,10 @@ def test_columns(spark, odd_texts):
     docs = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string")
     out = docs.withColumn("ids", B.encode(spark, F.col("text"), PATH))
     out = out.withColumn("list", B.unpacked(F.col("ids"))).withColumn("back", B.decode(spark, F.col("ids"), PATH))
+    out = out.withColumn("both", B.encode_and_decode(spark, F.col("text"), PATH))
     for r in out.collect():
         assert (r.list, r.back) == library(r.text)
+        assert (r.both.ids, r.both.decoded) == (r.ids, r.back)
     assert out.filter("false").count() == 0
 
 
