@@ -39,10 +39,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids of every document, their number, and the text they decode to."""
-    path = tokenizer_file(TOKENIZER)
-    encoded = docs.select("doc_id", "lang", "source", bpe.encode(spark, F.col("text"), path).alias("ids"))
-    return (encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
-            .withColumn("decoded", bpe.decode(spark, F.col("ids"), path)))
+    done = docs.select("doc_id", "lang", "source", bpe.encode_and_decode(spark, F.col("text"), tokenizer_file(TOKENIZER)).alias("bpe"))
+    ids = F.col("bpe.ids")
+    return done.select("doc_id", "lang", "source", ids.alias("ids"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
+                       F.col("bpe.decoded").alias("decoded"))
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates),
