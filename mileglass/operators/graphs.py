@@ -3,11 +3,9 @@
 Input columns: payload_id, source_agent_id, anchor_message_id, run_id,
 payload_json.  Ids may be NULL or repeated: every row is a payload of its own.
 
-Raw payloads are never shuffled.  Each row gets a number, is exploded to
-element rows and cleaned by generated code within its task; the cleaned
-elements of a row are grouped in that task before one shuffle by row number.
-Row numbers are all different, so no payload id can be a hot key, and a
-payload above the byte limit is never exploded, so a group is bounded by it.
+Everything happens inside the row, on arrays: nothing is shuffled, grouped or
+joined, so no payload id can be a hot key.  Most elements need no repair; one
+search in the element's JSON text tells, and only the others are taken apart.
 """
 
 from __future__ import annotations
@@ -19,7 +17,6 @@ from mileglass.functions import cleaning as X
 from mileglass.functions.cleaning import GraphLimits, as_number
 
 KEYS = ("payload_id", "source_agent_id", "anchor_message_id", "run_id")
-ROW = "_row"
 
 # The names of all repair actions, in order.
 ACTIONS = (
@@ -32,6 +29,7 @@ ACTIONS = (
 )
 TEXT_COUNTS = ("non_text", "blank", "normalized", "truncated")
 PROPERTY_COUNTS = ("bad_properties", "excess", "bad", "excess_item", "bad_item", "prop_normalized", "prop_truncated")
+ELEMENT_COUNTS = (*TEXT_COUNTS, *PROPERTY_COUNTS, "unknown", "bad_weight")
 
 # A number that may grow when rewritten or overflow to infinity has an
 # exponent or hundreds of digits.
@@ -63,7 +61,7 @@ def with_budget(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     reason = (F.when(text.isNull(), "absent")
               .when(F.col("graph").isNull(), "not_json")
               .when(F.is_variant_null("graph"), "absent")
-              .otherwise(F.coalesce(unfit, F.when(~F.schema_of_variant("graph").startswith("OBJECT"), "not_object"))))
+              .otherwise(F.coalesce(unfit, F.when(~text.rlike(r"\A[ \t\r\n]*\{"), "not_object"))))
     return payloads.withColumn("graph", F.try_parse_json(text)).withColumn("reason", reason)
 
 
@@ -125,302 +123,351 @@ def clean_text(df: DataFrame, name: str, value: str, longest: int, applies: Colu
             .drop("_text", "_squeezed"))
 
 
-# -------------------------------------------------------------- properties
-def clean_properties(df: DataFrame, value: str, cap: Column, source_json: Column, limits: GraphLimits,
-                     applies: Column) -> DataFrame:
-    """Add ``properties`` (map) and the counts of PROPERTY_COUNTS.
+# ---------------------------------------------------------------- inside a row
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The cap counts kept entries in input order.  A variant sorts its keys, so
-    an object above the cap takes its key order from ``source_json``, the text
-    it was parsed from; smaller objects never read it.
-    """
-    fields = F.col("_fields")
-    entries, seen = F.col("_entries"), F.col("_seen")
+
+def _counts(**found: Column) -> Column:
+    """All counts of an element; those not given are zero."""
+    return F.struct(*(found.get(c, F.lit(0)).cast("int").alias(c) for c in ELEMENT_COUNTS))
+
+
+def _text_result(value: Column, longest: int) -> Column:
+    """struct(text, non_text, blank, normalized, truncated) of a variant that should hold text; see ``clean_text``."""
+    def result(text, *numbers):
+        return F.struct(text.alias("text"), *(n.cast("int").alias(c) for c, n in zip(TEXT_COUNTS, numbers)))
+
+    none, zero, one = F.lit(None).cast("string"), F.lit(0), F.lit(1)
+
+    def repaired(raw):
+        return _let(X.squeezed(raw), lambda short: F.when(short == "", result(none, zero, one, zero, zero)).otherwise(
+            result(F.when(F.length(short) > longest, X.shortened(short, longest)).otherwise(short), zero, zero,
+                   short != raw, F.length(short) > longest)))
+
+    return _let(X.text_of(value), lambda raw: F.when(raw.isNull(), result(none, one, zero, zero, zero))
+                .when(X.is_identifier(raw, longest), result(raw, zero, zero, zero, zero)).otherwise(repaired(raw)))
+
+
+def _property_value(value: Column, kind: Column, limits: GraphLimits) -> Column:
+    """struct(value, kept, prop_normalized, prop_truncated, excess_item, bad_item) of a property of known kind."""
     most, longest = limits.property_array_items, limits.property_string_chars
 
-    # Each step is one pass over the entries, so that later steps read values
-    # instead of repeating expressions.
-    def pair(key):
-        return F.struct(key.alias("key"), F.try_element_at(fields, key).alias("value"))
-
-    def typed(e):
-        usable = X.is_property_key(e["key"], limits.property_key_chars)
-        return F.struct(e["key"].alias("key"), e["value"].alias("value"),
-                        F.when(usable, F.schema_of_variant(e["value"])).alias("kind"))
-
-    def opened(e):
-        return F.struct(
-            e["key"].alias("key"), e["value"].alias("value"), e["kind"].alias("kind"),
-            F.when(e["kind"] == "STRING", F.try_variant_get(e["value"], "$", "string")).alias("text"),
-            F.when(e["kind"].startswith("ARRAY"), X.items_of(e["value"])).alias("items"))
-
-    def cleaned(e):
-        items, text = e["items"], e["text"]
-        listed = F.when(items.isNotNull(), F.transform(
-            F.slice(items, 1, most), lambda v: X.clean_scalar(v, F.schema_of_variant(v), longest)))
-        plain = F.when(items.isNull() & e["kind"].isNotNull(), X.clean_scalar(e["value"], e["kind"], longest, text))
-        return F.struct(e["key"].alias("key"), plain.alias("one"), listed.alias("many"),
-                        F.when(items.isNotNull(), F.greatest(F.size(items) - most, F.lit(0)))
-                        .otherwise(0).alias("excess_item"))
-
-    def folded(e):
-        one, many = e["one"], e["many"]
-
-        def added(field):
-            return (F.when(one.isNotNull(), one[field])
-                    .when(many.isNotNull(), F.aggregate(many[field], F.lit(0), lambda acc, n: acc + n)).otherwise(0))
-        return F.struct(
-            e["key"].alias("key"),
-            F.when(one.isNotNull(), one["value"]).when(many.isNotNull(), F.transform(
-                F.filter(many, lambda m: m["kept"]), lambda m: m["value"]).cast("variant")).alias("value"),
-            F.when(one.isNotNull(), one["kept"]).otherwise(many.isNotNull()).alias("kept"),
-            added("normalized").alias("prop_normalized"), added("truncated").alias("prop_truncated"),
-            e["excess_item"].alias("excess_item"),
-            F.when(many.isNotNull(), F.size(F.filter(many, lambda m: ~m["kept"]))).otherwise(0).alias("bad_item"))
-
-    def total(field):
-        return F.coalesce(F.aggregate(seen[field], F.lit(0), lambda acc, n: acc + n), F.lit(0))
-
-    above = F.size(fields) > cap
-    places = F.array_compact(F.transform(entries, lambda e, i: F.when(e["kept"], i + 1)))
-    read = F.when(cap == 0, 0).otherwise(F.coalesce(F.try_element_at(places, cap), F.size(entries)))
-    return (df
-            .withColumn("_fields", F.when(applies, X.fields_of(F.col(value))))
-            .withColumn("_keys", F.when(above, F.coalesce(F.json_object_keys(source_json), F.map_keys(fields)))
-                        .otherwise(F.map_keys(fields)))
-            .withColumn("_entries", F.transform("_keys", pair))
-            .withColumn("_entries", F.transform("_entries", typed))
-            .withColumn("_entries", F.transform("_entries", opened))
-            .withColumn("_entries", F.transform("_entries", cleaned))
-            .withColumn("_entries", F.transform("_entries", folded))
-            .withColumn("_seen", F.when(above, F.slice(entries, F.lit(1), read)).otherwise(entries))
-            .withColumns({
-                "properties": F.map_from_entries(F.transform(
-                    F.filter(seen, lambda e: e["kept"]),
-                    lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))),
-                "bad_properties": as_number(applies & F.col(value).isNotNull() & fields.isNull()),
-                "excess": F.coalesce(F.size(entries) - F.size(seen), F.lit(0)),
-                "bad": F.coalesce(F.size(F.filter(seen, lambda e: ~e["kept"])), F.lit(0)),
-                **{c: total(c) for c in ("excess_item", "bad_item", "prop_normalized", "prop_truncated")}})
-            .drop("_fields", "_keys", "_entries", "_seen"))
-
-
-# ------------------------------------------------------------------ elements
-def clean_elements(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
-    """One cleaned row per node, edge and metadata object looked at.
-
-    Payloads that are not repaired keep one row without an element.  Nothing
-    is known here about other elements: edges still have to be linked.
-    """
-    nodes, edges = F.col("_nodes"), F.col("_edges")
-    empty = F.array().cast("array<variant>")
-    kept_nodes = F.coalesce(F.slice(nodes, 1, limits.nodes), empty)
-    kept_edges = F.coalesce(F.slice(edges, 1, limits.edges), empty)
-    least_cap = min(limits.node_properties, limits.edge_properties)
-    graph_fields = X.fields_of(F.col("graph"))
-    repairable = F.col("reason").isNull()
-    heads = (with_budget(payloads, limits)
-             .withColumns({"_nodes": F.when(repairable, _list("nodes")), "_edges": F.when(repairable, _list("edges")),
-                           "_metadata": F.when(repairable, F.try_variant_get("graph", "$.metadata", "variant"))})
-             .withColumns({
-                 "defaulted_nodes": as_number(repairable & nodes.isNull()),
-                 "defaulted_edges": as_number(repairable & edges.isNull()),
-                 "excess_node": F.coalesce(F.greatest(F.size(nodes) - limits.nodes, F.lit(0)), F.lit(0)),
-                 "excess_edge": F.coalesce(F.greatest(F.size(edges) - limits.edges, F.lit(0)), F.lit(0)),
-                 "unknown_top": F.when(repairable, X.unknown_fields(graph_fields, X.GRAPH_FIELDS)).otherwise(0),
-                 "_n": F.size(kept_nodes), "_e": F.size(kept_edges),
-                 "_elements": F.when(repairable, F.concat(kept_nodes, kept_edges, F.array("_metadata")))}))
-    # The cap may cut only large objects.  Their key order is read from the
-    # text of their element, taken apart once per payload that holds one.
-    large = (F.size(X.fields_of(F.col("_metadata"))) > limits.metadata_properties) | F.exists(
-        F.concat(kept_nodes, kept_edges),
-        lambda e: F.size(F.try_variant_get(e, "$.properties", "map<string,variant>")) > least_cap)
-    texts = F.from_json("payload_json", "nodes array<string>, edges array<string>, metadata string")
-    no_text = F.array().cast("array<string>")
-    sources = F.concat(F.coalesce(F.slice(texts["nodes"], 1, limits.nodes), no_text),
-                       F.coalesce(F.slice(texts["edges"], 1, limits.edges), no_text), F.array(texts["metadata"]))
-    zipped = F.arrays_zip("_elements", "_sources")
-    rows = (heads
-            .withColumn("_sources", F.when(large, sources).otherwise(no_text))
-            .withColumn("_zipped", F.when(repairable, zipped))
-            .select(ROW, *KEYS, "reason", "defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top",
-                    "_n", "_e", F.posexplode_outer("_zipped").alias("_i", "_pair"))
-            .withColumns({"element": F.col("_pair")["_elements"], "_source": F.col("_pair")["_sources"]}).drop("_pair"))
-
-    i, n, e = F.col("_i"), F.col("_n"), F.col("_e")
-    el = F.col("element")
-    kind = F.when(i < n, "node").when(i < n + e, "edge").when(i.isNotNull(), "metadata")
-    is_node, is_edge, is_meta = F.col("kind") == "node", F.col("kind") == "edge", F.col("kind") == "metadata"
-
-    def ident(name):
-        text = X.text_of(X.member(fields, name))
-        return F.when(X.is_identifier(text, limits.id_chars), text)
-
-    fields = F.col("_fields")
-    df = (rows
-          .withColumns({"kind": kind, "pos": F.when(i < n, i).when(i < n + e, i - n).otherwise(0)})
-          .withColumn("_fields", F.when(~is_meta, X.fields_of(el)))
-          .withColumns({"id": F.when(is_node, ident("id")),
-                        "source": F.when(is_edge, ident("source")),
-                        "target": F.when(is_edge, ident("target")),
-                        "_label": X.member(fields, "label"),
-                        "_type": F.when(is_node, X.member(fields, "type")),
-                        "_description": F.when(is_node, X.member(fields, "description")),
-                        "_weight": F.when(is_edge, X.member(fields, "weight")),
-                        "_properties": F.when(is_meta, el).otherwise(X.member(fields, "properties"))})
-          .withColumn("valid", F.when(is_node, F.col("id").isNotNull())
-                      .when(is_edge, F.col("source").isNotNull() & F.col("target").isNotNull())
-                      .otherwise(is_meta))
-          .withColumn("unknown", F.when(fields.isNotNull(), F.when(is_node, X.unknown_fields(fields, X.NODE_FIELDS))
-                                        .otherwise(X.unknown_fields(fields, X.EDGE_FIELDS))).otherwise(0)))
-    # A node needs a label; an edge label is optional.
-    df = clean_text(df, "label", "_label", limits.label_chars,
-                    F.col("valid") & (is_node | (is_edge & F.col("_label").isNotNull())))
-    df = df.withColumn("valid", F.col("valid") & (~is_node | F.col("label").isNotNull()))
-    for name, longest in (("type", limits.type_chars), ("description", limits.description_chars)):
-        df = clean_text(df, name, f"_{name}", longest, F.col("valid") & is_node & F.col(f"_{name}").isNotNull())
-    cap = (F.when(is_node, limits.node_properties).when(is_edge, limits.edge_properties)
-           .otherwise(limits.metadata_properties))
-    source = F.when(is_meta, F.col("_source")).otherwise(
-        F.from_json("_source", "properties string")["properties"])
-    df = clean_properties(df, "_properties", cap, source, limits, F.coalesce(F.col("valid"), F.lit(False)))
-    df = df.withColumns({
-        # Missing metadata is defaulted as well, other missing properties are fine.
-        "bad_properties": F.when(is_meta, as_number(F.col("properties").isNull())).otherwise(F.col("bad_properties")),
-        "weight": F.when(is_edge, X.usable_weight(F.col("_weight"), limits.weight)),
-        "bad_weight": as_number(is_edge & F.col("_weight").isNotNull()
-                                & X.usable_weight(F.col("_weight"), limits.weight).isNull())})
-    return df.drop("element", "_fields", "_label", "_type", "_description", "_weight", "_properties",
-                   "_i", "_n", "_e", "_source")
+    def result(value, kept, *numbers):
+        names = ("prop_normalized", "prop_truncated", "excess_item", "bad_item")
+        return F.struct(value.alias("value"), kept.alias("kept"), *(n.alias(c) for c, n in zip(names, numbers)))
 
+    def total(many, field):
+        return F.aggregate(many, F.lit(0), lambda acc, m: acc + m[field])
 
-# -------------------------------------------------------------------- repair
-def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
-    """All payloads with ``status``, ``reason``, ``nodes``, ``edges``,
-    ``metadata`` and one ``n_<action>`` column per repair action.
+    def listed(items):
+        many = F.transform(F.slice(items, 1, most), lambda v: _let(
+            F.schema_of_variant(v), lambda k: X.clean_scalar(v, k, longest)))
+        return _let(many, lambda m: result(
+            F.transform(F.filter(m, lambda x: x["kept"]), lambda x: x["value"]).cast("variant"), F.lit(True),
+            total(m, "normalized"), total(m, "truncated"), F.greatest(F.size(items) - most, F.lit(0)),
+            F.size(F.filter(m, lambda x: ~x["kept"]))))
 
-    status: accepted, skipped (no node left), quarantined, or absent.
-    ``edges`` holds every edge looked at with the test it stopped at; nodes
-    holds kept nodes.
-    """
-    numbered = payloads.withColumn(ROW, F.monotonically_increasing_id())
-    return _link(_grouped(clean_elements(numbered, limits)))
+    zero = F.lit(0)
+    plain = _let(X.clean_scalar(value, kind, longest), lambda one: result(
+        one["value"], one["kept"], one["normalized"], one["truncated"], zero, zero))
+    dropped = result(F.lit(None).cast("variant"), F.lit(False), zero, zero, zero, zero)
+    return (F.when(kind.isNull(), dropped).when(kind.startswith("ARRAY"), _let(X.items_of(value), listed))
+            .otherwise(plain))
 
 
-def payload_status(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
-    """payload_id, source_agent_id, status and reason of each payload, as
-    ``repair_graphs`` gives them, without the repair: a payload is accepted if
-    some node within the cap has an id and a label, which its row alone tells.
+def _properties_result(value: Column, cap: int, source: Column, limits: GraphLimits) -> Column:
+    """struct(properties, counts of PROPERTY_COUNTS) of a variant that should be an object of properties.
+
+    The cap counts kept entries in input order.  A variant sorts its keys, so an object above the cap takes its key
+    order from ``source``, the text it was parsed from; smaller objects never read it.
     """
-    def usable(node):
-        fields = X.fields_of(node)
-        label = X.text_of(X.member(fields, "label"))
-        return (X.is_identifier(X.text_of(X.member(fields, "id")), limits.id_chars)
-                & F.coalesce(X.squeezed(label) != "", F.lit(False)))
+    def result(properties, **numbers):
+        return F.struct(properties.alias("properties"), *(numbers.get(c, F.lit(0)).alias(c) for c in PROPERTY_COUNTS))
 
-    reason = F.col("reason")
-    has_node = F.coalesce(F.exists(F.slice(_list("nodes"), 1, limits.nodes), usable), F.lit(False))
-    return with_budget(payloads, limits).withColumn("_usable", F.when(reason.isNull(), has_node)).select(
-        "payload_id", "source_agent_id",
-        F.when(reason == "absent", "absent").when(reason.isNotNull(), "quarantined")
-        .when(F.col("_usable"), "accepted").otherwise("skipped").alias("status"),
-        F.coalesce(reason, F.when(~F.col("_usable"), "no_nodes")).alias("reason"))
+    def entry(key, fields):
+        usable = X.is_property_key(key, limits.property_key_chars)
+        return _let(F.try_element_at(fields, key), lambda v: _let(
+            F.when(usable, F.schema_of_variant(v)), lambda kind: F.struct(
+                key.alias("key"), _property_value(v, kind, limits).alias("is"))))
+
+    def read(entries):
+        """How many entries are looked at until the cap is reached."""
+        if cap == 0:
+            return F.lit(0)
+        places = F.filter(F.transform(entries, lambda e, i: F.when(e["is"]["kept"], i + 1)), lambda p: p.isNotNull())
+        return F.coalesce(F.get(places, F.lit(cap - 1)), F.size(entries))
+
+    def total(seen, field):
+        return F.aggregate(seen, F.lit(0), lambda acc, e: acc + e["is"][field])
 
+    def summed(seen, excess):
+        return result(
+            F.map_from_entries(F.transform(F.filter(seen, lambda e: e["is"]["kept"]), lambda e: F.struct(
+                e["key"].alias("key"), e["is"]["value"].alias("value")))),
+            excess=excess, bad=F.size(F.filter(seen, lambda e: ~e["is"]["kept"])),
+            **{c: total(seen, c) for c in ("excess_item", "bad_item", "prop_normalized", "prop_truncated")})
 
-def _grouped(elements: DataFrame) -> DataFrame:
-    is_node, is_edge, is_meta = (F.col("kind") == k for k in ("node", "edge", "metadata"))
+    def of_fields(fields):
+        above = F.size(fields) > cap
+        keys = F.when(above, F.coalesce(F.json_object_keys(source), F.map_keys(fields))).otherwise(F.map_keys(fields))
+        return _let(F.transform(keys, lambda k: entry(k, fields)), lambda entries: F.when(
+            above, _let(F.slice(entries, F.lit(1), read(entries)), lambda seen: summed(seen, F.size(entries) - F.size(seen))))
+            .otherwise(summed(entries, F.lit(0))))
+
+    none = F.lit(None).cast("map<string,variant>")
+    fine = F.to_json(value).rlike(rf"(?U)\A{_properties_pattern(cap, limits)}\z")
+    return _let(X.fields_of(value), lambda fields: F.when(fields.isNull(), result(none, bad_properties=F.lit(1)))
+                .when(fine, result(fields)).otherwise(of_fields(fields)))
+
+
+# What JSON text of an element looks like that needs no repair; keys are sorted there.
+def _text_pattern(longest: int) -> str:
+    return rf'"(?=[^"]*[^\s"])[^"\\\x7f]{{1,{longest}}}"'
+
+
+def _properties_pattern(cap: int, limits: GraphLimits) -> str:
+    forbidden = "|".join(X.FORBIDDEN_KEYS)
+    value = rf'(?:"[^"\\\x7f]{{0,{limits.property_string_chars}}}"|-?[0-9]+(?:\.[0-9]+)?|true|false|null)'
+    one = rf'(?!"(?:{forbidden})"){_text_pattern(limits.property_key_chars)}:{value}'
+    return rf"\{{(?:{one}(?:,{one}){{0,{cap - 1}}})?\}}" if cap else r"\{\}"
+
+
+def _clean_node(limits: GraphLimits) -> str:
+    def optional(name, longest):
+        return rf'"{name}":{_text_pattern(longest)}'
+    return (rf'(?U)\A\{{(?:{optional("description", limits.description_chars)},)?{optional("id", limits.id_chars)},'
+            rf'{optional("label", limits.label_chars)}'
+            rf'(?:,"properties":{_properties_pattern(limits.node_properties, limits)})?'
+            rf'(?:,{optional("type", limits.type_chars)})?\}}\z')
+
+
+def _clean_edge(limits: GraphLimits) -> str:
+    return (rf'(?U)\A\{{(?:"label":{_text_pattern(limits.label_chars)},)?'
+            rf'(?:"properties":{_properties_pattern(limits.edge_properties, limits)},)?'
+            rf'"source":{_text_pattern(limits.id_chars)},"target":{_text_pattern(limits.id_chars)}'
+            r'(?:,"weight":[0-9]+(?:\.[0-9]+)?)?\}\z')
+
+
+def _field(value: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
+
+
+def _opened(value: Column, *texts: str) -> Column:
+    """The text fields and properties of an element that needs no repair, in one reading."""
+    return F.try_variant_get(value, "$", f"struct<{','.join(f'{c}:string' for c in texts)},properties:map<string,variant>>")
+
+
+def _identifier(fields: Column, name: str, limits: GraphLimits) -> Column:
+    return _let(X.text_of(X.member(fields, name)), lambda text: F.when(X.is_identifier(text, limits.id_chars), text))
+
+
+def _node(v: Column, i: Column, source: Column, limits: GraphLimits) -> Column:
+    """struct(fine, pos, valid, id, label, type, description, properties, n) of a raw node."""
+    def result(fine, valid, properties, n, **texts):
+        return F.struct(fine.alias("fine"), i.alias("pos"), valid.alias("valid"),
+                        *(texts[c].alias(c) for c in ("id", "label", "type", "description")),
+                        properties.alias("properties"), n.alias("n"))
+
+    names = ("id", "label", "type", "description")
+    plain = _let(_opened(v, *names), lambda s: result(
+        F.lit(True), F.lit(True), s["properties"], _counts(), **{c: s[c] for c in names}))
+
+    def if_present(fields, name, wanted, found):
+        return F.when(wanted & X.member(fields, name).isNotNull(), found)
+
+    def parts(fields):
+        """id and label first, since the other fields of a node without them are not looked at."""
+        return _let(_identifier(fields, "id", limits), lambda id: _let(
+            F.when(id.isNotNull(), _text_result(X.member(fields, "label"), limits.label_chars)), lambda label: _let(
+                label.isNotNull() & label["text"].isNotNull(), lambda valid: _let(F.struct(
+                    if_present(fields, "type", valid, _text_result(X.member(fields, "type"), limits.type_chars)).alias("type"),
+                    if_present(fields, "description", valid, _text_result(
+                        X.member(fields, "description"), limits.description_chars)).alias("description"),
+                    if_present(fields, "properties", valid, _properties_result(
+                        X.member(fields, "properties"), limits.node_properties, source, limits)).alias("properties")),
+                    lambda more: summed(fields, id, label, valid, more)))))
+
+    def summed(fields, id, label, valid, more):
+        texts = (label, more["type"], more["description"])
+        numbers = {c: sum(F.coalesce(t[c], F.lit(0)) for t in texts) for c in TEXT_COUNTS}
+        numbers |= {c: F.coalesce(more["properties"][c], F.lit(0)) for c in PROPERTY_COUNTS}
+        numbers["unknown"] = F.when(fields.isNull(), 0).otherwise(X.unknown_fields(fields, X.NODE_FIELDS))
+        return result(F.lit(False), valid, more["properties"]["properties"], _counts(**numbers), id=id, label=label["text"],
+                      type=more["type"]["text"], description=more["description"]["text"])
+
+    return F.when(F.to_json(v).rlike(_clean_node(limits)), plain).otherwise(_let(X.fields_of(v), parts))
 
-    def over(condition, column):
-        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
 
-    def texts(count):
-        return sum((over(is_node, f"{t}_{count}") for t in ("type", "description")), over(is_node, f"label_{count}"))
+def _edge(v: Column, i: Column, source_json: Column, limits: GraphLimits) -> Column:
+    """struct(fine, pos, valid, source, target, label, weight, properties, n) of a raw edge, not linked yet."""
+    def result(fine, valid, source, target, label, weight, properties, n):
+        return F.struct(fine.alias("fine"), i.alias("pos"), valid.alias("valid"), source.alias("source"), target.alias("target"),
+                        label.alias("label"), weight.alias("weight"), properties.alias("properties"), n.alias("n"))
+
+    plain = _let(_opened(v, "source", "target", "label"), lambda s: result(
+        F.lit(True), F.lit(True), s["source"], s["target"], s["label"], _field(v, "weight", "variant"), s["properties"], _counts()))
 
-    no_edge = ~is_edge
-    node = F.struct("pos", "id", "label", "type", "description", "properties")
-    edge = F.struct("pos", "valid", "source", "target", "label", "weight", "properties", "bad_weight",
-                    *(f"label_{c}" for c in TEXT_COUNTS), *PROPERTY_COUNTS)
-    heads = ("defaulted_nodes", "defaulted_edges", "excess_node", "excess_edge", "unknown_top")
-    return elements.groupBy(ROW, *KEYS, "reason", *heads).agg(
-        F.collect_list(F.when(is_node & F.col("valid"), node)).alias("nodes"),
-        F.collect_list(F.when(is_edge, edge)).alias("edges"),
-        F.any_value(F.when(is_meta, F.col("properties")), True).alias("metadata"),
-        F.sum("unknown").alias("unknown"),
-        F.count_if(is_node & ~F.col("valid")).alias("invalid_node"),
-        over(is_node, "bad_properties").alias("bad_properties"),
-        over(is_meta, "bad_properties").alias("defaulted_metadata"),
-        *(over(no_edge, c).alias(c) for c in PROPERTY_COUNTS[1:]),
-        *(texts(c).alias(c) for c in TEXT_COUNTS))
+    def parts(fields):
+        return _let(F.struct(_identifier(fields, "source", limits).alias("source"), _identifier(fields, "target", limits).alias("target")),
+                    lambda ends: _let(ends["source"].isNotNull() & ends["target"].isNotNull(), lambda valid: _let(F.struct(
+                        F.when(valid & X.member(fields, "label").isNotNull(),
+                               _text_result(X.member(fields, "label"), limits.label_chars)).alias("label"),
+                        X.usable_weight(X.member(fields, "weight"), limits.weight).alias("weight"),
+                        F.when(valid & X.member(fields, "properties").isNotNull(), _properties_result(
+                            X.member(fields, "properties"), limits.edge_properties, source_json, limits)).alias("properties")),
+                        lambda more: summed(fields, ends, valid, more))))
 
+    def summed(fields, ends, valid, more):
+        numbers = {c: F.coalesce(more["label"][c], F.lit(0)) for c in TEXT_COUNTS}
+        numbers |= {c: F.coalesce(more["properties"][c], F.lit(0)) for c in PROPERTY_COUNTS}
+        numbers["unknown"] = F.when(fields.isNull(), 0).otherwise(X.unknown_fields(fields, X.EDGE_FIELDS))
+        numbers["bad_weight"] = as_number(X.member(fields, "weight").isNotNull() & more["weight"].isNull())
+        return result(F.lit(False), valid, ends["source"], ends["target"], more["label"]["text"], more["weight"],
+                      more["properties"]["properties"], _counts(**numbers))
 
-def _link(grouped: DataFrame) -> DataFrame:
-    """Test edges against the nodes of their payload and against each other."""
-    def in_order(name):
-        return F.array_sort(name, lambda a, b: a["pos"] - b["pos"])
+    usual = F.to_json(v).rlike(_clean_edge(limits)) & F.coalesce(
+        F.try_variant_get(v, "$.weight", "double") <= limits.weight, F.lit(True))
+    return F.when(usual, plain).otherwise(_let(X.fields_of(v), parts))
 
-    edges, unknown, marks = F.col("edges"), F.col("_unknown"), F.col("_marks")
-    ends = F.array_compact(F.concat(F.col("edges.source"), F.col("edges.target")))
+
+# -------------------------------------------------------------------- repair
+def _cleaned(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    """Payloads with ``_nodes``, ``_edges`` (every one within the cap, cleaned) and ``_metadata``, still unlinked."""
+    repairable = F.col("reason").isNull()
+    nodes, edges, metadata = F.col("_raw_nodes"), F.col("_raw_edges"), F.col("_raw_metadata")
+    heads = (with_budget(payloads, limits)
+             .withColumns({"_raw_nodes": F.when(repairable, _list("nodes")), "_raw_edges": F.when(repairable, _list("edges")),
+                           "_raw_metadata": F.when(repairable, F.try_variant_get("graph", "$.metadata", "variant"))}))
+    # The cap may cut only large objects.  Their key order is read from the text of their element, taken apart once
+    # per payload that holds one.
+    def large(v, cap):
+        return F.size(F.try_variant_get(v, "$.properties", "map<string,variant>")) > cap
+
+    texts = F.from_json("payload_json", "nodes array<string>, edges array<string>, metadata string")
+    some = (F.exists(nodes, lambda v: large(v, limits.node_properties)) | F.exists(edges, lambda v: large(v, limits.edge_properties))
+            | (F.size(X.fields_of(metadata)) > limits.metadata_properties))
+    heads = heads.withColumn("_texts", F.when(F.coalesce(some, F.lit(True)), texts))
+
+    def source(kind, i):
+        return F.from_json(F.get(F.col("_texts")[kind], i), "properties string")["properties"]
+
+    return heads.withColumns({
+        "_nodes": F.transform(F.slice(nodes, 1, limits.nodes), lambda v, i: _node(v, i, source("nodes", i), limits)),
+        "_edges": F.transform(F.slice(edges, 1, limits.edges), lambda v, i: _edge(v, i, source("edges", i), limits)),
+        "_metadata": F.when(repairable, _properties_result(metadata, limits.metadata_properties, F.col("_texts")["metadata"], limits))})
+
+
+def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    """All payloads with ``status``, ``reason``, ``nodes``, ``edges``,
+    ``metadata`` and one ``n_<action>`` column per repair action.
+
+    status: accepted, skipped (no node left), quarantined, or absent.
+    ``edges`` holds every edge looked at with the test it stopped at; nodes
+    holds kept nodes.
+    """
+    repairable = F.col("reason").isNull()
+    # Edges are tested against the nodes of their payload and against each other.
+    edges, marks, stages = F.col("_edges"), F.col("_marks"), F.col("_stages")
 
     def mark(e):
-        known = (e["valid"] & ~F.array_contains(unknown, e["source"]) & ~F.array_contains(unknown, e["target"]))
+        known = e["valid"] & ~F.array_contains("_unknown", e["source"]) & ~F.array_contains("_unknown", e["target"])
         # No control character can occur in any part, so the key is unambiguous.
         return F.when(known, F.concat_ws("\u0001", e["source"], e["target"], F.coalesce(e["label"], F.lit(""))))
 
     def stage(e, i):
         m = F.get(marks, i)
         first = ~F.col("_repeats") | (F.array_position(marks, m) == i + 1)
-        return (F.when(~F.coalesce(e["valid"], F.lit(False)), "invalid").when(m.isNull(), "dangling")
-                .when(first, "kept").otherwise("duplicate"))
+        return F.when(~e["valid"], "invalid").when(m.isNull(), "dangling").when(first, "kept").otherwise("duplicate")
 
     def staged(e, i):
-        s = F.get(F.col("_stages"), i)
-        return F.struct(s.alias("stage"), *(e[c].alias(c) for c in (
-            "pos", "source", "target", "label", "properties", "bad_weight",
-            *(f"label_{c}" for c in TEXT_COUNTS), *PROPERTY_COUNTS)),
-            F.when(s == "kept", e["weight"]).alias("weight"))
+        s = F.get(stages, i)
+        return F.struct(s.alias("stage"), *(e[c].alias(c) for c in ("fine", "pos", "source", "target", "label", "properties", "n")),
+                        F.when(s == "kept", e["weight"]).alias("weight"))
+
+    ends = F.array_compact(F.concat(F.col("_edges.source"), F.col("_edges.target")))
+    linked = (_cleaned(payloads, limits)
+              .withColumn("nodes", F.filter("_nodes", lambda n: n["valid"]))
+              .withColumn("_unknown", F.array_except(ends, F.col("nodes.id")))
+              .withColumn("_marks", F.transform(edges, mark))
+              .withColumn("_repeats", F.size(F.array_distinct(F.array_compact(marks))) < F.size(F.array_compact(marks)))
+              .withColumn("_stages", F.transform(edges, stage))
+              .withColumn("edges", F.transform(edges, staged))
+              # Only elements that were taken apart have something to count.
+              .withColumns({"_bad_nodes": F.filter("_nodes", lambda n: ~n["fine"]), "_bad_edges": F.filter("edges", lambda e: ~e["fine"])}))
 
-    def of(condition, field):
-        return F.aggregate(F.filter(edges, condition), F.lit(0), lambda acc, e: acc + e[field])
+    def of_nodes(field):
+        return F.coalesce(F.aggregate("_bad_nodes", F.lit(0), lambda acc, e: acc + e["n"][field]), F.lit(0))
 
-    def stopped(name):
-        return F.size(F.filter("_stages", lambda s: s == name))
+    def of_edges(field, *wanted):
+        return F.coalesce(F.aggregate("_bad_edges", F.lit(0), lambda acc, e: acc + (
+            F.when(e["stage"].isin(*wanted), e["n"][field]).otherwise(0) if wanted else e["n"][field])), F.lit(0))
 
-    def known(e):
-        return e["stage"].isin("kept", "duplicate")
+    def of_metadata(field):
+        return F.coalesce(F.col("_metadata")[field], F.lit(0))
 
-    def kept(e):
-        return e["stage"] == "kept"
+    def stopped(name):
+        return F.coalesce(F.size(F.filter("_stages", lambda s: s == name)), F.lit(0))
 
-    linked = (grouped
-              .withColumns({"nodes": in_order("nodes"), "edges": in_order("edges")})
-              .withColumn("_unknown", F.array_except(ends, F.col("nodes.id")))
-              .withColumn("_marks", F.transform("edges", mark))
-              .withColumn("_repeats", F.size(F.array_distinct(F.array_compact(marks))) < F.size(F.array_compact(marks)))
-              .withColumn("_stages", F.transform("edges", stage))
-              .withColumn("edges", F.transform("edges", staged)))
-    text = {c: F.col(c) + of(known, f"label_{c}") for c in TEXT_COUNTS}
-    prop = {c: F.col(c) + of(kept, c) for c in PROPERTY_COUNTS}
+    def excess(kind, cap):
+        return F.coalesce(F.greatest(F.size(f"_raw_{kind}") - cap, F.lit(0)), F.lit(0))
+
+    text = {c: of_nodes(c) + of_edges(c, "kept", "duplicate") for c in TEXT_COUNTS}
+    prop = {c: of_nodes(c) + of_edges(c, "kept") + of_metadata(c) for c in PROPERTY_COUNTS[1:]}
+    unknown_top = F.when(repairable, X.unknown_fields(X.fields_of(F.col("graph")), X.GRAPH_FIELDS)).otherwise(0)
     numbers = {
-        "defaulted_edges": F.col("defaulted_edges"), "defaulted_metadata": F.col("defaulted_metadata"),
-        "defaulted_nodes": F.col("defaulted_nodes"), "dropped_blank_text": text["blank"],
+        "defaulted_edges": as_number(repairable & F.col("_raw_edges").isNull()),
+        # Missing metadata is defaulted as well, other missing properties are fine.
+        "defaulted_metadata": as_number(repairable & F.col("_metadata.properties").isNull()),
+        "defaulted_nodes": as_number(repairable & F.col("_raw_nodes").isNull()), "dropped_blank_text": text["blank"],
         "dropped_dangling_edge": stopped("dangling"), "dropped_duplicate_edge": stopped("duplicate"),
-        "dropped_excess_edge": F.col("excess_edge"), "dropped_excess_node": F.col("excess_node"),
+        "dropped_excess_edge": excess("edges", limits.edges), "dropped_excess_node": excess("nodes", limits.nodes),
         "dropped_excess_property": prop["excess"], "dropped_excess_property_item": prop["excess_item"],
-        "dropped_invalid_edge": stopped("invalid"), "dropped_invalid_node": F.col("invalid_node"),
-        "dropped_invalid_properties": prop["bad_properties"], "dropped_invalid_property": prop["bad"],
-        "dropped_invalid_property_item": prop["bad_item"], "dropped_invalid_weight": of(kept, "bad_weight"),
-        "dropped_non_text": text["non_text"], "dropped_unknown_field": F.col("unknown") + F.col("unknown_top"),
+        "dropped_invalid_edge": stopped("invalid"),
+        "dropped_invalid_node": F.coalesce(F.size("_nodes") - F.size("nodes"), F.lit(0)),
+        "dropped_invalid_properties": of_nodes("bad_properties") + of_edges("bad_properties", "kept"),
+        "dropped_invalid_property": prop["bad"],
+        "dropped_invalid_property_item": prop["bad_item"], "dropped_invalid_weight": of_edges("bad_weight", "kept"),
+        "dropped_non_text": text["non_text"], "dropped_unknown_field": of_nodes("unknown") + of_edges("unknown") + unknown_top,
         "normalized_text": text["normalized"] + prop["prop_normalized"],
         "truncated_text": text["truncated"] + prop["prop_truncated"],
     }
-    has_node = F.size("nodes") > 0
+    has_node = F.coalesce(F.size("nodes") > 0, F.lit(False))
     status = (F.when(F.col("reason") == "absent", "absent").when(F.col("reason").isNotNull(), "quarantined")
               .when(has_node, "accepted").otherwise("skipped"))
-    return linked.select(
-        *KEYS, status.alias("status"),
-        F.coalesce("reason", F.when(~has_node, "no_nodes")).alias("reason"), "nodes", "edges",
-        F.coalesce("metadata", F.create_map().cast("map<string,variant>")).alias("metadata"),
+
+    def listed(name):
+        return F.coalesce(F.col(name), F.array())
+
+    done = F.struct(
+        *KEYS, status.alias("status"), F.coalesce("reason", F.when(~has_node, "no_nodes")).alias("reason"),
+        listed("nodes").alias("nodes"), listed("edges").alias("edges"),
+        F.coalesce("_metadata.properties", F.create_map().cast("map<string,variant>")).alias("metadata"),
         *(numbers[a].cast("bigint").alias(f"n_{a}") for a in ACTIONS))
+    # One row in, one row out.  A filter above a generator stays above it; pushed below, it would hold a second copy
+    # of the whole repair.
+    return linked.select(F.inline_outer(F.array(done)))
+
+
+def payload_status(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+    """payload_id, source_agent_id, status and reason of each payload, as
+    ``repair_graphs`` gives them, without the repair: a payload is accepted if
+    some node within the cap has an id and a label, which its row alone tells.
+    """
+    def usable(node):
+        # Read from the node in place: its other fields are not taken out.
+        id, label = (_field(node, c, "variant") for c in ("id", "label"))
+        return (X.is_identifier(X.text_of(id), limits.id_chars)
+                & F.coalesce(X.squeezed(X.text_of(label)) != "", F.lit(False)))
+
+    reason = F.col("reason")
+    has_node = F.coalesce(F.exists(F.slice(_list("nodes"), 1, limits.nodes), usable), F.lit(False))
+    return with_budget(payloads, limits).withColumn("_usable", F.when(reason.isNull(), has_node)).select(
+        "payload_id", "source_agent_id",
+        F.when(reason == "absent", "absent").when(reason.isNotNull(), "quarantined")
+        .when(F.col("_usable"), "accepted").otherwise("skipped").alias("status"),
+        F.coalesce(reason, F.when(~F.col("_usable"), "no_nodes")).alias("reason"))
 
 
 # ------------------------------------------------------------------- results

@@ -169,12 +169,14 @@ def test_envelope_fields(spark):
     assert (got["t160"]["anchorMessageId"], got["t160"]["runId"]) == ("m", "r")
 
 
-def test_one_shuffle(spark, repaired):
+def test_within_the_row(spark):
     df = spark.createDataFrame([("p", "a", "m", "r", "{}")], COLUMNS)
-    plan = G.artifacts(G.repair_graphs(df, LIMITS), 1)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
-    # Raw payloads stay where they were read: only grouped elements move.
-    assert "payload_json" not in plan[:plan.index("Exchange hashpartitioning")] and "_row" in plan
+    repaired = G.repair_graphs(df, LIMITS)
+    for result in (G.artifacts(repaired, 1), G.repair_counts(repaired), G.kept_nodes(repaired), G.kept_edges(repaired)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan and "Join" not in plan
+        # The filter above the repair did not take a second copy of it below.
+        assert plan.count("schemaVersion") <= 2 and plan.count("parse_json") <= 4
 
 
 def test_equal_and_missing_ids_stay_apart(spark):
