@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mileglass.llm.text import BLANKS, stored
+from mileglass.llm.text import BLANKS, free_name, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -28,25 +28,27 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     without a small letter), n_ended_lines (lines that end a sentence), n_plain_words (words of letters, but for a
     mark at either end).
 
-    Every step stays within its row: no shuffle, and a long text costs n log n.
+    Every step stays within its row: no shuffle, and a long text costs n log n.  A column ``measures`` is replaced,
+    all others stay.
     """
+    words_, lines_, hashes_, ordered_ = (free_name(docs, c) for c in ("__words", "__lines", "__hashes", "__ordered"))
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, f"[{BLANKS}]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
-    n = F.size("__words")
+    n = F.size(words_)
     hashes = F.when(n > WINDOW, F.transform(
-        F.slice("__words", F.lit(1), n - (WINDOW - 1)),
-        lambda w, i: F.xxhash64(w, *[F.get("__words", i + k) for k in range(1, WINDOW)])))
+        F.slice(words_, F.lit(1), n - (WINDOW - 1)),
+        lambda w, i: F.xxhash64(w, *[F.get(words_, i + k) for k in range(1, WINDOW)])))
     # Only texts with an equal pair are sorted: equal windows become neighbours, and their words are compared.
-    ordered = F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), F.sort_array(F.transform(
-        "__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at")))))
+    ordered = F.when(F.size(F.array_distinct(hashes_)) < F.size(hashes_), F.sort_array(F.transform(
+        hashes_, lambda h, i: F.struct(h.alias("h"), i.alias("at")))))
 
     def equal(x, other):
-        words_equal = [F.get("__words", x["at"] + k) == F.get("__words", other["at"] + k) for k in range(WINDOW)]
+        words_equal = [F.get(words_, x["at"] + k) == F.get(words_, other["at"] + k) for k in range(WINDOW)]
         return F.coalesce((x["h"] == other["h"]) & words_equal[0] & words_equal[1] & words_equal[2], F.lit(False))
 
     starts = F.sort_array(F.transform(
-        F.filter("__ordered", lambda x, i: equal(x, F.get("__ordered", i - 1)) | equal(x, F.get("__ordered", i + 1))),
+        F.filter(ordered_, lambda x, i: equal(x, F.get(ordered_, i - 1)) | equal(x, F.get(ordered_, i + 1))),
         lambda x: x["at"]))
     covered = F.aggregate(
         F.coalesce(starts, F.array().cast("array<int>")),
@@ -56,19 +58,19 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc: acc["words"])
     counts = F.struct(
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words_, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.size(F.filter("__lines", lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("long")
+        F.size(lines_).cast("long").alias("n_lines"),
+        F.size(F.filter(lines_, lambda x: (x == F.upper(x)) & (x != F.lower(x)))).cast("long")
         .alias("n_capital_lines"),
-        F.size(F.filter("__lines", lambda x: F.substring(F.rtrim(x), -1, 1).isin(*SENTENCE_ENDS))).cast("long")
+        F.size(F.filter(lines_, lambda x: F.substring(F.rtrim(x), -1, 1).isin(*SENTENCE_ENDS))).cast("long")
         .alias("n_ended_lines"),
-        F.size(F.filter("__words", lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain_words"))
-    return (docs.withColumn("__words", words).withColumn("__lines", lines)
-            .withColumn("__hashes", hashes).withColumn("__ordered", ordered)
-            .withColumn("measures", counts).drop("__words", "__lines", "__hashes", "__ordered"))
+        F.size(F.filter(words_, lambda w: w.rlike(PLAIN_WORD))).cast("long").alias("n_plain_words"))
+    return (docs.withColumn(words_, words).withColumn(lines_, lines)
+            .withColumn(hashes_, hashes).withColumn(ordered_, ordered)
+            .withColumn("measures", counts).drop(words_, lines_, hashes_, ordered_))
 
 
 @dataclass(frozen=True)
@@ -193,20 +195,17 @@ def fit_quality(measured: DataFrame, rules: list[Rule] | None = None) -> VoteMod
 def score_quality(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """``docs`` with measures, quality, base_failed and kept, learned from these very documents.
 
-    The texts are measured twice, once to learn and once to judge, instead of being stored or shuffled with their
-    measures.  A NULL or empty text has no words and fails.  Repeated rows count each and get the same verdict.
-    Columns of the added names are replaced.
+    Each text is measured once; the rows are stored with their measures, which learning and judging read.  A NULL or
+    empty text has no words and fails.  Repeated rows count each and get the same verdict.  Columns of the added names
+    are replaced.
     """
     rules = rules or default_rules()
-    measured = with_measures(docs, text)
-    model = fit_quality(with_measures(docs.select(text), text), rules)
-    return judge_quality(measured, model, rules)
+    measured = stored(with_measures(docs, text), "quality-measured")
+    return judge_quality(measured, fit_quality(measured, rules), rules)
 
 
 def keep_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    scored = score_quality(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")))
-    # The row number keeps the filter above the measures: pushed below them, it would repeat their expressions
-    # inside each other, and a text would cost its square.
-    numbered = scored.select("doc", "kept", F.monotonically_increasing_id().alias("row"))
-    return numbered.filter(F.col("kept") & (F.col("row") >= 0)).select("doc.*")
+    """The documents that are kept, with their own columns, whatever they are called; each text is measured once."""
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    measured = stored(with_measures(packed).drop("text"), "quality-measured")
+    return judge_quality(measured, fit_quality(measured), default_rules()).filter("kept").select("doc.*")

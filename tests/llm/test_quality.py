@@ -79,11 +79,16 @@ def test_clashing_names_nulls_and_empty_tables(spark):
     prose = "".join(f"{chr(97 + i % 26)}ome thing{i} is like{i * i} nothing{3 * i}.\n" for i in range(40))
     assert Q.keep_quality(spark.createDataFrame([(1, prose, "m", None)] * 2, df.schema)).count() == 2
     assert Q.keep_quality(df.limit(0)).count() == 0
+    inner = spark.createDataFrame([("a b", "w", "l", "h", "o")], "text string, __words string, __Lines string, __hashes string, __ordered string")
+    for out in (Q.with_measures(inner), Q.score_quality(inner)):
+        r = out.first()
+        assert tuple(r)[:5] == ("a b", "w", "l", "h", "o") and r.measures.n_words == 2
 
 
 def test_no_python_in_the_plan(spark, texts):
     plan = Q.keep_quality(spark.createDataFrame(texts, "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert "transform(" not in plan  # judging reads the stored measures
 
 
 def test_labels(spark):
