@@ -11,17 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mileglass.llm.text import stored
 
 ORDERS = (1, 2, 3)
 BUCKETS_LOG2 = 15
-#: Labelled texts that the weights and the temperature are fitted on, over all languages: the bound of the sample.
-SAMPLE_ROWS = 4000
-#: Languages that can be learned, the most frequent first: bounds the weights (this many times 2**15 numbers).
-MAX_LANGUAGES = 200
+#: Labelled texts that the weights and the temperature are fitted on, over all languages, and for each language at
+#: least: the bound of the sample.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 10
+#: Languages that are told apart by one task.  More of them are learned in blocks of this size: one model tells the
+#: blocks apart, one for each block its languages.
+BLOCK = 128
 UNKNOWN = "und"
 _CHUNK = 1 << 20
 
@@ -64,22 +66,38 @@ class Features:
 
 
 @dataclass
-class LanguageModel:
-    """Languages, inverse document frequencies, weights (buckets by languages), intercepts and the temperature."""
+class Weights:
+    """Weights (buckets by classes), intercepts and the temperature of one multinomial model."""
 
-    languages: list[str]
-    idf: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
-    def logits(self, buckets: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return values @ self.weights[buckets] + self.bias
+    def probabilities(self, buckets: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return _softmax((values @ self.weights[buckets] + self.bias) / self.temperature)
+
+
+@dataclass
+class LanguageModel:
+    """Languages, inverse document frequencies, and the models of the blocks of languages.
+
+    ``root`` tells the blocks apart; it is not needed for one block.
+    """
+
+    languages: list[str]
+    idf: np.ndarray
+    blocks: list[Weights]
+    root: Weights | None = None
 
     def predict(self, found: tuple[np.ndarray, np.ndarray] | None) -> tuple[str, float]:
+        """The likeliest language; the probability of a language is that of its block times its own within it."""
         if found is None or not self.languages:
             return UNKNOWN, 0.0
-        p = _softmax(self.logits(found[0], tf_idf(*found, self.idf)) / self.temperature)
+        values = tf_idf(*found, self.idf)
+        p = [b.probabilities(found[0], values) for b in self.blocks]
+        if self.root is not None:
+            p = [share * q for share, q in zip(self.root.probabilities(found[0], values), p)]
+        p = np.concatenate(p)
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 
@@ -161,64 +179,96 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[int, np.
     return n, df
 
 
+def sample_texts(labelled: DataFrame, rows: int) -> tuple[list[str], DataFrame]:
+    """All languages, sorted, and a sample of distinct texts with the place of their language.
+
+    Every language gets the same share of ``rows``, but ``LEAST_ROWS`` at least, of its distinct texts: those with
+    the smallest hashes among the ones drawn, so the sample does not depend on copies, partitions or order.
+    """
+    spark = labelled.sparkSession
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()  # one row a language
+    sizes = {r.lang: r.n for r in found}
+    languages = sorted(sizes)
+    quota = max(rows // max(len(languages), 1), LEAST_ROWS)
+    # Twice the quota is drawn; then its first rows by hash are taken.
+    shares = spark.createDataFrame([(g, i, min(1.0, 2 * quota / sizes[g])) for i, g in enumerate(languages)],
+                                   "lang string, label int, share double")
+    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1_000_000)) / 1_000_000
+    turn = F.xxhash64("text", F.lit(10))
+    first = Window.partitionBy("label").orderBy("turn", "text")
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("label", "text").distinct()
+    return languages, (drawn.withColumn("turn", turn).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= quota)
+                       .select("label", "text", "turn", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(5)).alias("fold")))
+
+
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int, int]], classes: int, epochs: int) -> Weights:
+    """Weights from rows of (buckets, values, label, fold) in their order; fold 0 teaches the temperature alone."""
+    model = Ftrl(1 << BUCKETS_LOG2, classes)
+    for _ in range(epochs):
+        for buckets, values, label, fold in rows:
+            if fold:
+                model.learn(buckets, values, label)
+    w = model.weights()
+    tuned = [(v @ w[b] + w[-1], label) for b, v, label, fold in rows if not fold]
+    return Weights(w[:-1], w[-1], fit_temperature(np.array([z for z, _ in tuned]), np.array([y for _, y in tuned], dtype=np.int64)))
+
+
 def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS,
-                       max_languages: int = MAX_LANGUAGES, epochs: int = 3) -> LanguageModel:
-    """Learn from rows with a text and a language.
+                       block: int = BLOCK, epochs: int = 3) -> LanguageModel:
+    """Learn every language from rows with a text and a language.
 
     Document frequencies come from all labelled texts.  The weights are fitted on a sample bounded by ``rows`` in
-    all, the same share for every language, chosen by a hash of the text: four fifths teach the weights, one fifth
-    the temperature.  The sample is one task's work; only the weights, whose size is fixed, come to the driver.
-    Rows whose text or language is NULL teach nothing.  Without any other row every answer is ``und``.
+    all, or by ``LEAST_ROWS`` for each language if that is more (see ``sample_texts``): four fifths teach the weights,
+    one fifth the temperature.  Each block of languages is one task's work; only weights come to the driver, whose
+    size depends on the number of languages alone.  Rows whose text or language is NULL teach nothing.  Without any
+    other row every answer is ``und``.
     """
     spark = labelled.sparkSession
     labelled = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull())
-    per_language = (labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-                    .limit(max_languages).collect())
-    sizes = {r.lang: r.n for r in per_language}
-    languages = sorted(sizes)
+    languages, sample = sample_texts(labelled, rows)
     if not languages:
-        return LanguageModel([], np.ones(1 << BUCKETS_LOG2), np.zeros((1 << BUCKETS_LOG2, 0)), np.zeros(0), 1.0)
+        return LanguageModel([], np.ones(1 << BUCKETS_LOG2), [])
     n, df = document_frequencies(labelled, "text")
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, rows / len(languages) / sizes[g]))])
-    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1_000_000)) / 1_000_000
-    sample = (labelled.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")))
-              .select("text", "lang", F.pmod(F.xxhash64("text", F.lit(9)), F.lit(5)).alias("fold"),
-                      F.xxhash64("text", F.lit(10)).alias("turn")).limit(2 * rows))
-    shared = spark.sparkContext.broadcast((languages, idf))
+    shared = spark.sparkContext.broadcast(idf)
 
     @F.arrow_udf("struct<buckets:array<int>,values:array<float>>")
     def vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        features, (_, weights) = Features(), shared.value
+        features, weights = Features(), shared.value
         kind = pa.struct([("buckets", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
         for texts in batches:
             found = [features.counts(t.as_py()) for t in texts]
             yield pa.array([None if f is None else {"buckets": f[0], "values": tf_idf(*f, weights)} for f in found], type=kind)
 
+    blocks = -(-len(languages) // block)
+
     def train(table: pa.Table) -> pa.Table:
-        names, _ = shared.value
-        place = {g: i for i, g in enumerate(names)}
+        model = table.column("model")[0].as_py()
+        classes = blocks if model < 0 else min(block, len(languages) - model * block)
         # By a hash of the text: an order that does not depend on how the rows arrived.
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("turn", "lang", "vector", "fold"))), key=lambda r: r[:2])
-        rows = [(np.array(v["buckets"], dtype=np.int64), np.array(v["values"]), place[g], fold) for _, g, v, fold in rows]
-        model = Ftrl(1 << BUCKETS_LOG2, len(names))
-        for _ in range(epochs):
-            for buckets, values, label, fold in rows:
-                if fold:
-                    model.learn(buckets, values, label)
-        w = model.weights()
-        tuned = [(v @ w[b] + w[-1], label) for b, v, label, fold in rows if not fold]
-        t = fit_temperature(np.array([z for z, _ in tuned]), np.array([y for _, y in tuned], dtype=np.int64))
-        return pa.table({"weights": [w.astype("<f4").tobytes()], "temperature": [t]})
-
-    vectors = sample.withColumn("vector", vector(F.col("text"))).select("vector", "lang", "fold", "turn").filter("vector is not null")
-    fitted = (stored(vectors, "language-sample").withColumn("one", F.lit(1)).groupBy("one")
-              .applyInArrow(lambda t: train(t), "weights binary, temperature double").collect())
+        taught = sorted(zip(*(table.column(c).to_pylist() for c in ("turn", "label", "vector", "fold"))), key=lambda r: r[:2])
+        found = learn([(np.array(v["buckets"], dtype=np.int64), np.array(v["values"]),
+                        label // block if model < 0 else label - model * block, fold) for _, label, v, fold in taught], classes, epochs)
+        packed = np.vstack([found.weights, found.bias]).astype("<f4").tobytes()
+        return pa.table({"model": pa.array([model], pa.int32()), "weights": [packed], "temperature": [found.temperature]})
+
+    vectors = stored(sample.withColumn("vector", vector(F.col("text"))).drop("text").filter("vector is not null"), "language-sample")
+    own = F.floor(F.col("label") / block).cast("int")
+    models = F.array(own) if blocks == 1 else F.array(F.lit(-1), own)
+    fitted = {r.model: r for r in vectors.withColumn("model", F.explode(models)).groupBy("model")
+              .applyInArrow(lambda t: train(t), "model int, weights binary, temperature double").collect()}
     if not fitted:
-        return LanguageModel([], idf, np.zeros((len(idf), 0)), np.zeros(0), 1.0)
-    w = np.frombuffer(fitted[0].weights, dtype="<f4").reshape(-1, len(languages)).astype(np.float64)
-    return LanguageModel(languages, idf, w[:-1], w[-1], fitted[0].temperature)
+        return LanguageModel([], idf, [])
+
+    def weights(model: int, classes: int) -> Weights:
+        if model not in fitted:  # no text of these languages has a letter: none is likelier than another
+            return Weights(np.zeros((len(idf), classes)), np.zeros(classes), 1.0)
+        w = np.frombuffer(fitted[model].weights, dtype="<f4").reshape(-1, classes).astype(np.float64)
+        return Weights(w[:-1], w[-1], fitted[model].temperature)
+
+    return LanguageModel(languages, idf, [weights(b, min(block, len(languages) - b * block)) for b in range(blocks)],
+                         weights(-1, blocks) if blocks > 1 else None)
 
 
 def identify(spark: SparkSession, text: Column, model: LanguageModel) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` has it (in any case of letters)."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame | Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
     while name.lower() in taken:
         name = "_" + name
     return name

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mileglass.llm.text import BLANKS, lower_ascii, stored
+from mileglass.llm.text import BLANKS, free_name, lower_ascii, stored
 
 SMOOTHING = 0.1
 #: Words whose counts are broadcast: the most frequent ones, at most so many; the others are joined.
@@ -42,7 +42,8 @@ def unigram_scores(docs: DataFrame, training: Column, text: str = "text", keep:
     Tokens are the words of a whole text and one end.  ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))) over
     them, with counts from the documents where ``training`` holds.  Frequent words are looked up in a broadcast of
     bounded size while a text is read; the other words of a document go through a join on the word, so counts of all
-    words are exact at any size.  Rows get a number that is stored, so ids may be NULL or repeated.
+    words are exact at any size.  Rows get a number that is stored, so ids may be NULL or repeated.  Kept columns of the
+    added names are replaced.
     """
     counts = stored(word_counts(docs.filter(training), text), "unigram-counts")
     ends = docs.filter(training).count()
@@ -66,20 +67,23 @@ def unigram_scores(docs: DataFrame, training: Column, text: str = "text", keep:
                              "others": [w.decode() for w in tokens if w not in table]})
             yield pa.array(rows, type=kind)
 
-    keep = keep or {c: F.col(c) for c in docs.columns if c != text}
-    seen = stored(docs.select(*[c.alias(name) for name, c in keep.items()],
-                              F.monotonically_increasing_id().alias("__row"),
-                              read(F.col(text).cast("binary")).alias("__seen")), "unigram-rows")
-    others = (seen.select("__row", F.explode("__seen.others").alias("word")).groupBy("__row", "word").agg(F.count("*").alias("k"))
-              .join(counts, "word", "left").groupBy("__row")
-              .agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("__known"),
-                   F.sum(F.col("k") * _log_column(F.coalesce("c", F.lit(0)), n, v)).alias("__score")))
-    s = F.col("__seen")
-    return seen.join(others, "__row", "left").select(
-        *[seen[c] for c in keep], (s["n"] + 1).alias("n_tokens"),
-        (s["known"] + F.coalesce("__known", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
+    added = ("n_tokens", "n_known", "train_tokens", "base_score")
+    keep = keep or {c: F.col(f"`{c}`") for c in docs.columns if c != text}
+    keep = {name: c for name, c in keep.items() if name.lower() not in added}
+    row, seen_, known, score = (free_name(keep, c) for c in ("__row", "__seen", "__known", "__score"))
+    seen = stored(docs.select(*[c.alias(name) for name, c in keep.items()], F.monotonically_increasing_id().alias(row),
+                              read(F.col(text).cast("binary")).alias(seen_)), "unigram-rows")
+    others = (seen.select(F.col(row).alias("row"), F.explode(f"{seen_}.others").alias("word"))
+              .groupBy("row", "word").agg(F.count("*").alias("k")).join(counts, "word", "left").groupBy("row")
+              .agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias(known),
+                   F.sum(F.col("k") * _log_column(F.coalesce("c", F.lit(0)), n, v)).alias(score))
+              .withColumnRenamed("row", row))
+    s = F.col(seen_)
+    return seen.join(others, row, "left").select(
+        *[F.col(f"`{c}`") for c in keep], (s["n"] + 1).alias("n_tokens"),
+        (s["known"] + F.coalesce(known, F.lit(0)) + (1 if ends else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (s["score"] + F.coalesce("__score", F.lit(0.0)) + F.lit(end_score)).alias("base_score"))
+        (s["score"] + F.coalesce(score, F.lit(0.0)) + F.lit(end_score)).alias("base_score"))
 
 
 def _log_share(n: int, v: int):

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mileglass.llm.text import lower_ascii
+from mileglass.llm.text import free_name, lower_ascii
 
 ALLOW, BLOCK = "allow", "block"
 PREFIX_DIGITS = 8  # hexadecimal digits of the digest that are joined on
@@ -90,8 +90,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         best = (expressions.alias("e").join(known.alias("known"), "short")
                 .filter(F.col("url_digest") == F.col("digest"))
                 .groupBy("u").agg(F.max(rank).alias("found")))
-    judged = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")],
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    key, found = free_name(kept, "__u"), free_name(kept, "found")
+    judged = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(url).alias(key),
                           url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    return (judged.join(best.select(F.col("u").alias("__u"), "found"), F.col(url) == F.col("__u"), "left")
-            .select(*judged.columns, F.col("found.rule").alias("rule"),
-                    F.coalesce(F.col("found.verdict"), F.lit(default)).alias("verdict")))
+    best = best.select(F.col("u").alias(f"{key}_other"), F.col("found").alias(found))
+    return (judged.join(best, F.col(key) == F.col(f"{key}_other"), "left")
+            .select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col(f"{found}.rule").alias("rule"),
+                    F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict")))

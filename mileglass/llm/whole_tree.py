@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mileglass.llm import context_tree as CT
-from mileglass.llm.text import stored
+from mileglass.llm.text import free_name, stored
 
 #: Grams whose logarithms are broadcast: the most frequent ones, at most so many; the others are joined.
 BROADCAST_GRAMS = 1_500_000
@@ -262,9 +262,10 @@ def with_score(rows: DataFrame, read: str, tree: WholeTree) -> DataFrame:
 
     Rows get a number that is stored, so ids may be NULL or repeated.
     """
-    kept = stored(rows.withColumn("__text", F.monotonically_increasing_id()), "whole-tree-rows")
-    others = (kept.select("__text", F.inline(F.arrays_zip(F.col(f"{read}.grams").alias("gram"), F.col(f"{read}.times").alias("times"))))
-              .toDF("__text", "gram", "times").join(tree.logs.select("gram", "log"), "gram")
-              .groupBy("__text").agg(F.sum(F.col("times") * F.col("log")).alias("__others")))
-    return (kept.join(others, "__text", "left")
-            .withColumn("score", F.col(f"{read}.score") + F.coalesce("__others", F.lit(0.0))).drop("__text", "__others", read))
+    text, rest = free_name(rows, "__text"), free_name(rows, "__others")
+    kept = stored(rows.withColumn(text, F.monotonically_increasing_id()), "whole-tree-rows")
+    others = (kept.select(text, F.inline(F.arrays_zip(F.col(f"{read}.grams").alias("gram"), F.col(f"{read}.times").alias("times"))))
+              .toDF(text, "gram", "times").join(tree.logs.select("gram", "log"), "gram")
+              .groupBy(text).agg(F.sum(F.col("times") * F.col("log")).alias(rest)))
+    return (kept.join(others, text, "left")
+            .withColumn("score", F.col(f"{read}.score") + F.coalesce(rest, F.lit(0.0))).drop(text, rest, read))

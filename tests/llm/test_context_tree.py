@@ -135,3 +135,10 @@ def test_query(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9)
     for group in (True, False):  # far below the eight bits of a byte that tells nothing, also on texts never seen
         assert np.mean([r.bits_per_byte for r in rows.values() if r.held_out == group and r.n_tokens > 20]) < 3.2
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b rare", "r", "s", 5)], "doc_id long, text string, __row string, __seen string, n_tokens int")
+    plain = W.unigram_scores(df.select("doc_id", "text"), F.lit(True), most=0).first()
+    r = W.unigram_scores(df, F.lit(True), most=0).first()
+    assert (r["doc_id"], r["__row"], r["__seen"], r["n_tokens"], r["n_known"], r["base_score"]) == (1, "r", "s", 4, plain.n_known, plain.base_score)

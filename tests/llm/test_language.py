@@ -45,6 +45,63 @@ def test_ftrl_separates_and_stays_sparse():
     assert (w == 0).mean() > 0.2
 
 
+def plain_learn(rows, classes, epochs):
+    """The same learning, one number at a time."""
+    from math import copysign, exp, sqrt
+    z, n = {}, {}
+    ends = [(list(b) + [1 << L.BUCKETS_LOG2], [float(x) for x in v] + [1.0], y, f) for b, v, y, f in rows]
+
+    def weight(key):
+        a = z.get(key, 0.0)
+        return -copysign(max(abs(a) - 1e-4, 0.0), a) / ((1.0 + sqrt(n.get(key, 0.0))) / 0.5 + 1e-4)
+    for _ in range(epochs):
+        for b, v, y, fold in ends:
+            if not fold:
+                continue
+            w = {(i, k): weight((i, k)) for i in b for k in range(classes)}
+            logits = [sum(x * w[i, k] for i, x in zip(b, v)) for k in range(classes)]
+            e = [exp(x - max(logits)) for x in logits]
+            for i, x in zip(b, v):
+                for k in range(classes):
+                    g = x * (e[k] / sum(e) - (k == y))
+                    before = n.get((i, k), 0.0)
+                    n[i, k] = before + g * g
+                    z[i, k] = z.get((i, k), 0.0) + g - (sqrt(before + g * g) - sqrt(before)) / 0.5 * w[i, k]
+    return lambda b, v: [sum(x * weight((i, k)) for i, x in zip([*b, 1 << L.BUCKETS_LOG2], [*map(float, v), 1.0])) for k in range(classes)]
+
+
+def test_learning_against_plain_numbers(texts):
+    features, idf = L.Features(), np.ones(1 << L.BUCKETS_LOG2)
+    rows = []
+    for i, (_, t) in enumerate(texts[:24]):
+        b, c = features.counts(t[:60])
+        rows.append((b, L.tf_idf(b, c, idf), i % 3, i % 5))
+    fitted, plain = L.learn(rows, 3, 2), plain_learn(rows, 3, 2)
+    for b, v, _, _ in rows:
+        z = np.array(plain(b.tolist(), v))
+        assert v @ fitted.weights[b] + fitted.bias == pytest.approx(z)
+        p = np.exp(z / fitted.temperature) / np.exp(z / fitted.temperature).sum()
+        model = L.LanguageModel(["a", "b", "c"], idf, [fitted])
+        assert model.predict((b, np.exp(v / v.min() - 1)))[0] in model.languages
+        assert fitted.probabilities(b, v) == pytest.approx(p)
+
+
+def test_many_languages(spark):
+    """250 languages, each with letters of its own; one text comes thousands of times."""
+    rows = [(f"{chr(0x4e00 + 3 * g)}{chr(0x4e01 + 3 * g)} " * 3 + chr(0x4e02 + 3 * g) * (1 + k), f"l{g:03}") for g in range(250) for k in range(12)]
+    rows += [rows[0]] * 5000
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    for block in (L.BLOCK, 1000):
+        model = L.fit_language_model(df, rows=1000, block=block)
+        assert len(model.languages) == 250 and len(model.blocks) == -(-250 // block)
+        got = df.distinct().withColumn("found", L.identify(spark, F.col("text"), model)).collect()
+        assert np.mean([r.found.lang == r.lang for r in got]) > 0.97
+    languages, sample = L.sample_texts(df, 1000)
+    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert len(sizes) == 250 and max(sizes.values()) <= L.LEAST_ROWS
+    assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, L.sample_texts(df.repartition(2), 1000)[1].collect()))
+
+
 def test_temperature():
     rng = np.random.default_rng(2)
     logits = rng.normal(size=(4000, 3))

@@ -44,3 +44,10 @@ def test_empty_tables(spark):
     no_rules = spark.createDataFrame([], "rule string, verdict string")
     assert [r.verdict for r in U.filter_urls(pages, no_rules, default="block").collect()] == ["block"]
     assert U.filter_urls(pages.limit(0), U.rule_table(spark, RULES)).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "https://www.example.net/en/x", "f", "u"), (2, None, "f", "u")], "page_id long, url string, found string, __u string")
+    rows = U.filter_urls(df, U.rule_table(spark, RULES[:4])).orderBy("page_id").collect()
+    assert [tuple(r) for r in rows] == [(1, "https://www.example.net/en/x", "f", "u", "www.example.net", "/en/x", "example.net/en/", "allow"),
+                                        (2, None, "f", "u", "", "", None, "allow")]
