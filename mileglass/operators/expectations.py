@@ -5,14 +5,18 @@ A rule holds for a row only if its condition is TRUE, so NULL is a violation.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 WARN, DROP, FAIL = "warn", "drop", "fail"
+_KEPT, _BROKEN = "_kept", "_broken"
 
 
 class ExpectationFailed(RuntimeError):
@@ -135,13 +139,60 @@ def guard_stream(df: DataFrame, rules: Sequence[Expectation], name: str) -> Data
     return df.observe(name, *violation_counts(rules)).filter(keep)
 
 
-def report(df: DataFrame, rules: Sequence[Expectation]) -> DataFrame:
-    """One row per rule with the rows that passed and failed, in one pass."""
+def publish(df: DataFrame, rules: Sequence[Expectation], root: str) -> DataFrame:
+    """Write a table version aside, check it there, and publish it only if no row violates a fail rule.
+
+    Returns one row per fail rule: rule, violations, aborted, rows_published.  All rows are written once below
+    ``root`` with the rules they violate; a version becomes visible to ``published`` by one small row that names it,
+    written last.  An aborted or interrupted version is never named, so readers keep the version before it.
+    """
+    fatal, path = _with_action(rules, FAIL), f"{root}/versions/{uuid.uuid4().hex}"
+    marked = df.withColumns({_KEPT: _all_hold(_with_action(rules, DROP)),
+                             _BROKEN: F.array_compact(F.array(*(F.when(~r.holds, F.lit(r.name)) for r in fatal)))})
+    marked.write.parquet(path)
+    spark = df.sparkSession
+    checked = spark.read.schema(marked.schema).parquet(path).agg(
+        F.count_if(_KEPT).alias("kept"), *(F.count_if(F.array_contains(_BROKEN, r.name)).alias(f"_r{i}") for i, r in enumerate(fatal))).first()
+    violations = [checked[f"_r{i}"] for i in range(len(fatal))]
+    aborted = any(violations)
+    if not aborted:
+        spark.range(1).select(F.current_timestamp().alias("at"), F.lit(path).alias("path"), F.lit(checked["kept"]).alias("n")).write.mode(
+            "append").parquet(f"{root}/published")
+    return spark.createDataFrame([(r.name, n, aborted, 0 if aborted else checked["kept"]) for r, n in zip(fatal, violations)],
+                                 "rule string, violations bigint, aborted boolean, rows_published bigint")
+
+
+def published(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rows of the latest published version; no rows before the first."""
+    try:
+        latest = spark.read.parquet(f"{root}/published").agg(F.max_by("path", "at")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    marks = [StructField(_KEPT, BooleanType()), StructField(_BROKEN, ArrayType(StringType()))]
+    return spark.read.schema(StructType([*schema.fields, *marks])).parquet(latest).filter(_KEPT).drop(_KEPT, _BROKEN)
+
+
+def record_metrics(df: DataFrame, rules: Sequence[Expectation], path: str, batch: str = "batch_id") -> DataFrame:
+    """Add the counts of these rows to the table of rule metrics and return that table.
+
+    One row per batch and rule: batch, rule, action, passed, failed.  A batch replaces what the table held for the
+    same batch and touches no other, so a batch that is replayed after a failure is not counted twice.
+    """
+    found = report(df, rules, by=[batch])
+    found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+    fields = [f for f in found.schema.fields if f.name != batch] + [found.schema[batch]]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path).select(*found.columns)
+
+
+def report(df: DataFrame, rules: Sequence[Expectation], by: Sequence[str] = ()) -> DataFrame:
+    """One row per rule (and value of ``by``) with the rows that passed and failed, in one pass."""
     total = F.count(F.lit(1)).alias("_total")
-    counted = df.agg(total, *(F.count_if(~r.holds).alias(f"_r{i}") for i, r in enumerate(rules)))
+    counted = df.groupBy(*by).agg(total, *(F.count_if(~r.holds).alias(f"_r{i}") for i, r in enumerate(rules)))
     rows = F.array(*(
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"),
                  (F.col("_total") - F.col(f"_r{i}")).alias("passed"),
                  F.col(f"_r{i}").alias("failed"))
         for i, r in enumerate(rules)))
-    return counted.select(F.inline(rows))
+    return counted.select(*by, F.inline(rows))

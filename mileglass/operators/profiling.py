@@ -34,40 +34,68 @@ def column_types(df: DataFrame) -> dict[str, str]:
     return dict(df.dtypes)
 
 
+def _has_hash(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_hash(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_has_hash(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
 def profile_table(df: DataFrame, exact_top: bool = True) -> DataFrame:
-    """One row per numeric and text column.
+    """One row per column, with the shape of the table (``n_rows``, ``n_columns``) on each.
 
-    Numeric: mean, stddev, min, exact quartiles, max.  Text: distinct values,
-    the most frequent one (ties go to the smaller) and its frequency.
-    ``exact_top=False`` replaces the latter by an approximate distinct count,
-    which needs no shuffle of the values.
+    All: values that are not NULL, the least and the greatest as text, compared in the column's own type (NULL for
+    types without an order).  Numeric: mean, stddev, min, exact quartiles, max.  Text: distinct values, the most
+    frequent one (ties go to the smaller) and its frequency.  Booleans, times and other types: distinct values by a
+    mergeable sketch of fixed size (NULL for maps and variants).  ``exact_top=False`` takes the sketch for text as well and leaves out the most
+    frequent value, which needs no shuffle of the values.
     """
     numbers, texts = numeric_columns(df), string_columns(df)
+    others = [c for c in df.columns if c not in numbers and c not in texts]
     types = column_types(df)
 
+    def ends(c):
+        ordered = isinstance(df.schema[c].dataType, T.AtomicType) and not isinstance(df.schema[c].dataType, T.VariantType)
+        return {name: of(F.col(f"`{c}`")).cast("string") if ordered else F.lit(None).cast("string")
+                for name, of in (("least", F.min), ("greatest", F.max))}
+
+    def counted(c):
+        return {"data_type": F.lit(types[c]), "non_null": F.count(f"`{c}`")}
+
+    def sketched(c):
+        # Maps and variants have no hash; a NULL is no value.
+        value = F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`"))) if _has_hash(df.schema[c].dataType) else None
+        distinct = F.lit(None).cast("bigint") if value is None else F.hll_sketch_estimate(F.hll_sketch_agg(value))
+        return counted(c) | {"distinct": distinct} | ends(c)
+
     def numeric(c):
-        v = F.col(c).cast("double")
-        return {"data_type": F.lit(types[c]), "non_null": F.count(c), "mean": F.avg(v), "stddev": F.stddev_samp(v),
-                "min": F.min(v), "max": F.max(v)}
+        v = F.col(f"`{c}`").cast("double")
+        return counted(c) | {"mean": F.avg(v), "stddev": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)} | ends(c)
+
     parts = []
     if numbers:
         quartiles = pivot_quantiles(exact_quantiles(df, numbers, list(QUARTILES)), [], QUARTILES)
         parts.append(attach(_per_column(df, numbers, numeric), quartiles, ["column"]))
     if texts and exact_top:
-        pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("data_type"),
-                                   F.col(c).alias("value")) for c in texts))
+        pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in texts))
         counts = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-                  .groupBy("column", "data_type", "value").agg(F.count(F.lit(1)).alias("n")))
-        parts.append(counts.groupBy("column", "data_type").agg(
-            F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("distinct"),
-            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("top_count")))
+                  .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+        tops = counts.groupBy("column").agg(
+            F.count(F.lit(1)).alias("distinct"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
+            F.max("n").alias("top_count"))
+        parts.append(attach(_per_column(df, texts, lambda c: counted(c) | ends(c)), tops, ["column"])
+                     .withColumn("distinct", F.coalesce("distinct", F.lit(0))))
     elif texts:
-        parts.append(_per_column(df, texts, lambda c: {
-            "data_type": F.lit(types[c]), "non_null": F.count(c), "distinct": F.approx_count_distinct(c)}))
+        parts.append(_per_column(df, texts, sketched))
+    if others:
+        parts.append(_per_column(df, others, sketched))
+    if not parts:
+        raise ValueError("a table without columns has no profile")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return out.withColumns({"n_rows": df.agg(F.count(F.lit(1))).scalar(), "n_columns": F.lit(len(df.columns))})
 
 
 def wrong_type_columns(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from mileglass.operators.ranking import spearman
 from mileglass.operators.layers import with_duration
 from mileglass.plans.trip_queries import BRONZE_CTE
 from mileglass.sources.adapters import scored_labels, staff_from_customers, trips
+from mileglass.session import run_dir
 from mileglass.sources.tables import driver_table
 
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -31,8 +32,7 @@ def rounded(df, *columns):
 
 
 def _profile(s, d):
-    df = staff(s, d).drop("overtime")
-    return rounded(R.profile_table(df), "mean", "stddev", "q25", "q50", "q75")
+    return rounded(R.profile_table(staff(s, d)), "mean", "stddev", "q25", "q50", "q75")
 
 
 def _drop_rare(s, d):
@@ -53,16 +53,21 @@ def _ratio(s, d):
         F.round(F.avg(E.ratio(F.col("l_discount"), F.col("l_tax"))), 6).alias("mean_ratio"))
 
 
-def _training_set(s, d):
-    df = P.stratified_split(scored_labels(s, d), "target", "doc_id")
-    return P.class_weights(df, "target")
+def _stored(s, df, label):
+    """What several models are fitted on is computed once and cut off from its source."""
+    path = run_dir(s, label)
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
+MODEL_FEATURES = dict(target="target", numeric=["n_chars", "log_chars", "quality"], categorical=["lang", "source"], weight="class_weight")
 
 
 def _fit(s, d):
-    df = _training_set(s, d).cache()
-    models = D.fit_baselines(df.filter("is_train"), "target", ["n_chars", "log_chars", "quality"],
-                             ["lang", "source"], "class_weight")
-    test = df.filter(~F.col("is_train"))
+    df = P.stratified_split(scored_labels(s, d), "target", "doc_id")
+    train = _stored(s, P.class_weights(df.filter("is_train"), "target"), "train")
+    test = _stored(s, df.filter(~F.col("is_train")), "test")
+    models = D.fit_baselines(train, **MODEL_FEATURES)
     parts = [D.auc(D.with_score(m.transform(test)), "score", "target").withColumn("model", F.lit(name))
              for name, m in models.items()]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -70,9 +75,11 @@ def _fit(s, d):
 
 
 def _cross_validate(s, d):
-    scores = D.cross_validate(_training_set(s, d).cache(), "target", ["n_chars", "log_chars", "quality"],
-                              ["lang"], "class_weight", only=["logistic_regression"])
-    return s.createDataFrame(list(scores.items()), "model string, mean_auc double")
+    df = _stored(s, P.class_weights(D.with_folds(scored_labels(s, d), "target", "doc_id"), "target"), "folds")
+    scores = D.cross_validate(df, **MODEL_FEATURES)
+    models = F.array(*(F.struct(F.lit(name).alias("model"), F.lit(0 <= auc <= 1).alias("scored")) for name, auc in scores.items()))
+    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("fold_rows"), F.sum("target").alias("positives")).select(
+        F.inline(models), "fold", "fold_rows", "positives")
 
 
 def _evaluate(s, d):
@@ -146,20 +153,32 @@ scored AS (SELECT l.doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(toxic AS IN
            FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 
+_SHAPE = """(SELECT count(*) FROM staff) AS n_rows, 8 AS n_columns"""
+
+
+def _ends(column: str) -> str:
+    return f"CAST(min({column}) AS VARCHAR) AS least, CAST(max({column}) AS VARCHAR) AS greatest, {_SHAPE}"
+
+
 def _numeric_profile(column: str, kind: str) -> str:
     return f"""SELECT '{column}' AS "column", '{kind}' AS data_type, count({column}) AS non_null,
         round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS stddev,
         CAST(min({column}) AS DOUBLE) AS "min", CAST(max({column}) AS DOUBLE) AS "max",
         round(quantile_cont({column}, 0.25), 6) AS q25, round(quantile_cont({column}, 0.5), 6) AS q50,
         round(quantile_cont({column}, 0.75), 6) AS q75,
-        CAST(NULL AS BIGINT) AS "distinct", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS top_count FROM staff"""
+        CAST(NULL AS BIGINT) AS "distinct", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS top_count, {_ends(column)} FROM staff"""
 
 
 def _text_profile(column: str) -> str:
     return f"""SELECT '{column}', 'string', count({column}), NULL, NULL, NULL, NULL, NULL, NULL, NULL,
         count(DISTINCT {column}),
         (SELECT {column} FROM staff WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
-        (SELECT count(*) FROM staff WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC LIMIT 1) FROM staff"""
+        (SELECT count(*) FROM staff WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC LIMIT 1), {_ends(column)} FROM staff"""
+
+
+def _other_profile(column: str, kind: str) -> str:
+    return f"""SELECT '{column}', '{kind}', count({column}), NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+        count(DISTINCT {column}), NULL, NULL, {_ends(column)} FROM staff"""
 
 
 def _each(columns, row) -> str:
@@ -174,7 +193,7 @@ ORACLES = {
     "profile_table": f"WITH {_STAFF} " + " UNION ALL ".join(
         [_numeric_profile(c, k) for c, k in (("person_id", "bigint"), ("training_hours", "double"), ("age", "int"),
                                              ("nation", "int"), ("attrition", "int"))]
-        + [_text_profile("department"), _text_profile("monthly_income")]),
+        + [_text_profile("department"), _text_profile("monthly_income"), _other_profile("overtime", "boolean")]),
     "wrong_type_columns": f"WITH {_STAFF} " + _each(["department", "monthly_income"], lambda c: f"""
         SELECT '{c}' AS "column", count({c}) AS non_null, count(TRY_CAST({c} AS DOUBLE)) AS "numeric",
                count({c}) > 0 AND count({c}) = count(TRY_CAST({c} AS DOUBLE)) AS all_numeric FROM staff"""),
@@ -232,6 +251,13 @@ ORACLES = {
         SELECT o_orderkey, o_orderstatus, place <= ceil(0.8::DOUBLE * n) AS is_train FROM h""",
     "class_weights": """SELECT doc_id, toxic, round((SELECT count(*) FROM labels)::DOUBLE
         / ((SELECT count(DISTINCT toxic) FROM labels) * count(*) OVER (PARTITION BY toxic)), 6) AS class_weight FROM labels""",
+    "cross_validate": f"""WITH {_SCORED}, h AS (SELECT target, count(*) OVER (PARTITION BY target) AS n,
+            row_number() OVER (PARTITION BY target ORDER BY
+                ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 12))::UBIGINT) AS place FROM scored),
+        f AS (SELECT target, {" + ".join(f"(place > ceil({k / 5}::DOUBLE * n))::INT" for k in range(1, 5))} AS fold FROM h),
+        m(model) AS (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosted_trees'))
+        SELECT model, TRUE AS scored, CAST(fold AS INTEGER) AS fold, count(*) AS fold_rows, sum(target)::BIGINT AS positives
+        FROM f, m GROUP BY model, fold""",
     "evaluate": f"""WITH {_SCORED}, g AS (SELECT target, (n_chars > 500)::INT AS guess FROM scored),
         c AS (SELECT v AS class, (SELECT count(*) FROM g WHERE target = v) AS support,
                      (SELECT count(*) FROM g WHERE guess = v) AS predicted,

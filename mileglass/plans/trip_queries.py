@@ -92,11 +92,12 @@ def shifted(column: str, year: int, month: int) -> str:
     return f"CASE {steps} ELSE {column} END AS {column}"
 
 
-def rules_sql(rules: list[tuple[str, str, str]]) -> str:
+def rules_sql(rules: list[tuple[str, str, str]], by: str = "") -> str:
+    key, groups = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS rule, '{action}' AS action, "
+        f"SELECT {key}'{name}' AS rule, '{action}' AS action, "
         f"count(*) FILTER (WHERE coalesce({cond}, FALSE)) AS passed, "
-        f"count(*) FILTER (WHERE NOT coalesce({cond}, FALSE)) AS failed FROM trips"
+        f"count(*) FILTER (WHERE NOT coalesce({cond}, FALSE)) AS failed FROM trips{groups}"
         for name, action, cond in rules)
 
 
@@ -153,8 +154,14 @@ TABLE_RULES = tuple(Q.expect_drop(r.name, r.condition) if r.name == "valid_fare_
 
 
 def _expect_fail(spark, sf_dir):
-    rules = [r for r in TABLE_RULES if r.action == Q.FAIL]
-    return _ids(Q.apply(trips(spark, sf_dir), rules))
+    return Q.publish(trips(spark, sf_dir), Q.STREAM_TRIP_RULES, run_dir(spark, "published"))
+
+
+def _metrics_over_runs(spark, sf_dir):
+    """All batches, then one of them again, as after a failed run."""
+    path, rows = run_dir(spark, "metrics"), trips(spark, sf_dir)
+    Q.record_metrics(rows, Q.STREAM_TRIP_RULES, path)
+    return Q.record_metrics(rows.filter(F.col("batch_id") == "b1"), Q.STREAM_TRIP_RULES, path)
 
 
 def _expect_warn(spark, sf_dir):
@@ -236,7 +243,7 @@ QUERIES = {
     "expect_fail": _expect_fail,
     "expect_set": _expect_set,
     "quality_rules_trip": _both_rule_sets,
-    "expectation_report": lambda s, d: Q.report(trips(s, d), Q.STREAM_TRIP_RULES),
+    "expectation_report": _metrics_over_runs,
     "last_user_message": lambda s, d: R.last_user_message(T.driver_table(s, d, "conversations")),
     "quality_metrics": lambda s, d: rounded(
         R.quality_metrics(_clean(s, d)).drop("quality_check_timestamp"),
@@ -314,11 +321,13 @@ ORACLES = {
     "expect_warn": f"""{_WITH_TRIPS} SELECT trip_id, pickup_zip, dropoff_zip,
         coalesce(pickup_zip > 0 AND dropoff_zip > 0, FALSE) AS passed FROM trips""",
     "expect_drop": f"{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips WHERE {_CLEAN}",
-    "expect_fail": f"""{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips WHERE tpep_pickup_datetime IS NOT NULL
-        AND tpep_dropoff_datetime IS NOT NULL AND trip_distance >= 0""",
+    "expect_fail": _WITH_TRIPS + """ SELECT rule, failed AS violations, (SELECT sum(failed) > 0 FROM broken) AS aborted,
+        CASE WHEN (SELECT sum(failed) FROM broken) = 0 THEN (SELECT count(*) FROM trips WHERE fare_amount < 1000) ELSE 0 END
+        AS rows_published FROM broken""".replace(" SELECT rule", ", broken AS (" + rules_sql(
+        [r for r in STREAM_RULES_SQL if r[1] == Q.FAIL]) + ") SELECT rule", 1),
     "expect_set": f"{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips WHERE {_CLEAN} AND fare_amount < 100",
     "quality_rules_trip": _WITH_TRIPS + rules_sql(STREAM_RULES_SQL + BATCH_RULES_SQL),
-    "expectation_report": _WITH_TRIPS + rules_sql(STREAM_RULES_SQL),
+    "expectation_report": _WITH_TRIPS + rules_sql(STREAM_RULES_SQL, "batch_id"),
     "last_user_message": """SELECT conv_id, max(turn) AS turn,
         CAST(conv_id AS VARCHAR) || ':' || CAST(max(turn) AS VARCHAR) AS anchor_message_id
         FROM conversations WHERE role = 'user' GROUP BY conv_id""",

@@ -58,3 +58,31 @@ def test_check_sees_rows_a_later_filter_would_skip(spark, tmp_path):
     df = spark.read.parquet(path)
     with pytest.raises(Q.ExpectationFailed):
         Q.apply(df, [Q.expect_fail("ok", "ok")]).filter("id < 1000").count()
+
+
+def test_publish(spark, tmp_path):
+    rules = [Q.expect_fail("id", "id IS NOT NULL"), Q.expect_fail("v", "v >= 0"), Q.expect_drop("small", "v < 10")]
+    good = spark.createDataFrame([(1, 1), (2, 50), (3, None)], "id int, v int").filter("v IS NOT NULL")
+    bad = spark.createDataFrame([(1, -1), (None, -2), (3, 3)], "id int, v int")
+    root = str(tmp_path / "table")
+    assert Q.published(spark, root, good.schema).count() == 0
+    assert sorted(map(tuple, Q.publish(bad, rules, root).collect())) == [("id", 1, True, 0), ("v", 2, True, 0)]
+    assert Q.published(spark, root, good.schema).count() == 0  # discarded
+    assert sorted(map(tuple, Q.publish(good, rules, root).collect())) == [("id", 0, False, 1), ("v", 0, False, 1)]
+    assert [tuple(r) for r in Q.published(spark, root, good.schema).collect()] == [(1, 1)]
+    Q.publish(bad, rules, root)
+    assert [tuple(r) for r in Q.published(spark, root, good.schema).collect()] == [(1, 1)]  # the version before stays
+    Q.publish(good.withColumn("id", F.col("id") + 1), rules, root)
+    assert [tuple(r) for r in Q.published(spark, root, good.schema).collect()] == [(2, 1)]
+
+
+def test_metrics_survive_a_replay(spark, tmp_path):
+    rules = [Q.expect_warn("positive", "v > 0")]
+    rows = spark.createDataFrame([("a", 1), ("a", -1), ("b", 2)], "batch_id string, v int")
+    path = str(tmp_path / "metrics")
+    first = sorted(map(tuple, Q.record_metrics(rows, rules, path).collect()))
+    assert first == [("a", "positive", "warn", 1, 1), ("b", "positive", "warn", 1, 0)]
+    for part in (rows.filter("batch_id = 'a'"), rows):
+        assert sorted(map(tuple, Q.record_metrics(part, rules, path).collect())) == first
+    more = Q.record_metrics(spark.createDataFrame([("c", 1)], rows.schema), rules, path)
+    assert sorted(map(tuple, more.collect())) == [*first, ("c", "positive", "warn", 1, 0)]

@@ -6,7 +6,7 @@ from mileglass.plans.registry import all_oracles, all_queries
 from tests import oracle
 
 QUERIES, ORACLES = all_queries(), all_oracles()
-SLOW = {"fit_baseline", "cross_validate"}
+SLOW = {"fit_baseline"}
 
 
 @pytest.fixture(scope="module")
