@@ -74,8 +74,9 @@ def _properties(spark, sf_dir):
     return rows.select(
         "payload_id", "pos", "key", X.text_of(value).alias("text_value"),
         F.when(X.is_finite(value), F.try_variant_get(value, "$", "double")).alias("number_value"),
-        F.size(X.items_of(value)).alias("n_items")).withColumn(
-        "n_items", F.when(F.col("n_items") >= 0, F.col("n_items")))
+        F.size(X.items_of(value)).alias("n_items"), "value").withColumn(
+        "n_items", F.when(F.col("n_items") >= 0, F.col("n_items"))).withColumn(
+        "list_value", F.when(X.items_of(value).isNotNull(), F.to_json(value))).drop("value")
 
 
 def _edge_rows(edges):
@@ -91,14 +92,21 @@ def _artifacts(spark, sf_dir):
     text = F.col("artifact")
     graph = F.try_parse_json(text)
 
-    def count(name):
-        return F.size(F.try_variant_get(graph, f"$.graph.{name}", "array<variant>"))
+    def listed(name, fields, line):
+        items = F.try_variant_get(graph, f"$.graph.{name}", f"array<struct<{','.join(f'{c}:string' for c in fields)}>>")
+        return [F.size(items).alias(f"n_{name}"), F.array_join(F.transform(items, line), ";").alias(name)]
+
+    def known(value):
+        return F.coalesce(value, F.lit(""))
+
     return G.artifacts(_repaired(spark, sf_dir), 1).select(
         "payload_id",
         *(F.get_json_object(text, f"$.{c}").alias(n) for c, n in (
             ("schemaVersion", "schema_version"), ("artifactId", "artifact_id"), ("sourceAgentId", "agent_id"),
             ("anchorMessageId", "anchor_id"), ("runId", "run_id"), ("title", "title"))),
-        count("nodes").alias("n_nodes"), count("edges").alias("n_edges"))
+        *listed("nodes", ("id", "label", "type"), lambda n: F.concat(n["id"], F.lit("="), n["label"], F.lit("/"), known(n["type"]))),
+        *listed("edges", ("source", "target", "label", "weight"), lambda e: F.concat(
+            e["source"], F.lit(">"), e["target"], F.lit("="), known(e["label"]), F.lit("/"), known(e["weight"]))))
 
 
 QUERIES = {
@@ -220,7 +228,7 @@ ORACLES = {
         UNION ALL SELECT payload_id, 'long', 'abcdefghijklmnopqrstuvwxyz012…', NULL, NULL FROM graphs WHERE m = 5
         UNION ALL SELECT payload_id, 'p' || (i + 1), NULL, i + 1.0, NULL FROM graphs, range(2) AS r(i) WHERE m = 6)
         SELECT payload_id, 0 AS pos, key, text_value, CAST(number_value AS DOUBLE) AS number_value,
-               CAST(n_items AS INTEGER) AS n_items FROM props""",
+               CAST(n_items AS INTEGER) AS n_items, CASE WHEN n_items = 3 THEN '["a",true,null]' END AS list_value FROM props""",
     "graph_unknown_fields": f"""WITH {_BASE}{_REPAIRS} SELECT payload_id, n FROM repairs
         WHERE action = 'dropped_unknown_field'""",
     "graph_repair_counts": f"WITH {_BASE}{_REPAIRS} SELECT payload_id, action, n FROM repairs",
@@ -232,10 +240,13 @@ ORACLES = {
         CASE WHEN m < 18 THEN NULL WHEN k % 40 = 18 THEN 'absent' WHEN m = 18 THEN 'not_json'
              WHEN k % 60 = 19 THEN 'no_nodes' WHEN k % 60 = 39 THEN 'not_object' ELSE 'over_budget' END AS reason FROM p""",
     "graph_artifacts": f"""WITH {_BASE}{_LINKED}{_NODES},
-        e AS (SELECT payload_id, count(*) AS n_edges FROM kept GROUP BY 1),
-        n AS (SELECT payload_id, count(*) AS n_nodes FROM kept_nodes GROUP BY 1)
+        e AS (SELECT payload_id, count(*) AS n_edges, string_agg(source || '>' || target || '=' || coalesce(label, '') || '/'
+                  || CASE WHEN pos = 0 AND m NOT IN (13, 14) AND k % 10 <= 8 THEN CAST(k % 10 AS VARCHAR) ELSE '' END, ';' ORDER BY pos) AS edges
+              FROM kept GROUP BY 1),
+        n AS (SELECT payload_id, count(*) AS n_nodes,
+                     string_agg(id || '=' || label || '/' || coalesce(type, ''), ';' ORDER BY pos) AS nodes FROM kept_nodes GROUP BY 1)
         SELECT payload_id, '1' AS schema_version, payload_id AS artifact_id, source_agent_id AS agent_id,
                CASE WHEN k % 7 <> 0 THEN 'msg' || k END AS anchor_id, CASE WHEN k % 5 <> 0 THEN 'run' || (k % 100) END AS run_id,
-               CASE WHEN m <> 17 THEN 'order ' || k END AS title, CAST(n_nodes AS INTEGER) AS n_nodes,
-               CAST(n_edges AS INTEGER) AS n_edges FROM graphs JOIN e USING (payload_id) JOIN n USING (payload_id)""",
+               CASE WHEN m <> 17 THEN 'order ' || k END AS title, CAST(n_nodes AS INTEGER) AS n_nodes, nodes,
+               CAST(n_edges AS INTEGER) AS n_edges, edges FROM graphs JOIN e USING (payload_id) JOIN n USING (payload_id)""",
 }

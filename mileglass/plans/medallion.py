@@ -32,11 +32,11 @@ def bronze_batch(landing: DataFrame) -> DataFrame:
 def export_previous_hour(source: DataFrame, landing: str, as_of: datetime, *,
                          source_year: int = S.SOURCE_YEAR,
                          source_months: Iterable[int] = S.SOURCE_MONTHS,
-                         fraction: float | None = S.SAMPLE_FRACTION,
+                         fraction: float | None = S.SAMPLE_FRACTION, by_hash: str | None = None,
                          batch_id: str | None = None) -> ExportedBatch:
-    """Write the hour before ``as_of`` as one stamped batch."""
+    """Write the hour before ``as_of`` as one stamped batch; ``by_hash`` names the key that fixes the sample."""
     rows = previous_hour_slice(source, as_of, source_year=source_year,
-                               source_months=source_months, fraction=fraction)
+                               source_months=source_months, fraction=fraction, by_hash=by_hash)
     stamped = stamp_batch(rows, as_of - timedelta(hours=1), batch_id)
     return export_batch(stamped.select(*S.TRIP_COLUMNS, *S.BATCH_STAMPS), landing, as_of)
 

@@ -131,7 +131,7 @@ def _batch_layer(spark, sf_dir):
 def _export(spark, sf_dir):
     batch = medallion.export_previous_hour(
         trips(spark, sf_dir), run_dir(spark, "landing"), AS_OF, source_year=YEAR,
-        source_months=MONTHS, fraction=None, batch_id="batch-1")
+        source_months=MONTHS, by_hash="trip_id", batch_id="batch-1")
     return spark.read.parquet(batch.path).withColumn("written_rows", F.lit(batch.rows)).drop("export_timestamp")
 
 
@@ -264,7 +264,7 @@ ORACLES = {
     "scan_table": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "preview": f"{_WITH_TRIPS} SELECT {TRIP_COLS} FROM trips ORDER BY trip_id LIMIT 10",
     "file_lineage": "SELECT 'events.parquet' AS table_file, count(*) AS records, count(*) AS stamped FROM events",
-    "export_batch": f"""{_WITH_TRIPS}, picked AS (SELECT * FROM trips WHERE {IN_SLICE.format(day=15, hour=10)})
+    "export_batch": f"""{_WITH_TRIPS}, picked AS (SELECT * FROM trips WHERE {IN_SLICE.format(day=15, hour=10)} AND {IN_SAMPLE})
         SELECT {shifted('tpep_pickup_datetime', 2025, 8)}, {shifted('tpep_dropoff_datetime', 2025, 8)},
                trip_distance, fare_amount, pickup_zip, dropoff_zip, 'batch-1' AS batch_id,
                'nyc_taxi_export' AS source_system, '2025-08-15T10' AS export_hour,
