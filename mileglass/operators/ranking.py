@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from mileglass.session import run_dir
 
+#: How much wider brackets get after one was missed.
+WIDER = 8
 
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join of a lookup; a NULL key meets a NULL key.
@@ -59,28 +61,44 @@ def with_running_counts(counts: DataFrame, keys: Sequence[str], value: str = "va
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-                    by: Sequence[str] = (), discrete: bool = False, accuracy: int = 10_000) -> DataFrame:
+                    by: Sequence[str] = (), discrete: bool = False, accuracy: int = 10_000,
+                    reach: float | None = None) -> DataFrame:
     """Exact quantiles: (by..., column, probability, n, quantile).
 
-    Two passes.  A sketch with a guaranteed rank error brackets each quantile;
-    then rows below a bracket are only counted and rows inside it are ranked.
-    Continuous quantiles interpolate between neighbours; discrete ones give
-    the smallest value with at least that share at or below it.
+    Two passes.  A sketch with a stated rank error brackets each quantile; then rows below a bracket are only counted
+    and rows inside it are ranked.  Should a quantile lie outside its bracket, both passes are repeated with wider
+    brackets, up to the whole range.  Continuous quantiles interpolate between neighbours; discrete ones give the
+    smallest value with at least that share at or below it.
     """
+    spark, reach = df.sparkSession, 5 / accuracy if reach is None else reach
+    while True:
+        found = _bracketed_quantiles(df, columns, probabilities, by, discrete, accuracy, min(reach, 1.0))
+        path = run_dir(spark, "quantiles")
+        found.write.parquet(path)
+        stored = spark.read.schema(found.schema).parquet(path)
+        if reach >= 1 or stored.filter(F.col("quantile").isNull()).isEmpty():
+            return stored
+        reach *= WIDER
+
+
+def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str],
+                         discrete: bool, accuracy: int, reach: float) -> DataFrame:
+    """The same, with NULL for a quantile that is not within ``reach`` of where the sketch takes it to be."""
     keys = [*by, "column"]
     values = long_form(df, columns, by)
-    reach = 5 / accuracy
     lows = [max(p - reach, 0.0) for p in probabilities]
     highs = [min(p + reach, 1.0) for p in probabilities]
     sketch = values.groupBy(*keys).agg(
         F.count("value").alias("n"), F.min("value").alias("_min"), F.max("value").alias("_max"),
         F.percentile_approx("value", lows + highs, accuracy).alias("_q"))
-    n, few = F.col("n"), F.col("n") <= accuracy
+    n = F.col("n")
 
     def bracket(i, p):
         rank = F.ceil(F.lit(p) * n) - 1 if discrete else F.lit(p) * (n - 1)
-        low = F.when(few | F.lit(lows[i] == 0), F.col("_min")).otherwise(F.col("_q")[i])
-        high = F.when(few | F.lit(highs[i] == 1), F.col("_max")).otherwise(F.col("_q")[len(lows) + i])
+        # In a small group the reach is less than one row, so the bracket is the whole group.
+        whole = n * reach < 5
+        low = F.when(whole | F.lit(lows[i] == 0), F.col("_min")).otherwise(F.col("_q")[i])
+        high = F.when(whole | F.lit(highs[i] == 1), F.col("_max")).otherwise(F.col("_q")[len(lows) + i])
         return F.struct(F.lit(float(p)).alias("probability"),
                         F.greatest(rank.cast("double"), F.lit(0.0)).alias("rank"),
                         low.alias("low"), high.alias("high"))
@@ -100,8 +118,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     floor, ceil = F.floor("rank"), F.ceil("rank")
     found = ranked.groupBy(*groups).agg(at(floor).alias("_a"), at(ceil).alias("_b"))
     quantile = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("rank") - floor)
-    checked = F.coalesce(quantile, F.raise_error(F.lit("a quantile left its bracket")).cast("double"))
-    return found.select(*keys, "probability", F.col("size").alias("n"), checked.alias("quantile"))
+    return found.select(*keys, "probability", F.col("size").alias("n"), quantile.alias("quantile"))
 
 
 def pivot_quantiles(quantiles: DataFrame, by: Sequence[str], names: dict[float, str]) -> DataFrame:

@@ -34,6 +34,14 @@ def test_quantiles(skewed, accuracy):
     assert np.allclose([got[p] for p in PROBS], want, rtol=1e-12)
 
 
+def test_a_missed_bracket_is_widened(skewed):
+    df, pdf = skewed
+    narrow = K._bracketed_quantiles(df, ["v"], PROBS, (), False, 20, 0.001).collect()
+    assert any(r["quantile"] is None for r in narrow)
+    got = {r.probability: r["quantile"] for r in K.exact_quantiles(df, ["v"], PROBS, accuracy=20, reach=0.001).collect()}
+    assert np.allclose([got[p] for p in PROBS], np.quantile(pdf.v.dropna(), PROBS), rtol=1e-12)
+
+
 def test_quantiles_by_group(skewed):
     df, pdf = skewed
     got = {(r.g, r.probability): r["quantile"] for r in
