@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mileglass.functions.hashing import md5_number
@@ -94,5 +94,41 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
         share((F.col("support") + F.col("predicted")) / 2).alias("f1"))
 
 
+def threshold_curve(df: DataFrame, score: str, label: str, bins: int = 100) -> DataFrame:
+    """Precision and recall of the rule "score at least t" for t = 0, 1/bins, ..., 1.
+
+    Scores are counted by bin first; only the histogram, at most ``bins`` + 1 rows, is summed up from the top.
+    """
+    histogram = df.groupBy(F.least(F.floor(F.col(score) * bins), F.lit(bins)).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
+    every = df.sparkSession.range(bins + 1).select(F.col("id").alias("bin"))
+    filled = every.join(histogram, "bin", "left").fillna(0)
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (filled.select((F.col("bin") / bins).alias("threshold"), F.sum("n").over(above).alias("predicted"),
+                          F.sum("p").over(above).alias("hits"), F.sum("p").over(whole).alias("_all"))
+            .select("threshold", "predicted", "hits", (F.col("hits") / F.nullif("predicted", F.lit(0))).alias("precision"),
+                    (F.col("hits") / F.nullif("_all", F.lit(0))).alias("recall")))
+
+
+def feature_importance(model: PipelineModel, example: DataFrame) -> list[tuple[str, float]]:
+    """Features of a fitted pipeline with their share of the importance, the largest first.
+
+    Trees give the gain of their splits; a linear model the size of its coefficients.
+    """
+    described = model.transform(example.limit(0)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for kind in described.values() for a in kind}
+    fitted = model.stages[-1]
+    sizes = [abs(float(x)) for x in (fitted.featureImportances if hasattr(fitted, "featureImportances") else fitted.coefficients).toArray()]
+    total = sum(sizes) or 1.0
+    return sorted(((names[i], x / total) for i, x in enumerate(sizes)), key=lambda f: (-f[1], f[0]))
+
+
+def model_report(model: PipelineModel, test: DataFrame, target: str) -> DataFrame:
+    """Per class of a model's own predictions: support, precision, recall, f1, and the AUC over all classes."""
+    predicted = with_score(model.transform(test))
+    return class_report(predicted, target, "prediction").crossJoin(F.broadcast(auc(predicted, "score", target)))  # one row
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return area_under_curve(df, score, label)

@@ -63,15 +63,26 @@ def _stored(s, df, label):
 MODEL_FEATURES = dict(target="target", numeric=["n_chars", "log_chars", "quality"], categorical=["lang", "source"], weight="class_weight")
 
 
-def _fit(s, d):
+def _fitted(s, d):
+    """The models and the rows held out from them; class weights come from the training rows."""
     df = P.stratified_split(scored_labels(s, d), "target", "doc_id")
     train = _stored(s, P.class_weights(df.filter("is_train"), "target"), "train")
-    test = _stored(s, df.filter(~F.col("is_train")), "test")
-    models = D.fit_baselines(train, **MODEL_FEATURES)
-    parts = [D.auc(D.with_score(m.transform(test)), "score", "target").withColumn("model", F.lit(name))
-             for name, m in models.items()]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(out, "auc")
+    return D.fit_baselines(train, **MODEL_FEATURES), _stored(s, df.filter(~F.col("is_train")), "test")
+
+
+def _reports(s, d):
+    models, test = _fitted(s, d)
+    parts = [D.model_report(m, test, "target").withColumn("model", F.lit(name)) for name, m in models.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _fit(s, d):
+    return rounded(_reports(s, d), "precision", "recall", "f1", "auc")
+
+
+def _evaluate_models(s, d):
+    shares = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1", "auc")]
+    return _reports(s, d).select("model", "class", "support", (shares[0] & shares[1] & shares[2] & shares[3]).alias("valid"))
 
 
 def _cross_validate(s, d):
@@ -134,6 +145,7 @@ QUERIES = {
     "fit_baseline": _fit,
     "cross_validate": _cross_validate,
     "evaluate": _evaluate,
+    "evaluate_models": _evaluate_models,
     "evaluate_auc": lambda s, d: rounded(D.auc(scored_labels(s, d), "n_chars", "target"), "auc"),
 }
 
@@ -258,6 +270,12 @@ ORACLES = {
         m(model) AS (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosted_trees'))
         SELECT model, TRUE AS scored, CAST(fold AS INTEGER) AS fold, count(*) AS fold_rows, sum(target)::BIGINT AS positives
         FROM f, m GROUP BY model, fold""",
+    "evaluate_models": f"""WITH {_SCORED}, h AS (SELECT target, count(*) OVER (PARTITION BY target) AS n,
+            row_number() OVER (PARTITION BY target ORDER BY
+                ('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 12))::UBIGINT) AS place FROM scored),
+        m(model) AS (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosted_trees'))
+        SELECT model, target AS class, count(*) AS support, TRUE AS valid FROM h, m WHERE place > ceil(0.8::DOUBLE * n)
+        GROUP BY model, target""",
     "evaluate": f"""WITH {_SCORED}, g AS (SELECT target, (n_chars > 500)::INT AS guess FROM scored),
         c AS (SELECT v AS class, (SELECT count(*) FROM g WHERE target = v) AS support,
                      (SELECT count(*) FROM g WHERE guess = v) AS predicted,

@@ -35,6 +35,23 @@ def test_models_beat_chance(spark, sf_dir):
     assert all(0.9 < v <= 1 for v in scores.values())
 
 
+def test_curve_and_importance(spark):
+    rows = [(float(i % 10), float((7 * i) % 5), "u" if i % 3 else "v", int(i % 10 >= 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c string, y int").cache()
+    for name, model in D.fit_baselines(df, "y", ["a", "b"], ["c"]).items():
+        found = D.feature_importance(model, df)
+        assert found[0][0] == "a" and sum(x for _, x in found) == pytest.approx(1) and len(found) >= 4, name
+        report = {r["class"]: r for r in D.model_report(model, df, "y").collect()}
+        assert set(report) == {0, 1} and report[1].support == 100 and report[1].auc > 0.99
+        scored = D.with_score(model.transform(df))
+        points = [(r.y, r.score) for r in scored.select("y", "score").collect()]
+        for r in D.threshold_curve(scored, "score", "y", 20).collect():
+            hits = [y for y, x in points if x >= r.threshold - 1e-12]
+            assert abs(r.predicted - len(hits)) <= sum(abs(x - r.threshold) < 1e-9 for _, x in points)
+            assert r.precision is None if not r.predicted else r.precision == r.hits / r.predicted
+            assert r.recall == r.hits / 100
+
+
 def test_profile_of_all_types(spark):
     rows = [(True, datetime.datetime(2024, 1, i + 1), decimal.Decimal("1.50") + i, datetime.date(2024, 2, 1), "a", 2**60 + i, [i], {"k": i})
             for i in range(9)] + [(None,) * 8]
