@@ -255,8 +255,9 @@ def _field(value: Column, name: str, kind: str = "string") -> Column:
 
 
 def _opened(value: Column, *texts: str) -> Column:
-    """The text fields and properties of an element that needs no repair, in one reading."""
-    return F.try_variant_get(value, "$", f"struct<{','.join(f'{c}:string' for c in texts)},properties:map<string,variant>>")
+    """The text fields and properties of an element that needs no repair."""
+    return F.struct(*(_field(value, c).alias(c) for c in texts),
+                    _field(value, "properties", "map<string,variant>").alias("properties"))
 
 
 def _identifier(fields: Column, name: str, limits: GraphLimits) -> Column:
