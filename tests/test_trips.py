@@ -11,6 +11,7 @@ from mileglass.operators import metrics as R
 from mileglass.operators import slicing as C
 from mileglass.operators import stamps as P
 from mileglass.plans import medallion
+from mileglass.plans.trip_queries import QUERIES
 from mileglass.sources.adapters import trips
 from mileglass.sources.batches import batch_name
 
@@ -124,6 +125,15 @@ def test_export_writes_one_batch(spark, tmp_path):
     assert batch_name(t("2024-12-01 14:30:22"), "a1b2c3d4") == "taxi_batch_20241201_143022_a1b2c3d4.parquet"
 
 
+def test_exported_batch_is_the_whole_hour(spark, tmp_path):
+    rows = [(i, t(f"2024-01-15 10:{i % 60:02d}:00"), i, "view", 5.0, '{"k": 7}')
+            for i in range(0, 240, 2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["export_batch"](spark, str(tmp_path)).collect()
+    assert len(got) == 120 and {r.written_rows for r in got} == {120}
+
+
 def test_metrics_of_empty_and_null_rows(spark):
     empty = spark.createDataFrame([], TRIP)
     assert R.quality_metrics(empty).first().total_records == 0
