@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mileglass.functions.hashing import md5_number
-from mileglass.operators.ranking import attach, exact_quantiles, pivot_quantiles
+from mileglass.operators.ranking import attach, exact_quantiles, pivot_quantiles, stored_lookup
 
 
 def drop_rare_nulls(df: DataFrame, column: str, below: float = 0.05) -> DataFrame:
@@ -73,7 +73,7 @@ def stratified_split(df: DataFrame, target: str, key: str, train: float = 0.8, s
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Add ``class_weight``: n / (classes * rows of the class); NULL is a class."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = stored_lookup(df.groupBy(target).agg(F.count(F.lit(1)).alias("_rows")), "classes")
     whole = counts.agg((F.sum("_rows") / F.count(F.lit(1))).alias("v")).scalar()
     weights = counts.select(target, (whole / F.col("_rows")).alias("class_weight"))
     return attach(df, weights, [target])

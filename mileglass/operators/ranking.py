@@ -20,10 +20,23 @@ from mileglass.session import run_dir
 #: How much wider brackets get after one was missed.
 WIDER = 8
 
+
+def stored_lookup(small: DataFrame, label: str) -> DataFrame:
+    """Write a lookup to the shared folder and read it back.
+
+    The optimizer knows the bytes of a stored table before it plans, so a small one is broadcast at once.  Bytes known
+    only after a shuffle come too late: few keys leave most shuffle partitions empty, and then AQE keeps the sort-merge
+    join, in which a frequent key is one task.
+    """
+    path = run_dir(small.sparkSession, label)
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
+
+
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join of a lookup; a NULL key meets a NULL key.
 
-    How to join is left to the optimizer, which knows the bytes of both sides when it runs.
+    How to join is left to the optimizer; ``stored_lookup`` tells it the bytes of the small side.
     """
     keys = {c: f"_key_{c}" for c in on}
     match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
@@ -70,12 +83,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     brackets, up to the whole range.  Continuous quantiles interpolate between neighbours; discrete ones give the
     smallest value with at least that share at or below it.
     """
-    spark, reach = df.sparkSession, 5 / accuracy if reach is None else reach
+    reach = 5 / accuracy if reach is None else reach
     while True:
         found = _bracketed_quantiles(df, columns, probabilities, by, discrete, accuracy, min(reach, 1.0))
-        path = run_dir(spark, "quantiles")
-        found.write.parquet(path)
-        stored = spark.read.schema(found.schema).parquet(path)
+        stored = stored_lookup(found, "quantiles")
         if reach >= 1 or stored.filter(F.col("quantile").isNull()).isEmpty():
             return stored
         reach *= WIDER
@@ -102,8 +113,8 @@ def _bracketed_quantiles(df: DataFrame, columns: Sequence[str], probabilities: S
         return F.struct(F.lit(float(p)).alias("probability"),
                         F.greatest(rank.cast("double"), F.lit(0.0)).alias("rank"),
                         low.alias("low"), high.alias("high"))
-    brackets = sketch.select(*keys, "n", F.array(*(bracket(i, p) for i, p in enumerate(probabilities)))
-                             .alias("brackets"))
+    brackets = stored_lookup(sketch.select(
+        *keys, "n", F.array(*(bracket(i, p) for i, p in enumerate(probabilities))).alias("brackets")), "brackets")
     rows = (attach(values, brackets, keys)
             .select(*keys, F.col("n").alias("size"), "value", F.inline("brackets"))
             .filter(F.col("value") <= F.col("high")))

@@ -130,3 +130,24 @@ def test_winsorize_keeps_nulls(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)] + [(None,)], "v double")
     got = P.winsorize(df, "v").agg(F.min("v"), F.max("v"), F.count("*"), F.count("v")).first()
     assert tuple(got) == (1.0, 99.0, 102, 101)
+
+
+def test_a_hot_group_is_not_shuffled_for_its_lookup(spark, monkeypatch):
+    df = spark.range(60_000).select("id", (F.col("id") % 1000).cast("double").alias("v"), F.when(F.col("id") > 9, "all").alias("g"))
+    plans, attach = [], K.attach
+
+    def watched(big, small, on):
+        joined = attach(big, small, on)
+        # Running counts are joined by stretches, each a task's share of the rows.
+        if "_stretch" not in on:
+            plans.append(joined._jdf.queryExecution().sparkPlan().toString())
+        return joined
+
+    for module in (K, P):
+        monkeypatch.setattr(module, "attach", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        P.winsorize(df, "v"), P.robust_scale(df, ["v"]), P.class_weights(df, "g"), P.stratified_split(df, "g", "id")
+        assert len(plans) == 5 and all("BroadcastHashJoin" in p for p in plans)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
