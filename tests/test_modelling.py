@@ -4,6 +4,9 @@ import datetime
 import decimal
 
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from mileglass.operators import modelling as D
@@ -35,6 +38,22 @@ def test_models_beat_chance(spark, sf_dir):
     assert all(0.9 < v <= 1 for v in scores.values())
 
 
+def test_cross_validation_encodes_each_fold_once(spark, monkeypatch):
+    rows = [(i, float(i % 10), float((7 * i) % 5), "u" if i % 3 else "v", int(i % 10 + i % 4 >= 6)) for i in range(300)]
+    df = D.with_folds(spark.createDataFrame(rows, "id int, a double, b double, c string, y int"), "y", "id", folds=3).cache()
+    fitted = []
+    plain = StringIndexer._fit
+    monkeypatch.setattr(StringIndexer, "_fit", lambda self, data: fitted.append(1) or plain(self, data))
+    scores = D.cross_validate(df, "y", ["a", "b"], ["c"], folds=3)
+    assert len(fitted) == 3
+    for name, e in D.estimators("y", None).items():
+        run = CrossValidator(estimator=D.pipeline(e, ["a", "b"], ["c"]), numFolds=3, foldCol="fold",
+                             estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(labelCol="y"))
+        assert scores[name] == pytest.approx(run.fit(df).avgMetrics[0], abs=0.01), name
+    with pytest.raises(ValueError, match="validation data at fold 3"):
+        D.cross_validate(df, "y", ["a", "b"], ["c"], folds=4)
+
+
 def test_curve_and_importance(spark):
     rows = [(float(i % 10), float((7 * i) % 5), "u" if i % 3 else "v", int(i % 10 >= 5)) for i in range(200)]
     df = spark.createDataFrame(rows, "a double, b double, c string, y int").cache()
