@@ -134,6 +134,11 @@ def _counts(**found: Column) -> Column:
     return F.struct(*(found.get(c, F.lit(0)).cast("int").alias(c) for c in ELEMENT_COUNTS))
 
 
+def _no_counts() -> Column:
+    """What an element that needs no repair has instead, since its counts are never read."""
+    return F.lit(None).cast(f"struct<{','.join(f'{c}:int' for c in ELEMENT_COUNTS)}>")
+
+
 def _text_result(value: Column, longest: int) -> Column:
     """struct(text, non_text, blank, normalized, truncated) of a variant that should hold text; see ``clean_text``."""
     def result(text, *numbers):
@@ -254,18 +259,18 @@ def _field(value: Column, name: str, kind: str = "string") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
 
-def _opened(value: Column, *texts: str) -> Column:
-    """The text fields and properties of an element that needs no repair."""
-    return F.struct(*(_field(value, c).alias(c) for c in texts),
-                    _field(value, "properties", "map<string,variant>").alias("properties"))
+def _opened(value: Column, *texts: str, also: str = "") -> Column:
+    """The text fields and properties of an element that needs no repair, taken out in one pass."""
+    fields = ",".join(f"{c}:string" for c in texts)
+    return F.try_variant_get(value, "$", f"struct<{fields},properties:map<string,variant>{also}>")
 
 
 def _identifier(fields: Column, name: str, limits: GraphLimits) -> Column:
     return _let(X.text_of(X.member(fields, name)), lambda text: F.when(X.is_identifier(text, limits.id_chars), text))
 
 
-def _node(v: Column, i: Column, source: Column, limits: GraphLimits) -> Column:
-    """struct(fine, pos, valid, id, label, type, description, properties, n) of a raw node."""
+def _node(v: Column, i: Column, fine: Column, source: Column, limits: GraphLimits) -> Column:
+    """struct(fine, pos, valid, id, label, type, description, properties, n) of a raw node; ``fine``: needs no repair."""
     def result(fine, valid, properties, n, **texts):
         return F.struct(fine.alias("fine"), i.alias("pos"), valid.alias("valid"),
                         *(texts[c].alias(c) for c in ("id", "label", "type", "description")),
@@ -273,7 +278,7 @@ def _node(v: Column, i: Column, source: Column, limits: GraphLimits) -> Column:
 
     names = ("id", "label", "type", "description")
     plain = _let(_opened(v, *names), lambda s: result(
-        F.lit(True), F.lit(True), s["properties"], _counts(), **{c: s[c] for c in names}))
+        F.lit(True), F.lit(True), s["properties"], _no_counts(), **{c: s[c] for c in names}))
 
     def if_present(fields, name, wanted, found):
         return F.when(wanted & X.member(fields, name).isNotNull(), found)
@@ -298,17 +303,20 @@ def _node(v: Column, i: Column, source: Column, limits: GraphLimits) -> Column:
         return result(F.lit(False), valid, more["properties"]["properties"], _counts(**numbers), id=id, label=label["text"],
                       type=more["type"]["text"], description=more["description"]["text"])
 
-    return F.when(F.to_json(v).rlike(_clean_node(limits)), plain).otherwise(_let(X.fields_of(v), parts))
+    return F.when(fine, plain).otherwise(_let(X.fields_of(v), parts))
+
 
+def _edge(v: Column, i: Column, fine: Column, source_json: Column, limits: GraphLimits) -> Column:
+    """struct(fine, pos, valid, source, target, label, weight, properties, n) of a raw edge, not linked yet.
 
-def _edge(v: Column, i: Column, source_json: Column, limits: GraphLimits) -> Column:
-    """struct(fine, pos, valid, source, target, label, weight, properties, n) of a raw edge, not linked yet."""
+    ``fine``: needs no repair unless its weight is above the limit.
+    """
     def result(fine, valid, source, target, label, weight, properties, n):
         return F.struct(fine.alias("fine"), i.alias("pos"), valid.alias("valid"), source.alias("source"), target.alias("target"),
                         label.alias("label"), weight.alias("weight"), properties.alias("properties"), n.alias("n"))
 
-    plain = _let(_opened(v, "source", "target", "label"), lambda s: result(
-        F.lit(True), F.lit(True), s["source"], s["target"], s["label"], _field(v, "weight", "variant"), s["properties"], _counts()))
+    def plain(s):
+        return result(F.lit(True), F.lit(True), s["source"], s["target"], s["label"], s["weight"], s["properties"], _no_counts())
 
     def parts(fields):
         return _let(F.struct(_identifier(fields, "source", limits).alias("source"), _identifier(fields, "target", limits).alias("target")),
@@ -328,9 +336,12 @@ def _edge(v: Column, i: Column, source_json: Column, limits: GraphLimits) -> Col
         return result(F.lit(False), valid, ends["source"], ends["target"], more["label"]["text"], more["weight"],
                       more["properties"]["properties"], _counts(**numbers))
 
-    usual = F.to_json(v).rlike(_clean_edge(limits)) & F.coalesce(
-        F.try_variant_get(v, "$.weight", "double") <= limits.weight, F.lit(True))
-    return F.when(usual, plain).otherwise(_let(X.fields_of(v), parts))
+    def usual(s):
+        weight = s["weight"]
+        return s.isNotNull() & (weight.isNull() | (F.try_variant_get(weight, "$", "double") <= limits.weight))
+
+    return _let(F.when(fine, _opened(v, "source", "target", "label", also=",weight:variant")), lambda s: F.when(
+        usual(s), plain(s)).otherwise(_let(X.fields_of(v), parts)))
 
 
 # -------------------------------------------------------------------- repair
@@ -341,32 +352,53 @@ def _cleaned(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     heads = (with_budget(payloads, limits)
              .withColumns({"_raw_nodes": F.when(repairable, _list("nodes")), "_raw_edges": F.when(repairable, _list("edges")),
                            "_raw_metadata": F.when(repairable, F.try_variant_get("graph", "$.metadata", "variant"))}))
-    # The cap may cut only large objects.  Their key order is read from the text of their element, taken apart once
-    # per payload that holds one.
-    def large(v, cap):
-        return F.size(F.try_variant_get(v, "$.properties", "map<string,variant>")) > cap
+    # One search in the text of an element tells whether it needs repair.
+    heads = heads.withColumns({
+        "_fine_nodes": F.transform(F.slice(nodes, 1, limits.nodes), lambda v: F.to_json(v).rlike(_clean_node(limits))),
+        "_fine_edges": F.transform(F.slice(edges, 1, limits.edges), lambda v: F.to_json(v).rlike(_clean_edge(limits)))})
+    fine_nodes, fine_edges = F.col("_fine_nodes"), F.col("_fine_edges")
+
+    # The cap may cut only large objects, and those need repair.  Their key order is read from the text of their
+    # element, taken apart once per payload that holds one.
+    def some_large(items, fine, cap):
+        sizes = F.transform(fine, lambda f, i: F.when(~f, F.size(
+            F.try_variant_get(F.get(items, i), "$.properties", "map<string,variant>"))))
+        return F.coalesce(F.exists(sizes, lambda n: n > cap), F.lit(False))
 
     texts = F.from_json("payload_json", "nodes array<string>, edges array<string>, metadata string")
-    some = (F.exists(nodes, lambda v: large(v, limits.node_properties)) | F.exists(edges, lambda v: large(v, limits.edge_properties))
-            | (F.size(X.fields_of(metadata)) > limits.metadata_properties))
-    heads = heads.withColumn("_texts", F.when(F.coalesce(some, F.lit(True)), texts))
+    some = (some_large(nodes, fine_nodes, limits.node_properties) | some_large(edges, fine_edges, limits.edge_properties)
+            | F.coalesce(F.size(X.fields_of(metadata)) > limits.metadata_properties, F.lit(False)))
+    heads = heads.withColumn("_texts", F.when(some, texts))
 
     def source(kind, i):
         return F.from_json(F.get(F.col("_texts")[kind], i), "properties string")["properties"]
 
     return heads.withColumns({
-        "_nodes": F.transform(F.slice(nodes, 1, limits.nodes), lambda v, i: _node(v, i, source("nodes", i), limits)),
-        "_edges": F.transform(F.slice(edges, 1, limits.edges), lambda v, i: _edge(v, i, source("edges", i), limits)),
+        "_nodes": F.transform(F.slice(nodes, 1, limits.nodes), lambda v, i: _node(
+            v, i, F.get(fine_nodes, i), source("nodes", i), limits)),
+        "_edges": F.transform(F.slice(edges, 1, limits.edges), lambda v, i: _edge(
+            v, i, F.get(fine_edges, i), source("edges", i), limits)),
         "_metadata": F.when(repairable, _properties_result(metadata, limits.metadata_properties, F.col("_texts")["metadata"], limits))})
 
 
-def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
+def sealed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns by way of a generator, which a filter above it is not pushed through.
+
+    Pushed below, the filter would hold a second copy of the whole repair.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*columns))))
+
+
+def repair_graphs(payloads: DataFrame, limits: GraphLimits, seal: bool = True) -> DataFrame:
     """All payloads with ``status``, ``reason``, ``nodes``, ``edges``,
     ``metadata`` and one ``n_<action>`` column per repair action.
 
     status: accepted, skipped (no node left), quarantined, or absent.
     ``edges`` holds every edge looked at with the test it stopped at; nodes
     holds kept nodes.
+
+    With ``seal``, filters on the result do not repeat the repair, but all columns are made.  Without it, columns that
+    nobody reads are not made; seal those that are filtered.  The functions below do so.
     """
     repairable = F.col("reason").isNull()
     # Edges are tested against the nodes of their payload and against each other.
@@ -441,14 +473,12 @@ def repair_graphs(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
     def listed(name):
         return F.coalesce(F.col(name), F.array())
 
-    done = F.struct(
+    done = (
         *KEYS, status.alias("status"), F.coalesce("reason", F.when(~has_node, "no_nodes")).alias("reason"),
         listed("nodes").alias("nodes"), listed("edges").alias("edges"),
         F.coalesce("_metadata.properties", F.create_map().cast("map<string,variant>")).alias("metadata"),
         *(numbers[a].cast("bigint").alias(f"n_{a}") for a in ACTIONS))
-    # One row in, one row out.  A filter above a generator stays above it; pushed below, it would hold a second copy
-    # of the whole repair.
-    return linked.select(F.inline_outer(F.array(done)))
+    return sealed(linked, *done) if seal else linked.select(*done)
 
 
 def payload_status(payloads: DataFrame, limits: GraphLimits) -> DataFrame:
@@ -515,7 +545,7 @@ def repair_totals(repaired: DataFrame) -> DataFrame:
 
 
 def unknown_field_counts(repaired: DataFrame) -> DataFrame:
-    return repaired.select("payload_id", F.col("n_dropped_unknown_field").alias("n")).filter("n > 0")
+    return sealed(repaired, "payload_id", F.col("n_dropped_unknown_field").alias("n")).filter("n > 0")
 
 
 def quarantine(repaired: DataFrame) -> DataFrame:
@@ -541,5 +571,6 @@ def artifacts(repaired: DataFrame, schema_version: int, title_chars: int = 160,
         F.col("source_agent_id").alias("sourceAgentId"), graph.alias("graph"),
         usable(F.col("anchor_message_id"), id_chars).alias("anchorMessageId"),
         usable(F.col("run_id"), id_chars).alias("runId"), usable(title, title_chars).alias("title"))
-    return (repaired.filter(F.col("status") == "accepted")
+    needed = sealed(repaired, *KEYS, "status", "nodes", "edges", "metadata")
+    return (needed.filter(F.col("status") == "accepted")
             .select("payload_id", F.to_json(envelope).alias("artifact")))

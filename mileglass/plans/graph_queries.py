@@ -22,7 +22,7 @@ TEXT_LIMIT = 60
 
 
 def _repaired(spark, sf_dir):
-    return G.repair_graphs(order_payloads(spark, sf_dir), LIMITS)
+    return G.repair_graphs(order_payloads(spark, sf_dir), LIMITS, seal=False)
 
 
 def _budget(spark, sf_dir):

@@ -208,3 +208,15 @@ def test_totals(repaired, counts):
         for a, n in c.items():
             want[a] = want.get(a, 0) + n
     assert {r.action: r.n for r in G.repair_totals(repaired).collect()} == want
+
+
+def test_only_what_is_read_is_made_and_only_once(spark):
+    rows = [(name, "agent", None, None, json.dumps(g)) for name, (g, _) in CASES.items()]
+    payloads = spark.createDataFrame(
+        rows, "payload_id string, source_agent_id string, anchor_message_id string, run_id string, payload_json string")
+    whole, lean = G.repair_graphs(payloads, LIMITS), G.repair_graphs(payloads, LIMITS, seal=False)
+    for read in (G.linked_edges, G.unknown_field_counts, lambda r: G.artifacts(r, 1)):
+        shown = [read(r).selectExpr("to_json(struct(*)) AS j") for r in (whole, lean)]
+        assert sorted(r.j for r in shown[0].collect()) == sorted(r.j for r in shown[1].collect())
+        plan = read(lean)._jdf.queryExecution().optimizedPlan().toString()
+        assert "n_truncated_text" not in plan and plan.lower().count("parsejson") == 1, plan.lower().count("parsejson")
