@@ -22,8 +22,12 @@ DEPTH = 5
 #: Most byte grams of the fitted tree: bounds what is broadcast (at most 8 nodes of 20 bytes for each gram).
 MAX_GRAMS = 1_500_000
 EDGE = 0xFF  # never a byte of UTF-8: stands before a text and ends it
-_CHUNK = 1 << 20
-_MERGE = 1 << 22
+_CHUNK = 1 << 18
+#: Grams that are sorted at once; each of them takes some 50 bytes meanwhile.
+_MERGE = 1 << 19
+#: Distinct grams that a task holds before it passes them on.
+_HELD = 1 << 21
+_ROWS = 1 << 16
 
 
 def _padded(text: bytes, depth: int) -> np.ndarray:
@@ -44,40 +48,47 @@ def gram_counts(texts: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
 
     Each task counts its own texts first, in blocks of bounded size, so a run found everywhere is one row a task.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        waiting, size = [], 0
-
-        def merged():
-            new, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], counts[:0])
-            both = np.concatenate((keys, new))
-            unique, at = np.unique(both, return_inverse=True)
-            total = np.zeros(len(unique), dtype=np.int64)
-            np.add.at(total, at, np.concatenate((counts, n)))
-            return unique, total
-
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "c"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                padded = _padded(t.as_py() or b"", depth)
-                for at in range(0, len(padded) - depth, _CHUNK):
-                    waiting.append(_grams(padded[at:at + _CHUNK + depth], depth))
-                    size += len(waiting[-1])
-                    if size >= _MERGE:
-                        keys, counts = merged()
-                        waiting, size = [], 0
-            if len(keys) >= _MERGE:
-                yield rows()
-                keys, counts = keys[:0], counts[:0]
-        keys, counts = merged()
-        yield rows()
-
-    return (texts.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "gram bigint, c bigint")
+    return (texts.select(F.col(text).cast("binary").alias("t"))
+            .mapInArrow(lambda batches: _counted(batches, depth), "gram bigint, c bigint")
             .groupBy("gram").agg(F.sum("c").alias("c")))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(gram, c) of the texts in the first column; a gram comes again only if a task finds more than ``_HELD``."""
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    waiting, size = [], 0
+
+    def rows():
+        for at in range(0, len(keys), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + _ROWS]), pa.array(counts[at:at + _ROWS])], names=["gram", "c"])
+
+    for batch in batches:
+        for t in batch.column(0):
+            padded = _padded(t.as_py() or b"", depth)
+            for at in range(0, len(padded) - depth, _CHUNK):
+                waiting.append(_grams(padded[at:at + _CHUNK + depth], depth))
+                size += len(waiting[-1])
+                if size >= _MERGE:
+                    keys, counts = _merged(keys, counts, np.concatenate(waiting))
+                    waiting, size = [], 0
+                    if len(keys) >= _HELD:
+                        yield from rows()
+                        keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if waiting:
+        keys, counts = _merged(keys, counts, np.concatenate(waiting))
+    yield from rows()
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, with those of ``grams`` added."""
+    new, n = np.unique(grams, return_counts=True)
+    at = np.searchsorted(keys, new)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == new[there]
+    counts[at[there]] += n[there]
+    return np.insert(keys, at[~there], new[~there]), np.insert(counts, at[~there], n[~there])
+
+
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi)

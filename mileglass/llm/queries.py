@@ -92,7 +92,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = W.unigram_scores(docs, training, keep={
         "doc_id": F.col("doc_id"), "held_out": ~training,
         "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-        "read": WT.read_texts(F.col("text"), tree, spark)})
+    }, beside={"read": (WT.READ, WT.text_reader(tree, spark))})
     scored = WT.with_score(scored, "read", tree)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                          CT.bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte"))

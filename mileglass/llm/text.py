@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_blocks(texts: pa.Array, most: int = 1 << 19) -> Iterator[pa.Array]:
+    """``texts`` in order, cut into blocks of about ``most`` bytes; a longer text is a block with few others."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(ends // most, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(texts)]):
+        yield texts.slice(a, b - a)
+
+
 def free_name(df: DataFrame | Iterable[str], name: str) -> str:
     """``name``, with underscores in front until no column has it (in any case of letters)."""
     taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}

@@ -7,7 +7,7 @@ dropped: every byte of a training text has all its contexts, so a node's childre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mileglass.llm import context_tree as CT
-from mileglass.llm.text import free_name, stored
+from mileglass.llm.text import free_name, stored, text_blocks
 
 #: Grams whose logarithms are broadcast: the most frequent ones, at most so many; the others are joined.
 BROADCAST_GRAMS = 1_500_000
 #: Grams that are fitted at once in a task.
 RANGE_GRAMS = 1 << 16
+READ = "struct<score:double,grams:array<bigint>,times:array<bigint>>"
 _SPINE = "d int, key bigint, n0 double, n1 double, logc double"
 
 
@@ -214,17 +215,28 @@ def _frequent(logs: DataFrame, most: int) -> DataFrame:
     return logs.filter(F.col("n") >= 1 << power).select("gram", "log")
 
 
-def read_texts(text: Column, tree: WholeTree, spark) -> Column:
-    """struct<score, grams, times>: the summed logarithms of frequent grams, and the other grams of each whole text."""
+def text_reader(tree: WholeTree, spark) -> Callable[[pa.Array], pa.Array]:
+    """From binary texts to ``READ``: the summed logarithms of frequent grams, and the other grams of each whole text."""
     shared = spark.sparkContext.broadcast((tree.depth, tree.grams, tree.values))
 
-    @F.arrow_udf("struct<score:double,grams:array<bigint>,times:array<bigint>>")
-    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def read(texts: pa.Array) -> pa.Array:
         kind = pa.struct([("score", pa.float64()), ("grams", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-        for texts in batches:
-            scores, others = _read([t.as_py() or b"" for t in texts], *shared.value)
-            yield pa.array([{"score": s, "grams": np.concatenate([g for g, _ in o]) if o else [],
-                             "times": np.concatenate([k for _, k in o]) if o else []} for s, o in zip(scores, others)], type=kind)
+        scores, others = _read([t.as_py() or b"" for t in texts], *shared.value)
+        return pa.array([{"score": s, "grams": np.concatenate([g for g, _ in o]) if o else [],
+                          "times": np.concatenate([k for _, k in o]) if o else []} for s, o in zip(scores, others)], type=kind)
+
+    return read
+
+
+def read_texts(text: Column, tree: WholeTree, spark) -> Column:
+    """What ``text_reader`` gives, as a column."""
+    of_block = text_reader(tree, spark)
+
+    @F.arrow_udf(READ)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in text_blocks(batch):
+                yield of_block(texts)
 
     return read(text.cast("binary"))
 
@@ -258,7 +270,7 @@ def _read(texts: list[bytes], depth: int, known: np.ndarray, logs: np.ndarray) -
 
 
 def with_score(rows: DataFrame, read: str, tree: WholeTree) -> DataFrame:
-    """``rows`` with ``score``, log10 of the probability of the whole text, in place of the column of ``read_texts``.
+    """``rows`` with ``score``, log10 of the probability of the whole text, in place of the column ``READ``.
 
     Rows get a number that is stored, so ids may be NULL or repeated.
     """
